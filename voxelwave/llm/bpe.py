@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,14 +30,16 @@ from voxelwave.runtime import ship
 
 #: Unicode White_Space, as the tokenizer's pattern reads it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_RUST_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A text is first cut into units (an optional space and non-space characters, or white space); the word pattern never
 #: matches across units, so units can be looked up whole.
 _UNIT = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Distinct units remembered by a worker before it starts anew.
-MEMO_UNITS = 1 << 18
-#: Longer units are encoded but not remembered.
-MEMO_CHARS = 256
+#: Units and words that the young half of a worker's memory holds.
+MEMO_UNITS, MEMO_WORDS = 300_000, 400_000
+#: Longer ones are encoded but not remembered.
+MEMO_CHARS = 64
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def _byte_names() -> dict[str, int]:
@@ -73,17 +76,23 @@ class TrieBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         reachable = {v for k, v in self.ids.items() if len(k) == 1} | set(self.parts)
         self.usable = {k: v for k, v in self.ids.items() if v in reachable and self.merge(k) == [v]}
-        self.ends = self._suffix_lengths()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.tails = self._tails()
+        self.shorter = self._shorter()
+        self.length = {t: len(k) for k, t in self.usable.items()}
+        self._fits: dict[int, bool] = {}
 
-    def _suffix_lengths(self) -> dict[bytes, tuple[int, ...]]:
-        """For the last two bytes of a prefix: the lengths of tokens that could end there."""
+    def _tails(self) -> dict[bytes, tuple[int, ...]]:
+        """For the last three bytes of a prefix: the lengths, longest first, of tokens of three bytes or more that could end there."""
         out: dict[bytes, set[int]] = {}
         for k in self.usable:
-            if len(k) > 1:
-                out.setdefault(k[-2:], set()).add(len(k))
+            if len(k) > 2:
+                out.setdefault(k[-3:], set()).add(len(k))
         return {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
 
+    def _shorter(self) -> dict[int, int]:
+        """The longest usable token that is a proper ending of a token."""
+        return {t: next(self.usable[k[i:]] for i in range(1, len(k)) if k[i:] in self.usable) for k, t in self.usable.items() if len(k) > 1}
+
     def merge(self, word: bytes) -> list[int]:
         """Plain rank-ordered merging; used for table building and pair tests only."""
         out = [self.ids[bytes((b,))] for b in word]
@@ -96,12 +105,10 @@ class TrieBpe:
         return out
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left`` in an encoding: both alone, joined, encode to themselves."""
-        known = self._fits.get((left, right))
-        if known is None:
-            if len(self._fits) > 1 << 20:
-                self._fits.clear()
-            known = self._fits[left, right] = self._compatible(left, right)
+        """Whether ``right`` may follow ``left`` in an encoding: both alone, joined, encode to themselves. Remembered."""
+        if len(self._fits) > 1 << 20:
+            self._fits.clear()
+        known = self._fits[left << 32 | right] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -139,25 +146,36 @@ class TrieBpe:
         before = b""
         last: list[int] = []  # state by depth: last token of the prefix of that many bytes (depth 1 first)
         size: list[int] = []
-        usable, ends, fits = self.usable, self.ends, self.fits
+        find, tails, shorter, length, known, fits = self.usable.get, self.tails.get, self.shorter, self.length, self._fits, self.fits
         for word in sorted(words):
             shared = 0
-            for a, b in zip(before, word):
-                if a != b:
-                    break
-                shared += 1
+            if before[:3] == word[:3]:
+                for a, b in zip(before, word):
+                    if a != b:
+                        break
+                    shared += 1
             del last[shared:], size[shared:]
             for depth in range(shared + 1, len(word) + 1):
+                # the longest token that ends here, then ever shorter ones until one fits what stands before it
                 token = None
-                for n in ends.get(word[max(0, depth - 2) : depth], ()) if depth > 1 else ():
-                    if n > depth:
-                        continue
-                    t = usable.get(word[depth - n : depth])
-                    if t is not None and (n == depth or fits(last[depth - n - 1], t)):
-                        token = t
-                        break
+                if depth > 2:
+                    for n in tails(word[depth - 3 : depth], ()):
+                        if n <= depth:
+                            token = find(word[depth - n : depth])
+                            if token is not None:
+                                break
                 if token is None:
-                    n, token = 1, usable[word[depth - 1 : depth]]
+                    token = find(word[depth - 2 : depth]) if depth > 1 else None
+                    if token is None:
+                        token = find(word[depth - 1 : depth])
+                n = length[token]
+                while n < depth:
+                    left = last[depth - n - 1]
+                    ok = known.get(left << 32 | token)
+                    if ok if ok is not None else fits(left, token):
+                        break
+                    token = shorter[token]
+                    n = length[token]
                 last.append(token)
                 size.append(n)
             ids, at = [], len(word)
@@ -175,35 +193,30 @@ def load(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-class UnitMemo(dict):
-    """unit -> what ``make(ids)`` gives; unknown units of a batch are encoded together, in one trie."""
-
-    def __init__(self, bpe: TrieBpe, make):
-        super().__init__()
-        self.bpe, self.make = bpe, make
-        self.forget()
-
-    def forget(self) -> None:
-        """Keep the special tokens only; they stand under their ids."""
-        self.clear()
-        self.update({i: self.make([i]) for i in self.bpe.special.values()})
-
-    def learn(self, units: set[str | int]) -> None:
-        new = [u for u in units if u not in self]
-        if not new:
-            return
-        cut = {u: self.bpe.cut(u) for u in new}
-        ids = self.bpe.encode_words({w for ws in cut.values() for w in ws})
-        for u, ws in cut.items():
-            self[u] = self.make([i for w in ws for i in ids[w]])
-
-    def trim(self, used: set[str | int]) -> None:
-        """Forget long units, and everything once there is too much."""
-        if len(self) > MEMO_UNITS:
-            self.forget()
-        else:
-            for u in [u for u in used if isinstance(u, str) and len(u) > MEMO_CHARS]:
-                del self[u]
+class Memo:
+    """A dictionary of bounded size that keeps what is used: entries live in a young half and, once it is full, an old one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def pick(self, keys: set) -> tuple[dict, list]:
+        """Known values, and the keys that are unknown."""
+        young, old, found, unknown = self.young, self.old, {}, []
+        in_young, in_old = young.get, old.get
+        for k in keys:
+            value = in_young(k)
+            if value is None:
+                value = in_old(k)
+                if value is None:
+                    unknown.append(k)
+                    continue
+                young[k] = value
+            found[k] = value
+        return found, unknown
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
 
 
 def segments(bpe: TrieBpe, text: str) -> Iterator[tuple[int | None, str]]:
@@ -228,42 +241,63 @@ def text_units(bpe: TrieBpe, text: str) -> list[str | int]:
 
 
 class Encoder:
-    """Per-worker encoder over a memo of units; ``make`` turns ids into what the caller joins."""
-
-    def __init__(self, path: str, make):
-        self.bpe = load(path)
-        self.memo = UnitMemo(self.bpe, make)
-
-    def batch(self, texts: list[str | None], limit: int = 1 << 20) -> Iterator[list]:
-        """For each text, the list of made values of its units."""
+    """Per-worker encoder. Words are remembered with their ids, units with what ``make`` gives for theirs."""
+
+    def __init__(self, path: str, make, units: int, words: int = MEMO_WORDS):
+        self.bpe, self.make = load(path), make
+        self.units, self.words = Memo(units), Memo(words)
+        self.special = {i: make([i]) for i in self.bpe.special.values()}
+
+    def _learn(self, new: list[str]) -> dict[str, object]:
+        """Values of unknown units: their unknown words go into one trie."""
+        cut = {}
+        for u in new:
+            body = u[1:] if u[0] == " " else u
+            if body.isalpha():  # one word
+                cut[u] = (u.encode(),)
+            elif body and body[-1] in _MARKS and body[:-1].isalpha():  # a word and a mark
+                cut[u] = (u[:-1].encode(), body[-1].encode())
+            else:
+                cut[u] = self.bpe.cut(u)
+        ids, unknown = self.words.pick({w for ws in cut.values() for w in ws})
+        made = self.bpe.encode_words(unknown)
+        ids.update(made)
+        self.words.young.update((w, v) for w, v in made.items() if len(w) <= MEMO_CHARS)
+        self.words.turn()
+        make = self.make
+        return {u: make(ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]) for u, ws in cut.items()}
+
+    def batch(self, texts: list[str | None], limit: int = 4 << 20) -> Iterator[list]:
+        """For each text, the list of made values of its units; texts are taken in blocks of about ``limit`` characters."""
+        marked = tuple(self.bpe.special)
         at = 0
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to] or "") <= limit):
                 size += len(texts[to] or "")
                 to += 1
-            marked = tuple(self.bpe.special)
             units = [(text_units(self.bpe, t) if any(m in t for m in marked) else _UNIT.findall(t)) if t else [] for t in texts[at:to]]
-            used = set().union(*units)
-            self.memo.learn(used)
-            get = self.memo.__getitem__
+            here, unknown = self.units.pick(set().union(*units).difference(self.special))
+            here.update(self.special)
+            new = self._learn(unknown)
+            here.update(new)
+            self.units.young.update((u, v) for u, v in new.items() if len(u) <= MEMO_CHARS)
+            self.units.turn()
+            get = here.__getitem__
             for u in units:
                 yield list(map(get, u))
-            self.memo.trim(used)
             at = to
 
 
 @lru_cache(maxsize=4)
 def _digest_encoder(path: str) -> Encoder:
     bpe = load(path)
-    return Encoder(path, lambda ids: (",".join(map(str, ids)), b"".join(bpe.bytes[i] for i in ids), len(ids)))
+    return Encoder(path, lambda ids: (",".join(map(str, ids)), b"".join(bpe.bytes[i] for i in ids), len(ids)), MEMO_UNITS // 2)
 
 
 @lru_cache(maxsize=4)
 def _array_encoder(path: str) -> Encoder:
-    import numpy as np
-
-    return Encoder(path, lambda ids: np.asarray(ids, "<u4").tobytes())
+    return Encoder(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), MEMO_UNITS)
 
 
 def encode_to_bytes(path: str, texts: list[str | None]) -> Iterator[bytes]:
@@ -272,6 +306,43 @@ def encode_to_bytes(path: str, texts: list[str | None]) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+@lru_cache(maxsize=2)
+def _ranked(path: str):
+    """The compiled merge library on the same vocabulary: its ids are its ranks, so ids must follow the order of merges."""
+    import tiktoken
+
+    bpe = load(path)
+    order = [t for t, _ in sorted(bpe.parts.items(), key=lambda p: p[1][2])]
+    if order != sorted(order):
+        raise ValueError("the vocabulary's ids do not follow its merges")
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{_RUST_WHITE}]+(?![^{_RUST_WHITE}])|[{_RUST_WHITE}]+".replace(f"[^{WHITE}", f"[^{_RUST_WHITE}")
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks={k: v for k, v in bpe.ids.items() if v in bpe.parts or len(k) == 1}, special_tokens={})
+
+
+def library_ids(path: str, texts: list[str | None]) -> Iterator[bytes]:
+    """As :func:`encode_to_bytes`, by a compiled library; texts it may treat otherwise go through the trie.
+
+    Those hold special tokens, or code points that are unassigned in this Python's tables.
+    """
+    bpe, fast = load(path), _ranked(path)
+    marked = tuple(bpe.special)
+    for text in texts:
+        if not text:
+            yield b""
+        elif any(m in text for m in marked) or (not text.isascii() and _rare(text)):
+            yield next(encode_to_bytes(path, [text]))
+        else:
+            yield fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+_PLAIN = re.compile("[\\x00-\\u02af\\u2010-\\u2027]+")
+
+
+def _rare(text: str) -> bool:
+    """Whether a text has unassigned code points (the usual Latin letters and marks are passed over at once)."""
+    return any(unicodedata.category(c) == "Cn" for c in set(_PLAIN.sub("", text)))
+
+
 def encode(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array<int>): the general encoding operator. Narrow: no shuffle, bounded memory."""
     ship(df.sparkSession)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelwave.llm.bpe import encode_to_bytes
+from voxelwave.llm.bpe import library_ids
 from voxelwave.runtime import cut, ship
 
 CAPACITY = 2048
@@ -35,7 +35,7 @@ def pieces(df: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int = 0)
     def run(batches):
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for r, raw in enumerate(encode_to_bytes(vocab, b.column(1).to_pylist())):
+            for r, raw in enumerate(library_ids(vocab, b.column(1).to_pylist())):
                 raw += end
                 n = len(raw) // 4
                 first = (n - 1) % capacity + 1

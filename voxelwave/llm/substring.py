@@ -264,32 +264,41 @@ class Index:
         while exists(spark, f"{self.path}/{k}"):
             k += 1
         self.next = k
-        self.runs = [f"{self.path}/{i}" for i in range(k) if exists(spark, f"{self.path}/{i}/_SUCCESS")]
+        self.runs = [f"{self.path}/{i}" for i in range(k) if exists(spark, f"{self.path}/{i}/_SUCCESS") and exists(spark, f"{self.path}/{i}/kind=run")]
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.schema(_BLOCK).parquet(*self.runs) if self.runs else None
-
-    def add(self, df: DataFrame) -> None:
-        df.write.parquet(f"{self.path}/{self.next}")
-        self.runs.append(f"{self.path}/{self.next}")
+        """Blocks of all runs, in the columns of a block."""
+        if not self.runs:
+            return None
+        plain = _BLOCK.split(", ", 1)[1]
+        return self.spark.read.schema(plain).parquet(*(f"{r}/kind=run" for r in self.runs)).select(F.lit("run").alias("kind"), "bucket", "part", "n", "fps", "docs")
+
+    def add(self, merged: DataFrame) -> DataFrame:
+        """Write a merge's output once: its new fingerprints are a run as they stand, its replies are given back."""
+        here = f"{self.path}/{self.next}"
+        merged.write.partitionBy("kind").parquet(here)
         self.next += 1
+        if exists(self.spark, f"{here}/kind=run"):
+            self.runs.append(here)
+        return self.spark.read.schema(_BLOCK).parquet(here).where("kind = 'reply'")
+
+    def settle(self) -> None:
+        """Replies of the newest run have been used; too many runs become one."""
+        here = f"{self.path}/{self.next - 1}/kind=reply"
+        if exists(self.spark, here):
+            remove(self.spark, here)
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
-        """All runs become one; the old ones go when it is written."""
+        """All runs become one; the old ones go when it is written. Empty folders keep the numbering."""
         old = self.runs
         merged = self.read().groupBy("bucket").applyInArrow(_compact, _BLOCK)
-        self.runs = []
-        merged.write.parquet(f"{self.path}/{self.next}")
-        self.runs.append(f"{self.path}/{self.next}")
+        merged.write.partitionBy("kind").parquet(f"{self.path}/{self.next}")
+        self.runs = [f"{self.path}/{self.next}"]
         self.next += 1
         for p in old:
-            for name in ("", ):
-                remove(self.spark, p + name)
-            # an empty folder keeps the numbering
-            fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-            fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(fs_path)
+            remove(self.spark, f"{p}/kind=run")
 
 
 def _tidy(spark: SparkSession) -> None:
@@ -330,7 +339,6 @@ def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], windo
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
-    reply_schema = "kind string, bucket int, part int, n int, fps binary, docs binary"
     bounds = [None, *edges, None]
     for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
         batch = df
@@ -342,16 +350,12 @@ def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], windo
         batch = batch.withColumn("_part", F.pmod(F.xxhash64("_id", F.when(F.col("_id").isNull(), F.xxhash64("_text"))), F.lit(parts[k])).cast("int"))
         blocks = batch.select("_id", "_text", "_part").groupBy("_part").applyInArrow(_emit(index.buckets, window, seed, bits), _BLOCK)
         known = index.read()
-        path = scratch(spark, "merged")
         both = blocks if known is None else blocks.unionByName(known)
-        both.groupBy("bucket").applyInArrow(_merge, _BLOCK).write.partitionBy("kind").parquet(f"{path}/t")
-        merged = spark.read.schema(reply_schema).parquet(f"{path}/t")
-        index.add(merged.where("kind = 'run'").select("kind", "bucket", "part", "n", "fps", "docs"))
-        replies = merged.where("kind = 'reply'").withColumnRenamed("part", "_part")
+        replies = index.add(both.groupBy("bucket").applyInArrow(_merge, _BLOCK)).withColumnRenamed("part", "_part")
         done = batch.groupBy("_part").cogroup(replies.groupBy("_part")).applyInArrow(_finish(window, seed, bits, names, schema, text_out), ddl)
         done.write.mode("append").partitionBy("_kind").parquet(f"{out}/t")
-        remove(spark, path)
-        del batch, blocks, both, merged, replies, done, known
+        index.settle()
+        del batch, blocks, both, replies, done, known
         _tidy(spark)
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Text bytes handled at once inside a task; a single longer text is one block of its own.
 BLOCK_BYTES = 2 << 20
+#: Bytes over which one running sum of hash terms goes.
+HASH_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
@@ -94,16 +96,22 @@ def _constants(seed: int) -> tuple[int, int, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit polynomial hash of every word's bytes, from one running sum over the block."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit polynomial hash of every word's bytes, from a running sum over stretches of about HASH_BYTES."""
+    out = np.empty(len(starts), np.uint64)
     base, _, table = _constants(seed)
-    size = 1 << max(21, int(len(data) + 1).bit_length())
-    up, down = _powers(base, size)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + HASH_BYTES, "right")))
+        high = int(ends[to - 1])
+        up, down = _powers(base, 2 * HASH_BYTES) if high - low < 2 * HASH_BYTES else _powers.__wrapped__(base, high - low + 1)
+        total = np.empty(high - low + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(table[data[low:high]] * up[: high - low], out=total[1:])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def window_hashes(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:

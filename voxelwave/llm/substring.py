@@ -36,8 +36,8 @@ from voxelwave.runtime import exists, remove, scratch, ship
 
 WINDOW = 13
 #: Text bytes of a part, words of a bucket over the whole table, and text bytes of a batch that tasks should hold.
-PART_BYTES = 8 << 20
-BUCKET_WORDS = 1 << 20
+PART_BYTES = 4 << 20
+BUCKET_WORDS = 1 << 19
 BATCH_BYTES = 32 << 30
 LEAST_PARTS = 48
 LEAST_BATCHES = 4
@@ -97,8 +97,8 @@ class Windows:
         starts, ends, self.word_offsets = words(data, offsets)
         counts = np.diff(self.word_offsets)
         fps = window_hashes(word_hashes(data, starts, ends, seed), window, seed)
-        row = np.repeat(np.arange(len(counts)), counts)[: len(fps)]
-        at = np.arange(len(fps))
+        row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[: len(fps)]
+        at = np.arange(len(fps), dtype=np.int32)
         keep = (at + window <= self.word_offsets[1:][row]) & valid[row]
         self.fps, self.row, self.at = fold(fps[keep], bits), row[keep], at[keep]
         self.doc = ids[self.row]
@@ -123,6 +123,13 @@ def _rows(kind: list, bucket: list, part: list, n: list, fps: list, docs: list)
     return pa.table([pa.array(kind, pa.string()), pa.array(bucket, pa.int32()), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), pa.array(docs, pa.binary())], ["kind", "bucket", "part", "n", "fps", "docs"])
 
 
+def _each(t: pa.Table):
+    """Rows one at a time, so that a group's blocks are not copied all at once."""
+    for b in t.to_batches():
+        for k in range(b.num_rows):
+            yield {c: b.column(c)[k].as_py() for c in ("kind", "n", "fps", "docs")} | ({"part": b.column("part")[k].as_py()} if "part" in b.schema.names else {})
+
+
 def _emit(buckets: int, window: int, seed: int, bits: int):
     def run(keys, t):
         ids, valid = _ids(t, "_id")
@@ -144,7 +151,7 @@ def _merge(keys, t):
     """One bucket: runs of the index against the parts of a batch."""
     bucket = keys[0].as_py()
     parts, runs = [], []
-    for r in t.to_pylist():
+    for r in _each(t):
         if r["kind"] == "batch":
             parts.append((r["part"], unpack_sorted(r["fps"], r["n"]), unpack_ids(r["docs"], r["n"])))
         else:
@@ -183,7 +190,7 @@ def _merge(keys, t):
 
 
 def _compact(keys, t):
-    rows = t.to_pylist()
+    rows = [*_each(t)]
     fps = np.concatenate([unpack_sorted(r["fps"], r["n"]) for r in rows])
     docs = np.concatenate([unpack_ids(r["docs"], r["n"]) for r in rows])
     order = np.argsort(fps, kind="stable")
@@ -198,13 +205,13 @@ def _finish(window: int, seed: int, bits: int, names: list[str], schema: pa.Sche
         w = Windows(t.column("_text"), ids, valid, window, seed, bits)
         fps, first, place = w.firsts()
         owner, told = first.copy(), np.zeros(len(fps), bool)
-        for r in replies.to_pylist():
+        for r in _each(replies):
             at = np.searchsorted(fps, unpack_sorted(r["fps"], r["n"]))
             owner[at], told[at] = unpack_ids(r["docs"], r["n"]), True
         covered = told[place] | (first[place] < w.doc)
-        cover = np.zeros(w.word_offsets[-1] + window + 1, np.int64)
-        np.add.at(cover, w.at[covered], 1)
-        np.add.at(cover, w.at[covered] + window, -1)
+        cover = np.zeros(w.word_offsets[-1] + window + 1, np.int32)
+        cover[w.at[covered]] += 1
+        cover[w.at[covered] + window] -= 1
         gone = np.cumsum(cover) > 0
         by = owner[place]
         hits = np.flatnonzero(covered)
@@ -352,10 +359,13 @@ def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], windo
         known = index.read()
         both = blocks if known is None else blocks.unionByName(known)
         replies = index.add(both.groupBy("bucket").applyInArrow(_merge, _BLOCK)).withColumnRenamed("part", "_part")
+        # the merge's shuffle files, index included, are dropped before the texts are dealt again
+        del blocks, both, known
+        _tidy(spark)
         done = batch.groupBy("_part").cogroup(replies.groupBy("_part")).applyInArrow(_finish(window, seed, bits, names, schema, text_out), ddl)
         done.write.mode("append").partitionBy("_kind").parquet(f"{out}/t")
         index.settle()
-        del batch, blocks, both, replies, done, known
+        del batch, replies, done
         _tidy(spark)
 
 

@@ -241,10 +241,10 @@ def text_units(bpe: TrieBpe, text: str) -> list[str | int]:
 
 
 class Encoder:
-    """Per-worker encoder. Words are remembered with their ids, units with what ``make`` gives for theirs."""
+    """Per-worker encoder. Words are remembered with what ``make`` gives for their ids, units with the joined values."""
 
-    def __init__(self, path: str, make, units: int, words: int = MEMO_WORDS):
-        self.bpe, self.make = load(path), make
+    def __init__(self, path: str, make, join, units: int = MEMO_UNITS, words: int = MEMO_WORDS):
+        self.bpe, self.make, self.join = load(path), make, join
         self.units, self.words = Memo(units), Memo(words)
         self.special = {i: make([i]) for i in self.bpe.special.values()}
 
@@ -259,13 +259,13 @@ class Encoder:
                 cut[u] = (u[:-1].encode(), body[-1].encode())
             else:
                 cut[u] = self.bpe.cut(u)
-        ids, unknown = self.words.pick({w for ws in cut.values() for w in ws})
-        made = self.bpe.encode_words(unknown)
-        ids.update(made)
+        known, unknown = self.words.pick({w for ws in cut.values() for w in ws})
+        make, join = self.make, self.join
+        made = {w: make(ids) for w, ids in self.bpe.encode_words(unknown).items()}
+        known.update(made)
         self.words.young.update((w, v) for w, v in made.items() if len(w) <= MEMO_CHARS)
         self.words.turn()
-        make = self.make
-        return {u: make(ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]) for u, ws in cut.items()}
+        return {u: known[ws[0]] if len(ws) == 1 else join([known[w] for w in ws]) for u, ws in cut.items()}
 
     def batch(self, texts: list[str | None], limit: int = 4 << 20) -> Iterator[list]:
         """For each text, the list of made values of its units; texts are taken in blocks of about ``limit`` characters."""
@@ -289,15 +289,22 @@ class Encoder:
             at = to
 
 
+def _joined(values: list[tuple[str, bytes, int]]) -> tuple[str, bytes, int]:
+    ids, raw, n = zip(*values)
+    return ",".join(ids), b"".join(raw), sum(n)
+
+
 @lru_cache(maxsize=4)
 def _digest_encoder(path: str) -> Encoder:
-    bpe = load(path)
-    return Encoder(path, lambda ids: (",".join(map(str, ids)), b"".join(bpe.bytes[i] for i in ids), len(ids)), MEMO_UNITS // 2)
+    """Decimal ids, the bytes they decode to, and their number."""
+    table = load(path).bytes
+    names = {i: str(i) for i in table}
+    return Encoder(path, lambda ids: (",".join([names[i] for i in ids]), b"".join([table[i] for i in ids]), len(ids)), _joined, MEMO_UNITS // 2)
 
 
 @lru_cache(maxsize=4)
 def _array_encoder(path: str) -> Encoder:
-    return Encoder(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), MEMO_UNITS)
+    return Encoder(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
 
 
 def encode_to_bytes(path: str, texts: list[str | None]) -> Iterator[bytes]:
@@ -389,9 +396,10 @@ def round_trip(df: DataFrame, vocab: str) -> DataFrame:
         for b in batches:
             n, ids, text = [], [], []
             for parts in coder.batch(b.column(1).to_pylist()):
-                n.append(sum(p[2] for p in parts))
-                ids.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                text.append(hashlib.sha256(b"".join([p[1] for p in parts]).decode("utf-8", "replace").encode()).hexdigest())
+                listed, raw, count = _joined(parts) if parts else ("", b"", 0)
+                n.append(count)
+                ids.append(hashlib.sha256(listed.encode()).hexdigest())
+                text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

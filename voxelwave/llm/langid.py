@@ -119,9 +119,12 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def sample(rows: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(lang, hash, features, shares) of at most PER_LANG rows a language, least hash of the id first."""
     key = rows.select("id", "lang", F.xxhash64("id", "lang").alias("h"))
-    langs = key.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    langs = key.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
     w = W.partitionBy("lang").orderBy("h", "id")
-    picked = key.join(F.broadcast(langs), "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= PER_LANG).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("lang").alias("_lang"))
+    # a hash threshold leaves about four times the rows wanted of a language, however many it has and however they are dealt
+    few = F.col("count") <= 4 * PER_LANG
+    near = F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * 4 * PER_LANG / F.col("count")
+    picked = key.join(F.broadcast(langs), "lang").where(few | near).withColumn("r", F.row_number().over(w)).where(F.col("r") <= PER_LANG).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("lang").alias("_lang"))
     # at most PER_LANG * MAX_LANGS rows: a bounded broadcast
     chosen = rows.join(F.broadcast(picked.distinct()), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", F.col("_h").alias("h"), "text")
 

@@ -138,7 +138,7 @@ def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         clip = min(max(share, 1e-3), 1 - 1e-3)
         return Model(float(np.log(clip / (1 - clip))), [], [], [], [])
     base = float(np.log(share / (1 - share)))

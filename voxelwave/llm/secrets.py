@@ -94,7 +94,8 @@ class Ledger:
         fresh = texts.join(unseen, (texts.blob == F.col("_blob")) & texts.id.eqNullSafe(F.col("rep"))).select("blob", "text")
         _scan(fresh).write.mode("append").parquet(f"{self.path}/rule_version={self.version}")
         # a path given in several equal rows is scanned as often; one record is enough
-        return paths.join(self.findings().dropDuplicates(["blob"]), "blob")
+        # both sides come from tables, so that a blob of very many paths can be split by the adaptive join
+        return paths.join(cut(self.findings().dropDuplicates(["blob"]), "findings"), "blob")
 
 
 def scan(df: DataFrame, ledger: Ledger | None = None) -> DataFrame:

@@ -114,15 +114,18 @@ def spike_waveforms(df: DataFrame, ids: Sequence[str], srate: float, w_pre: int
 
 def haar_coefficients(df: DataFrame, ids: Sequence[str], levels: int = 4, samples: str = "samples") -> DataFrame:
     """Periodic Haar coefficients by higher-order functions alone, coarsest first."""
-    r = 2.0**0.5
     d = df.select(*ids, F.col(samples).cast("array<double>").alias("_s"))
-    parts = []
-    for k in range(levels):
-        half = F.sequence(F.lit(0), (F.size("_s") / 2).cast("int") - 1)
-        pick = lambda i, o: F.get("_s", 2 * i + o)
-        d = d.withColumn(f"_d{k}", F.transform(half, lambda i: (pick(i, 0) - pick(i, 1)) / r)).withColumn("_s", F.transform(half, lambda i: (pick(i, 0) + pick(i, 1)) / r))
-        parts.append(f"_d{k}")
-    return d.select(*ids, F.concat("_s", *parts[::-1]).alias("coefficients"))
+    total = lambda at, n: F.aggregate(F.slice("_s", at + 1, n), F.lit(0.0), lambda a, v: a + v)
+
+    def level(width: int, fine: bool):
+        """Sums over ``width`` samples, or the first half less the second; each straight from the samples."""
+        places = F.sequence(F.lit(0), (F.size("_s") / width).cast("int") - 1)
+        half = width // 2
+        if fine:
+            return F.transform(places, lambda k: (total(k * width, half) - total(k * width + half, half)) / float(width) ** 0.5)
+        return F.transform(places, lambda k: total(k * width, width) / float(width) ** 0.5)
+
+    return d.select(*ids, F.concat(level(1 << levels, False), *(level(1 << k, True) for k in range(levels, 0, -1))).alias("coefficients"))
 
 
 def lilliefors(df: DataFrame, ids: Sequence[str], samples: str = "samples") -> DataFrame:

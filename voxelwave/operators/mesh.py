@@ -74,12 +74,21 @@ def edge_lengths(v: DataFrame, f: DataFrame) -> DataFrame:
 def update_normals(v: DataFrame, f: DataFrame, weight: str = "area") -> DataFrame:
     """Vertices with unit normals nx, ny, nz."""
     c = corners(v, f)
-    n = G.cross(G.sub(F.col("p1"), F.col("p0")), G.sub(F.col("p2"), F.col("p0")))
+    # plain doubles stage by stage: edges, then cross product and dot products, then angles
+    ends = (("a", 0, 1), ("b", 1, 2), ("c", 2, 0))
+    c = c.select("mesh_id", "v0", "v1", "v2", *((F.col(f"p{j}.{x}") - F.col(f"p{i}.{x}")).alias(f"{n}{x}") for n, i, j in ends for x in "xyz"))
+    dot = lambda p, q: sum((F.col(f"{p}{x}") * F.col(f"{q}{x}") for x in "yz"), F.col(f"{p}x") * F.col(f"{q}x"))
+    turn = (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))
+    c = c.select("*", *((F.col(f"a{q}") * F.col(f"b{r}") - F.col(f"a{r}") * F.col(f"b{q}")).alias(f"n{p}") for p, q, r in turn), *(F.sqrt(dot(n, n)).alias(f"l{n}") for n in "abc"), *((-dot(p, q)).alias(f"d{k}") for k, (p, q) in enumerate(("ac", "ab", "bc"))))
     if weight == "area":
-        per = [F.struct(F.col(f"v{k}").alias("vid"), n.alias("n")) for k in range(3)]
+        w = [F.lit(1.0)] * 3
     else:
-        angle = lambda k: G.angle_to(G.sub(F.col(f"p{(k + 1) % 3}"), F.col(f"p{k}")), G.sub(F.col(f"p{(k + 2) % 3}"), F.col(f"p{k}")))
-        per = [F.struct(F.col(f"v{k}").alias("vid"), G.multiply_scalar(G.normalize(n), angle(k)).alias("n")) for k in range(3)]
+        size = F.sqrt(dot("n", "n"))
+        sides = (("la", "lc"), ("la", "lb"), ("lb", "lc"))
+        cos = [F.try_divide(F.col(f"d{k}"), F.col(p) * F.col(q)) for k, (p, q) in enumerate(sides)]
+        c = c.select("*", *(F.coalesce(F.try_divide(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))), size), F.lit(0.0)).alias(f"w{k}") for k, x in enumerate(cos)))
+        w = [F.col(f"w{k}") for k in range(3)]
+    per = [F.struct(F.col(f"v{k}").alias("vid"), F.struct(*((F.col(f"n{x}") * w[k]).alias(x) for x in "xyz")).alias("n")) for k in range(3)]
     sums = c.select("mesh_id", F.explode(F.array(*per)).alias("c")).groupBy("mesh_id", F.col("c.vid").alias("vid")).agg(*(F.sum(f"c.n.{a}").alias(f"s{a}") for a in "xyz"))
     d = v.join(sums, ["mesh_id", "vid"], "left")
     u = G.normalize(G.vec(*(F.coalesce(F.col(f"s{a}"), F.lit(0.0)) for a in "xyz")))
@@ -143,21 +152,30 @@ def raycast(v: DataFrame, f: DataFrame, rays: DataFrame, max_distance: float | N
 
     Faces meet the rays of their mesh; hits are reduced to one row a ray before anything else is joined.
     """
-    c = corners(v, f)
-    d = G.normalize(G.vec(F.col("dx"), F.col("dy"), F.col("dz")))
-    r = rays.select("mesh_id", "ray_id", G.vec(F.col("ox"), F.col("oy"), F.col("oz")).alias("o"), F.explode(F.array(*(F.lit(s) for s in ((1.0, -1.0) if both_sides else (1.0,))))).alias("sign"), d.alias("d0"))
-    r = r.withColumn("d", G.multiply_scalar(F.col("d0"), F.col("sign"))).withColumn("q", G.add_scaled(F.col("o"), F.col("d"), -1e-6))
-    t = r.join(c, "mesh_id")
-    t = t.withColumn("e1", G.sub(F.col("p1"), F.col("p0"))).withColumn("e2", G.sub(F.col("p2"), F.col("p0")))
-    t = t.withColumn("h", G.cross(F.col("d"), F.col("e2"))).withColumn("det", G.dot(F.col("e1"), F.col("h"))).where(F.abs("det") > 1e-12)
-    t = t.withColumn("s", G.sub(F.col("q"), F.col("p0"))).withColumn("u", G.dot(F.col("s"), F.col("h")) / F.col("det")).where((F.col("u") >= -1e-9) & (F.col("u") <= 1 + 1e-9))
-    t = t.withColumn("k", G.cross(F.col("s"), F.col("e1"))).withColumn("w", G.dot(F.col("d"), F.col("k")) / F.col("det")).where((F.col("w") >= -1e-9) & (F.col("u") + F.col("w") <= 1 + 1e-9))
-    t = t.withColumn("t", G.dot(F.col("e2"), F.col("k")) / F.col("det")).where("t >= 0").withColumn("far", F.col("t") - 1e-6)
+    flat = lambda c, n: [c[a].alias(f"{n}{a}") for a in "xyz"]
+    faces = corners(v, f)
+    # both sides become tables of plain doubles, so that no expression is repeated inside another
+    faces = cut(faces.select("mesh_id", F.col("fid").alias("face"), *flat(F.col("p0"), "a"), *flat(G.sub(F.col("p1"), F.col("p0")), "e"), *flat(G.sub(F.col("p2"), F.col("p0")), "g")), "faces")
+    size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    signs = F.array(*(F.lit(s) for s in ((1.0, -1.0) if both_sides else (1.0,))))
+    r = rays.select("*", F.explode(signs).alias("sign"), size.alias("_n"))
+    r = r.select("mesh_id", "ray_id", "sign", "ox", "oy", "oz", *((F.col(f"d{a}") * F.col("sign") / F.col("_n")).alias(f"d{a}") for a in "xyz"))
+    r = cut(r.select("*", *((F.col(f"o{a}") - 1e-6 * F.col(f"d{a}")).alias(f"q{a}") for a in "xyz")), "rays")
+
+    def cross(n: str, p: str, q: str) -> list:
+        return [(F.col(f"{p}{b}") * F.col(f"{q}{c}") - F.col(f"{p}{c}") * F.col(f"{q}{b}")).alias(f"{n}{a}") for a, b, c in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))]
+
+    def dot(p: str, q: str):
+        return F.col(f"{p}x") * F.col(f"{q}x") + F.col(f"{p}y") * F.col(f"{q}y") + F.col(f"{p}z") * F.col(f"{q}z")
+
+    t = r.join(faces, "mesh_id").select("*", *cross("h", "d", "g"), *((F.col(f"q{a}") - F.col(f"a{a}")).alias(f"s{a}") for a in "xyz"))
+    t = t.withColumn("det", dot("e", "h")).where(F.abs("det") > 1e-12).withColumn("u", F.try_divide(dot("s", "h"), F.col("det"))).where((F.col("u") >= -1e-9) & (F.col("u") <= 1 + 1e-9))
+    t = t.select("*", *cross("k", "s", "e")).withColumn("w", F.try_divide(dot("d", "k"), F.col("det"))).where((F.col("w") >= -1e-9) & (F.col("u") + F.col("w") <= 1 + 1e-9))
+    t = t.withColumn("t", F.try_divide(dot("g", "k"), F.col("det"))).where("t >= 0").withColumn("far", F.col("t") - 1e-6)
     if max_distance is not None:
         t = t.where(F.col("far") <= max_distance)
-    best = t.groupBy("mesh_id", "ray_id").agg(F.min(F.struct("far", F.col("fid").alias("face"), "sign", "o", "d")).alias("b"))
-    p = G.add_scaled(F.col("b.o"), F.col("b.d"), F.col("b.far"))
-    hits = best.select("mesh_id", "ray_id", (F.col("b.far") * F.col("b.sign")).alias("distance"), "b.face", *(p[a].alias(f"p{a}") for a in "xyz"))
+    best = t.groupBy("mesh_id", "ray_id").agg(F.min(F.struct("far", "face", "sign", "ox", "oy", "oz", "dx", "dy", "dz")).alias("b"))
+    hits = best.select("mesh_id", "ray_id", (F.col("b.far") * F.col("b.sign")).alias("distance"), "b.face", *((F.col(f"b.o{a}") + F.col(f"b.d{a}") * F.col("b.far")).alias(f"p{a}") for a in "xyz"))
     return rays.select("mesh_id", "ray_id").join(hits, ["mesh_id", "ray_id"], "left")
 
 
@@ -360,7 +378,11 @@ def catmull_rom(points: DataFrame, by: Sequence[str], order: str, per_segment: i
 
 def plot_table(v: DataFrame, f: DataFrame, eye=(0.0, 0.0, 1000.0), lookat=(0.0, 0.0, 0.0), up=(0.0, 1.0, 0.0)) -> DataFrame:
     """What a painter would draw: faces in camera coordinates with their depth, to be drawn far to near."""
-    view = G.m_invert(G.m_set_position(G.m_look_at(G.vec(*eye), G.vec(*lookat), G.vec(*up)), G.vec(*eye)))
+    z = K.unit(np.subtract(eye, lookat, dtype=float))
+    x = K.unit(np.cross(up, z))
+    pose = np.eye(4)
+    pose[:3] = np.column_stack([x, np.cross(z, x), z, eye])
+    view = G.matrix(np.linalg.inv(pose).tolist())
     cam = v.select("mesh_id", "vid", G.apply_matrix4(G.vec(F.col("x"), F.col("y"), F.col("z")), view).alias("p")).select("mesh_id", "vid", "p.x", "p.y", "p.z")
     c = corners(cam, f)
     depth = (F.col("p0.z") + F.col("p1.z") + F.col("p2.z")) / 3

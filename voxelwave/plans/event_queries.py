@@ -45,7 +45,7 @@ def stim_find(spark, sf_dir):
 
 @query("stim_align")
 def stim_align(spark, sf_dir):
-    return E.stimpulse_align(user_arrays(spark, sf_dir), ["user_id"], 1.0, 3.0, (-4, 8))
+    return E.stimpulse_align(user_arrays(spark, sf_dir), ["user_id"], 1.0, 3.0, (-4, 8), n_pulses=5)
 
 
 @query("stim_interpolate")
@@ -88,8 +88,8 @@ def spike_waveforms(spark, sf_dir):
     return d.select("vec_id", "spike", F.posexplode("waveform").alias("k", "v")).select("vec_id", "spike", "k", r6(F.col("v")).alias("value"))
 
 
-@query("haar_coefficients", """WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS t, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT * FROM (VALUES (1, 32), (2, 16), (3, 8), (4, 4)) q(l, at))
-SELECT vec_id, CAST(at + t // CAST(pow(2, l) AS BIGINT) AS INTEGER) AS k, round(sum(CASE WHEN t % CAST(pow(2, l) AS BIGINT) < pow(2, l - 1) THEN v ELSE -v END) / pow(2, l / 2.0), 6) + 0.0 AS value FROM x CROSS JOIN s GROUP BY ALL
+@query("haar_coefficients", """WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS t, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT * FROM (VALUES (1, 32), (2, 16), (3, 8), (4, 4)) q(l, base))
+SELECT vec_id, CAST(base + t // CAST(pow(2, l) AS BIGINT) AS INTEGER) AS k, round(sum(CASE WHEN t % CAST(pow(2, l) AS BIGINT) < pow(2, l - 1) THEN v ELSE -v END) / pow(2, any_value(l) / 2.0), 6) + 0.0 AS value FROM x CROSS JOIN s GROUP BY vec_id, CAST(base + t // CAST(pow(2, l) AS BIGINT) AS INTEGER)
 UNION ALL SELECT vec_id, CAST(t // 16 AS INTEGER) AS k, round(sum(v) / 4, 6) + 0.0 AS value FROM x GROUP BY ALL""")
 def haar_coefficients(spark, sf_dir):
     d = E.haar_coefficients(signals(spark, sf_dir), ["vec_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -57,8 +59,9 @@ def _normals_sql(weight: str) -> str:
     if weight == "area":
         rows = "SELECT mesh_id, unnest([v0, v1, v2]) AS vid, nx, ny, nz FROM n"
     else:
-        ang = lambda p, q, r: f"acos(greatest(-1, least(1, (({q}x - {p}x) * ({r}x - {p}x) + ({q}y - {p}y) * ({r}y - {p}y) + ({q}z - {p}z) * ({r}z - {p}z)) / sqrt((pow({q}x - {p}x, 2) + pow({q}y - {p}y, 2) + pow({q}z - {p}z, 2)) * (pow({r}x - {p}x, 2) + pow({r}y - {p}y, 2) + pow({r}z - {p}z, 2))))))".replace("by -", "by_ -").replace("by)", "by_)")
+        ang = lambda p, q, r: f"acos(greatest(-1, least(1, (({q}x - {p}x) * ({r}x - {p}x) + ({q}y - {p}y) * ({r}y - {p}y) + ({q}z - {p}z) * ({r}z - {p}z)) / sqrt((pow({q}x - {p}x, 2) + pow({q}y - {p}y, 2) + pow({q}z - {p}z, 2)) * (pow({r}x - {p}x, 2) + pow({r}y - {p}y, 2) + pow({r}z - {p}z, 2))))))"
         rows = f"SELECT mesh_id, vid, nx * w / l AS nx, ny * w / l AS ny, nz * w / l AS nz FROM (SELECT mesh_id, unnest([v0, v1, v2]) AS vid, unnest([{ang('a', 'b', 'c')}, {ang('b', 'c', 'a')}, {ang('c', 'a', 'b')}]) AS w, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM n)"
+    rows = re.sub(r"\bby\b", "by_", rows)
     return f"""{T}, n AS (SELECT *, {n} FROM t), s AS (SELECT mesh_id, vid, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM ({rows}) GROUP BY ALL)
 SELECT mesh_id, vid, round(x / sqrt(x * x + y * y + z * z), 6) + 0.0 AS nx, round(y / sqrt(x * x + y * y + z * z), 6) + 0.0 AS ny, round(z / sqrt(x * x + y * y + z * z), 6) + 0.0 AS nz FROM s"""
 
@@ -130,7 +133,7 @@ _POINTS = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS FLOAT) AS x, CAST(emb
 
 
 @query("knn_3", f"""WITH {_POINTS}, d AS (SELECT a.id AS query_id, b.id AS target_id, CAST((a.x - b.x) * (a.x - b.x) AS FLOAT) + CAST((a.y - b.y) * (a.y - b.y) AS FLOAT) + CAST((a.z - b.z) * (a.z - b.z) AS FLOAT) AS d FROM p a JOIN p b ON a.id % 5 = 0)
-SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, target_id FROM d QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY query_id ORDER BY d, target_id)""")
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, target_id FROM d WINDOW w AS (PARTITION BY query_id ORDER BY d, target_id) QUALIFY row_number() OVER w <= 3""")
 def knn_3(spark, sf_dir):
     p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
     return M.knn(p, p.where("id % 5 = 0"), 3).select("query_id", "rank", "target_id")

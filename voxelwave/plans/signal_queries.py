@@ -262,7 +262,7 @@ def design_filters(spark, sf_dir):
     for method in ("fir_kaiser", "firls", "fir_remez", "butter", "cheby1", "cheby2", "ellip"):
         spec = design.design_filter(500.0, method, high_pass=4.0, low_pass=40.0)
         for c in spec.checks:
-            rows.append((method, int(spec.parameters["order"]), round(c["frequency"], 6), round(min(c["attenuation_db"], 400.0), 3), round(c["rcond"], 12)))
+            rows.append((method, int(spec.parameters["order"]), round(float(c["frequency"]), 6), round(float(min(c["attenuation_db"], 400.0)), 3), round(float(c["rcond"]), 12)))
     return spark.createDataFrame(rows, "method string, filter_order int, frequency double, attenuation_db double, rcond double")
 
 

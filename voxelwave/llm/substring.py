@@ -21,18 +21,21 @@ long texts are handled in one piece by vectorised code. An empty table gives an
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import hashlib
+import time
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelwave.llm.arrowtext import text_view, window_hashes, word_hashes, words
-from voxelwave.runtime import exists, remove, scratch, ship
+from voxelwave.runtime import cut, exists, remove, scratch, ship
 
 WINDOW = 13
 #: Text bytes of a part, words of a bucket over the whole table, and text bytes of a batch that tasks should hold.
@@ -40,6 +43,13 @@ PART_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 19
 BATCH_BYTES = 32 << 30
 LEAST_PARTS = 48
+#: Slices of buckets that are merged one after another; what is on disk at once beside the index shrinks with them.
+SLICES = 2
+#: Text bytes, and buckets, that one writing task should hold; small files cost more than their bytes.
+TASK_BYTES = 32 << 20
+TASK_BUCKETS = 16
+#: Passes with other hash constants before the operator gives up.
+ATTEMPTS = 8
 LEAST_BATCHES = 4
 
 _BLOCK = "kind string, bucket int, part int, n int, fps binary, docs binary"
@@ -233,11 +243,11 @@ def _finish(window: int, seed: int, bits: int, names: list[str], schema: pa.Sche
             n_words.append(b - a)
             n_gone.append(removed)
             if removed:
-                cut = raw.split()
+                split = raw.split()
                 for src, x, z in passages[r]:
-                    claim = b" ".join(cut[x - a : z - a])
+                    claim = b" ".join(split[x - a : z - a])
                     claims.setdefault((src, hashlib.sha256(claim).digest()), claim)
-                kept = b" ".join(compress(cut, (~gone[a:b]).tolist()))
+                kept = b" ".join(compress(split, (~gone[a:b]).tolist()))
             elif text_out:
                 kept = raw
             else:
@@ -261,81 +271,108 @@ def _finish(window: int, seed: int, bits: int, names: list[str], schema: pa.Sche
 
 
 class Index:
-    """Immutable runs in shared storage, one folder each."""
+    """Immutable runs in shared storage, one folder each; a run lies in slices of buckets that are merged one after another."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, max_runs: int = 8):
         self.spark, self.buckets, self.max_runs = spark, buckets, max_runs
         self.path = path or scratch(spark, "index")
         self.runs: list[str] = []
-        k = 0
-        while exists(spark, f"{self.path}/{k}"):
-            k += 1
-        self.next = k
-        self.runs = [f"{self.path}/{i}" for i in range(k) if exists(spark, f"{self.path}/{i}/_SUCCESS") and exists(spark, f"{self.path}/{i}/kind=run")]
-
-    def read(self) -> DataFrame | None:
-        """Blocks of all runs, in the columns of a block."""
+        self.next = 0
+        while exists(spark, f"{self.path}/{self.next}"):
+            here = f"{self.path}/{self.next}"
+            if all(exists(spark, f"{here}/{j}/_SUCCESS") for j in range(SLICES)):
+                self.runs.append(here)
+            self.next += 1
+
+    def _tasks(self) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.buckets // SLICES // TASK_BUCKETS))
+
+    def read(self, piece: int) -> DataFrame | None:
+        """Blocks of all runs in one slice."""
         if not self.runs:
             return None
-        plain = _BLOCK.split(", ", 1)[1]
-        return self.spark.read.schema(plain).parquet(*(f"{r}/kind=run" for r in self.runs)).select(F.lit("run").alias("kind"), "bucket", "part", "n", "fps", "docs")
+        return self.spark.read.schema(_BLOCK).parquet(*(f"{r}/{piece}" for r in self.runs)).where("kind = 'run'")
 
-    def add(self, merged: DataFrame) -> DataFrame:
-        """Write a merge's output once: its new fingerprints are a run as they stand, its replies are given back."""
+    def merge(self, blobs: DataFrame) -> DataFrame:
+        """Merge-join a batch's blocks with all runs, slice by slice; the new fingerprints become a run, the replies are given back.
+
+        ``blobs`` is a written table with a ``slice`` column, so that only a slice's blocks are dealt at once.
+        """
         here = f"{self.path}/{self.next}"
-        merged.write.partitionBy("kind").parquet(here)
+        for j in range(SLICES):
+            rows = blobs.where(F.col("slice") == j).drop("slice")
+            known = self.read(j)
+            both = rows if known is None else rows.unionByName(known)
+            both.groupBy("bucket").applyInArrow(_merge, _BLOCK).coalesce(self._tasks()).write.parquet(f"{here}/{j}")
+            del rows, known, both
+            _tidy(self.spark)
         self.next += 1
-        if exists(self.spark, f"{here}/kind=run"):
-            self.runs.append(here)
-        return self.spark.read.schema(_BLOCK).parquet(here).where("kind = 'reply'")
+        self.runs.append(here)
+        return self.spark.read.schema(_BLOCK).parquet(*(f"{here}/{j}" for j in range(SLICES))).where("kind = 'reply'")
 
     def settle(self) -> None:
-        """Replies of the newest run have been used; too many runs become one."""
-        here = f"{self.path}/{self.next - 1}/kind=reply"
-        if exists(self.spark, here):
-            remove(self.spark, here)
+        """Too many runs become one; replies that lie beside their fingerprints go with the old ones."""
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
-        """All runs become one; the old ones go when it is written. Empty folders keep the numbering."""
-        old = self.runs
-        merged = self.read().groupBy("bucket").applyInArrow(_compact, _BLOCK)
-        merged.write.partitionBy("kind").parquet(f"{self.path}/{self.next}")
-        self.runs = [f"{self.path}/{self.next}"]
+        """All runs become one, slice by slice; the old ones go when it is written. Empty folders keep the numbering."""
+        here = f"{self.path}/{self.next}"
+        for j in range(SLICES):
+            old = self.read(j)
+            old.groupBy("bucket").applyInArrow(_compact, _BLOCK).coalesce(self._tasks()).write.parquet(f"{here}/{j}")
         self.next += 1
-        for p in old:
-            remove(self.spark, f"{p}/kind=run")
+        for r in self.runs:
+            for j in range(SLICES):
+                remove(self.spark, f"{r}/{j}")
+        self.runs = [here]
 
 
 def _tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs; batches would else pile up on disk until some collection."""
+    """Let Spark drop the shuffle files of finished jobs; they would else pile up on disk until some collection.
+
+    Events of finished jobs still refer to their plans, so the listeners' queue is emptied first.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(Py4JJavaError):  # a queue that stays busy only delays the clean-up
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 # ---------------------------------------------------------------- operator
 
 
 def _verify(claims: DataFrame, df: DataFrame, window: int) -> int:
-    """How many claimed passages have a window that the owner's text lacks."""
+    """How many claimed windows no row of their owner has."""
     distinct = claims.groupBy("_src", "_digest").agg(F.first("_claim").alias("_claim"))
     dealt = distinct.groupBy("_src", F.pmod(F.xxhash64("_digest"), F.lit(64)).alias("salt")).agg(F.collect_list("_claim").alias("claims"))
 
     def run(batches):
         for b in batches:
-            bad = 0
-            for text, claimed in zip(b.column(0), b.column(1).to_pylist()):
+            src, lost, row = [], [], []
+            for owner, text, claimed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 whole = b" " + b" ".join(text.as_buffer().to_pybytes().split() if text.is_valid else []) + b" "
                 for c in claimed:
                     if b" " + c + b" " not in whole:
-                        cut = c.split()
-                        bad += any(b" " + b" ".join(cut[i : i + window]) + b" " not in whole for i in range(len(cut) - window + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([bad], pa.int64())], ["bad"])
+                        cut_ = c.split()
+                        for i in range(len(cut_) - window + 1):
+                            w = b" ".join(cut_[i : i + window])
+                            if b" " + w + b" " not in whole:
+                                src.append(owner)
+                                lost.append(hashlib.sha256(w).digest())
+                                row.append(hashlib.sha256(whole).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(lost, pa.binary()), pa.array(row, pa.binary())], ["_src", "lost", "row"])
 
     texts = df.select(F.col("_id").cast("long").alias("_src"), "_text")
-    joined = texts.join(dealt.hint("shuffle_hash"), "_src").select("_text", "claims")
-    return joined.mapInArrow(run, "bad long").agg(F.sum("bad")).first()[0] or 0
+    lost = cut(texts.join(dealt.hint("shuffle_hash"), "_src").select("_src", "_text", "claims").mapInArrow(run, "_src long, lost binary, row binary"), "lost")
+    if lost.isEmpty():
+        return 0
+    # rows may share an id: a window is lost if each of them lacks it
+    words_of = F.trim(F.regexp_replace(F.coalesce("_text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    rows = texts.groupBy("_src").agg(F.count_distinct(F.sha2(words_of, 256)).alias("rows"))
+    return lost.groupBy("_src", "lost").agg(F.count_distinct("row").alias("misses")).join(rows, "_src").where("misses >= rows").count()
 
 
 def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], window: int, seed: int, bits: int, names: list[str], text_out: bool, out: str) -> None:
@@ -347,6 +384,7 @@ def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], windo
 
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     bounds = [None, *edges, None]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-parts[0] * PART_BYTES // TASK_BYTES))
     for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
         batch = df
         if lo is not None:
@@ -356,14 +394,14 @@ def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], windo
             batch = batch.where((F.col("_id") <= hi) | F.col("_id").isNull()) if lo is None else batch.where(F.col("_id") <= hi)
         batch = batch.withColumn("_part", F.pmod(F.xxhash64("_id", F.when(F.col("_id").isNull(), F.xxhash64("_text"))), F.lit(parts[k])).cast("int"))
         blocks = batch.select("_id", "_text", "_part").groupBy("_part").applyInArrow(_emit(index.buckets, window, seed, bits), _BLOCK)
-        known = index.read()
-        both = blocks if known is None else blocks.unionByName(known)
-        replies = index.add(both.groupBy("bucket").applyInArrow(_merge, _BLOCK)).withColumnRenamed("part", "_part")
-        # the merge's shuffle files, index included, are dropped before the texts are dealt again
-        del blocks, both, known
+        path = scratch(spark, "blocks")
+        blocks.withColumn("slice", F.col("bucket") % SLICES).coalesce(tasks).write.partitionBy("slice").parquet(f"{path}/t")
+        del blocks
         _tidy(spark)
+        replies = index.merge(spark.read.schema(f"{_BLOCK}, slice int").parquet(f"{path}/t")).withColumnRenamed("part", "_part")
+        remove(spark, path)
         done = batch.groupBy("_part").cogroup(replies.groupBy("_part")).applyInArrow(_finish(window, seed, bits, names, schema, text_out), ddl)
-        done.write.mode("append").partitionBy("_kind").parquet(f"{out}/t")
+        done.coalesce(tasks).write.mode("append").parquet(f"{out}/t")
         index.settle()
         del batch, replies, done
         _tidy(spark)
@@ -377,7 +415,7 @@ def _dedup(df: DataFrame, names: list[str], text_out: bool, window: int, batches
     n = batches or max(LEAST_BATCHES, -(-total // BATCH_BYTES))
     edges = sorted({int(q) for q in df.approxQuantile("_id", [k / n for k in range(1, n)], 0.001)} - {high}) if low is not None and n > 1 else []
     parts = [max(LEAST_PARTS, -(-total // (len(edges) + 1) // PART_BYTES))] * (len(edges) + 1)
-    while True:
+    for _ in range(ATTEMPTS):
         index = Index(spark, buckets=max(64, total // 6 // BUCKET_WORDS))
         out = scratch(spark, "substring")
         _pass(df, index, edges, parts, window, seed, bits, names, text_out, out)
@@ -390,6 +428,7 @@ def _dedup(df: DataFrame, names: list[str], text_out: bool, window: int, batches
             return found.where("_kind = 'doc'")
         remove(spark, out)
         seed, bits = seed + 1, min(64, 2 * bits)
+    raise RuntimeError("fingerprints collided in every pass")
 
 
 def digests(df: DataFrame, window: int = WINDOW, batches: int | None = None, bits: int = 64, seed: int = 10) -> DataFrame:

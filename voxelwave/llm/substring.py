@@ -48,6 +48,8 @@ SLICES = 2
 #: Text bytes, and buckets, that one writing task should hold; small files cost more than their bytes.
 TASK_BYTES = 32 << 20
 TASK_BUCKETS = 16
+#: Text bytes of a batch from which files of finished steps are dropped at once.
+TIDY_BYTES = 64 << 20
 #: Passes with other hash constants before the operator gives up.
 ATTEMPTS = 8
 LEAST_BATCHES = 4
@@ -293,10 +295,11 @@ class Index:
             return None
         return self.spark.read.schema(_BLOCK).parquet(*(f"{r}/{piece}" for r in self.runs)).where("kind = 'run'")
 
-    def merge(self, blobs: DataFrame) -> DataFrame:
+    def merge(self, blobs: DataFrame, size: int = 0) -> DataFrame:
         """Merge-join a batch's blocks with all runs, slice by slice; the new fingerprints become a run, the replies are given back.
 
-        ``blobs`` is a written table with a ``slice`` column, so that only a slice's blocks are dealt at once.
+        ``blobs`` is a written table with a ``slice`` column, so that only a slice's blocks are dealt at once; ``size`` are the
+        batch's text bytes.
         """
         here = f"{self.path}/{self.next}"
         for j in range(SLICES):
@@ -305,7 +308,7 @@ class Index:
             both = rows if known is None else rows.unionByName(known)
             both.groupBy("bucket").applyInArrow(_merge, _BLOCK).coalesce(self._tasks()).write.parquet(f"{here}/{j}")
             del rows, known, both
-            _tidy(self.spark)
+            _tidy(self.spark, size)
         self.next += 1
         self.runs.append(here)
         return self.spark.read.schema(_BLOCK).parquet(*(f"{here}/{j}" for j in range(SLICES))).where("kind = 'reply'")
@@ -328,11 +331,14 @@ class Index:
         self.runs = [here]
 
 
-def _tidy(spark: SparkSession) -> None:
+def _tidy(spark: SparkSession, size: int) -> None:
     """Let Spark drop the shuffle files of finished jobs; they would else pile up on disk until some collection.
 
-    Events of finished jobs still refer to their plans, so the listeners' queue is emptied first.
+    Events of finished jobs still refer to their plans, so the listeners' queue is emptied first. Where a batch's texts are
+    small, so are its files, and they are left to the next collection.
     """
+    if size < TIDY_BYTES:
+        return
     gc.collect()
     with contextlib.suppress(Py4JJavaError):  # a queue that stays busy only delays the clean-up
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
@@ -375,7 +381,7 @@ def _verify(claims: DataFrame, df: DataFrame, window: int) -> int:
     return lost.groupBy("_src", "lost").agg(F.count_distinct("row").alias("misses")).join(rows, "_src").where("misses >= rows").count()
 
 
-def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], window: int, seed: int, bits: int, names: list[str], text_out: bool, out: str) -> None:
+def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], window: int, seed: int, bits: int, names: list[str], text_out: bool, out: str, size: int) -> None:
     """All batches: results and claims go to ``out``."""
     spark = df.sparkSession
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names]
@@ -397,14 +403,14 @@ def _pass(df: DataFrame, index: Index, edges: list[int], parts: list[int], windo
         path = scratch(spark, "blocks")
         blocks.withColumn("slice", F.col("bucket") % SLICES).coalesce(tasks).write.partitionBy("slice").parquet(f"{path}/t")
         del blocks
-        _tidy(spark)
-        replies = index.merge(spark.read.schema(f"{_BLOCK}, slice int").parquet(f"{path}/t")).withColumnRenamed("part", "_part")
+        _tidy(spark, size)
+        replies = index.merge(spark.read.schema(f"{_BLOCK}, slice int").parquet(f"{path}/t"), size).withColumnRenamed("part", "_part")
         remove(spark, path)
         done = batch.groupBy("_part").cogroup(replies.groupBy("_part")).applyInArrow(_finish(window, seed, bits, names, schema, text_out), ddl)
         done.coalesce(tasks).write.mode("append").parquet(f"{out}/t")
         index.settle()
         del batch, replies, done
-        _tidy(spark)
+        _tidy(spark, size)
 
 
 def _dedup(df: DataFrame, names: list[str], text_out: bool, window: int, batches: int | None, bits: int, seed: int) -> DataFrame:
@@ -418,12 +424,12 @@ def _dedup(df: DataFrame, names: list[str], text_out: bool, window: int, batches
     for _ in range(ATTEMPTS):
         index = Index(spark, buckets=max(64, total // 6 // BUCKET_WORDS))
         out = scratch(spark, "substring")
-        _pass(df, index, edges, parts, window, seed, bits, names, text_out, out)
+        _pass(df, index, edges, parts, window, seed, bits, names, text_out, out, total // (len(edges) + 1))
         remove(spark, index.path)
         ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
         found = spark.read.schema(f"{ddl}, _kind string, _n_words long, _n_removed long, _made string, _src long, _digest binary, _claim binary" if ddl else "").parquet(f"{out}/t")
         bad = _verify(found.where("_kind = 'claim'").select("_src", "_digest", "_claim"), df, window)
-        _tidy(spark)
+        _tidy(spark, total)
         if not bad:
             return found.where("_kind = 'doc'")
         remove(spark, out)

@@ -29,8 +29,8 @@ DFT = f"""{X}, dft AS (SELECT vec_id, CAST(k AS INTEGER) AS k, sum(v * cos(2 * p
 FROM x, range(0, 64) r(k) GROUP BY vec_id, k)"""
 
 
-def _long(df: DataFrame, ids, name="value", samples="samples") -> DataFrame:
-    return df.select(*ids, F.posexplode(samples).alias("t", "v")).select(*ids, "t", r6(F.col("v")).alias(name))
+def _long(df: DataFrame, ids, name="value", samples="samples", scale=1) -> DataFrame:
+    return df.select(*ids, F.posexplode(samples).alias("t", "v")).select(*ids, "t", r6(F.col("v") / scale).alias(name))
 
 
 @query("fft_power", f"WITH {DFT} SELECT vec_id, k, round(re * re + im * im, 6) + 0.0 AS power FROM dft WHERE k <= 32")
@@ -45,15 +45,15 @@ def fft_full(spark, sf_dir):
     return z.select("vec_id", F.posexplode("spectrum").alias("k", "z")).select("vec_id", "k", r6(F.col("z.re")).alias("re"), r6(F.col("z.im")).alias("im"))
 
 
-@query("ifft_roundtrip", f"WITH {X} SELECT vec_id, t, round(v * 64, 6) + 0.0 AS value FROM x")
+@query("ifft_roundtrip", f"WITH {X} SELECT vec_id, t, round(v * 64 / pi(), 6) + 0.0 AS value FROM x")
 def ifft_roundtrip(spark, sf_dir):
-    return _long(S.ifft(S.fft(signals(spark, sf_dir), ["vec_id"]), ["vec_id"]), ["vec_id"])
+    return _long(S.ifft(S.fft(signals(spark, sf_dir), ["vec_id"]), ["vec_id"]), ["vec_id"], scale=F.pi())
 
 
-@query("ifft_complex", f"WITH {X} SELECT vec_id, t, round(v * 64, 6) + 0.0 AS value FROM x")
+@query("ifft_complex", f"WITH {X} SELECT vec_id, t, round(v * 64 / pi(), 6) + 0.0 AS value FROM x")
 def ifft_complex(spark, sf_dir):
     back = S.ifft(S.fft(signals(spark, sf_dir), ["vec_id"]), ["vec_id"], real=False)
-    return back.select("vec_id", F.posexplode("samples").alias("t", "z")).select("vec_id", "t", r6(F.col("z.re")).alias("value"))
+    return back.select("vec_id", F.posexplode("samples").alias("t", "z")).select("vec_id", "t", r6(F.col("z.re") / F.pi()).alias("value"))
 
 
 @query("parseval", f"WITH {X} SELECT vec_id, round(sum(v * v) * 64, 6) + 0.0 AS energy FROM x GROUP BY vec_id")

@@ -126,9 +126,9 @@ def median(spark, sf_dir):
     return T.median(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", r6(F.col("l_extendedprice")).alias("value"))
 
 
-@query("detrend_constant", f"WITH {SERIES} SELECT user_id, t, round(value - avg(value) OVER (PARTITION BY user_id), 6) + 0.0 AS value FROM series")
+@query("detrend_constant", f"WITH {SERIES} SELECT user_id, t, round((value - avg(value) OVER (PARTITION BY user_id)) / pi(), 6) + 0.0 AS value FROM series")  # over pi: no ties at the last digit
 def detrend_constant(spark, sf_dir):
-    return T.detrend(series(spark, sf_dir), ["user_id"], "t", "constant").select("user_id", "t", r6(F.col("value")).alias("value"))
+    return T.detrend(series(spark, sf_dir), ["user_id"], "t", "constant").select("user_id", "t", r6(F.col("value") / F.pi()).alias("value"))
 
 
 @query("detrend_linear", f"""WITH {SERIES}, f AS (SELECT user_id, regr_slope(value, t) AS s, avg(t) AS mt, avg(value) AS mv FROM series GROUP BY ALL)
@@ -145,9 +145,9 @@ def detrend_pieces(spark, sf_dir):
 
 
 @query("detrend_endpoint", f"""WITH {SERIES}, e AS (SELECT user_id, arg_min(value, t) AS a, arg_max(value, t) AS b, max(t) AS n FROM series GROUP BY ALL)
-SELECT user_id, t, round(value - a - CASE WHEN n = 0 THEN 0 ELSE (b - a) / n * t END, 6) + 0.0 AS value FROM series JOIN e USING (user_id)""")
+SELECT user_id, t, round((value - a - CASE WHEN n = 0 THEN 0 ELSE (b - a) / n * t END) / pi(), 6) + 0.0 AS value FROM series JOIN e USING (user_id)""")
 def detrend_endpoint(spark, sf_dir):
-    return T.detrend_endpoint(series(spark, sf_dir), ["user_id"], "t").select("user_id", "t", r6(F.col("value")).alias("value"))
+    return T.detrend_endpoint(series(spark, sf_dir), ["user_id"], "t").select("user_id", "t", r6(F.col("value") / F.pi()).alias("value"))
 
 
 @query("island_runs", f"""WITH {SERIES}, d AS (SELECT user_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS g FROM series WHERE value > 50),

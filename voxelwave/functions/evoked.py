@@ -42,25 +42,40 @@ def t_cdf(t: float, df: float) -> float:
 def t_test(x: np.ndarray, alternative: str = "greater") -> tuple[float, float]:
     """One sample against zero: (t, p)."""
     x = np.asarray(x, float)
-    n = len(x)
+    return t_of(len(x), x.mean() if len(x) else math.nan, x.var(ddof=1) if len(x) > 1 else math.nan, alternative)
+
+
+def t_of(n: float, mean: float, var: float, alternative: str = "greater") -> tuple[float, float]:
+    """The same from a sample's size, mean and variance."""
     if n < 2:
         return math.nan, math.nan
-    sd = x.std(ddof=1)
-    t = x.mean() / (sd / math.sqrt(n)) if sd > 0 else math.copysign(math.inf, x.mean()) if x.mean() else 0.0
+    sd = math.sqrt(var)
+    t = mean / (sd / math.sqrt(n)) if sd > 0 else math.copysign(math.inf, mean) if mean else 0.0
     p = 1 - t_cdf(t, n - 1)
     return float(t), p if alternative == "greater" else 2 * min(p, 1 - p)
 
 
 def welch_test(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Two samples of unequal variances: (t, two-sided p)."""
-    vx, vy = x.var(ddof=1) / len(x), y.var(ddof=1) / len(y)
+    return welch_of((len(x), x.mean(), x.var(ddof=1)), (len(y), y.mean(), y.var(ddof=1)))
+
+
+def welch_of(x: tuple[float, float, float], y: tuple[float, float, float]) -> tuple[float, float]:
+    """The same from (size, mean, variance) of each sample."""
+    (n, mx, vx), (m, my, vy) = x, y
+    vx, vy = vx / n, vy / m
     if vx + vy == 0:
         return 0.0, 1.0
-    t = (x.mean() - y.mean()) / math.sqrt(vx + vy)
-    df = (vx + vy) ** 2 / (vx**2 / (len(x) - 1) + vy**2 / (len(y) - 1))
+    t = (mx - my) / math.sqrt(vx + vy)
+    df = (vx + vy) ** 2 / (vx**2 / (n - 1) + vy**2 / (m - 1))
     return float(t), 2 * (1 - t_cdf(abs(t), df))
 
 
+def moments(n, total, squares) -> tuple[float, float, float]:
+    """(size, mean, variance) from sums."""
+    return n, total / max(n, 1), max((squares - total * total / max(n, 1)) / max(n - 1, 1), 0.0)
+
+
 # ---------------------------------------------------------------- factorisation
 
 
@@ -102,24 +117,38 @@ def nmf_rank(x: np.ndarray, start: int, threshold: float = 1.0, tries: int = 5,
 
 
 def _mean_pair_cov(x: np.ndarray) -> np.ndarray:
-    """Mean covariance between trials for each channel of (channel, time, trial)."""
-    c = x - x.mean(1, keepdims=True)
-    n = x.shape[2]
-    total = (c.sum(2) ** 2).sum(1) - (c**2).sum((1, 2))
-    return total / (n * (n - 1)) / (x.shape[1] - 1) if n > 1 else (c**2).sum((1, 2)) / (x.shape[1] - 1)
+    """Mean covariance between trials for each channel of (channel, time, trial), over the trials that a channel has."""
+    has = np.isfinite(x).all(1)
+    c = np.where(has[:, None], x, 0)
+    c = c - c.mean(1, keepdims=True)
+    n = has.sum(1)
+    own = (c**2).sum((1, 2))
+    total = (c.sum(2) ** 2).sum(1) - own
+    return np.where(n > 1, total / np.maximum(n * (n - 1), 1), own) / (x.shape[1] - 1)
 
 
 def carla(x: np.ndarray, n_boot: int = 100, sensitive: bool = False, least: int | None = None, absolute: bool = False, indices: np.ndarray | None = None, seed: int = 0) -> dict:
     """Channels (channel, time, trial) for a common average: ranked by responsiveness, added until the least correlated
-    channel of the set starts to agree too well or too badly with it."""
+    channel of the set starts to agree too well or too badly with it.
+
+    Channels need not have equally many trials: one that is not whole is NaN there and left out of that channel's means, its
+    trials are drawn with those of the others, and a draw that leaves a channel without any is drawn again.
+    """
     n_ch, _, n_tr = x.shape
+    has = np.isfinite(x).all(1)
+    if not has.any(1).all():
+        raise ValueError("a channel has no whole trial")
     score = _mean_pair_cov(x)
     order = np.argsort(np.abs(score) if absolute else score, kind="stable")
     least = least or max(2, int(np.ceil(0.1 * n_ch)))
     if indices is None:
-        indices = np.random.default_rng(seed).integers(0, n_tr, (n_boot, n_tr)) if n_tr > 1 else np.zeros((1, 1), int)
+        rng = np.random.default_rng(seed)
+        indices = rng.integers(0, n_tr, (n_boot, n_tr)) if n_tr > 1 else np.zeros((1, 1), int)
+        while (void := ~has[:, indices].any(2).all(0)).any():
+            indices[void] = rng.integers(0, n_tr, (int(void.sum()), n_tr))
     z = np.full((n_ch + 1, len(indices)), np.nan)
-    boots = [x[:, :, i].mean(2) for i in indices]
+    whole = np.where(has[:, None], x, 0)
+    boots = [whole[:, :, i].sum(2) / has[:, i].sum(1)[:, None] for i in indices]
     for size in range(2, n_ch + 1):
         group = order[:size]
         for b, m in enumerate(boots):
@@ -143,7 +172,7 @@ def carla(x: np.ndarray, n_boot: int = 100, sensitive: bool = False, least: int
                     best = s
                     break
     chosen = order[:best]
-    return {"order": order, "score": score, "size": best, "channels": np.sort(chosen), "curve": mean[2:], "reference": x[chosen].mean(0)}
+    return {"order": order, "score": score, "size": best, "channels": np.sort(chosen), "curve": mean[2:], "reference": whole[chosen].sum(0) / np.where(has[chosen].any(0), has[chosen].sum(0), np.nan)}
 
 
 # ---------------------------------------------------------------- CRP
@@ -158,7 +187,11 @@ def cross_projections(v: np.ndarray) -> np.ndarray:
 
 
 def kernel_pca(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Principal directions in time by the trials' Gram matrix, strongest first: (components by column, strengths)."""
+    """Principal directions in time by the smaller Gram matrix, strongest first: (components by column, strengths)."""
+    if v.shape[1] > v.shape[0]:
+        w, e = np.linalg.eigh(v @ v.T)
+        s = np.sqrt(np.maximum(w[::-1], 0))
+        return e[:, ::-1] * (s > 1e-12 * max(1, s.max(initial=0))), s
     w, e = np.linalg.eigh(v.T @ v)
     w, e = np.maximum(w[::-1], 0), e[:, ::-1]
     s = np.sqrt(w)
@@ -174,16 +207,48 @@ def independent_pairs(n: int) -> np.ndarray:
     return np.array(sorted(flat), int)
 
 
+def pair_sums(u: np.ndarray, v: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(every, free): size, sum and sum of squares of the products of trials u with other trials v, over all pairs and over the
+    independent ones, by row and by column: (2, 3, trial). Rows go in blocks, so no matrix of all pairs is held."""
+    n = u.shape[1]
+    at = np.arange(n)
+    every, free = np.zeros((2, 3, n)), np.zeros((2, 3, n))
+    for a in range(0, n, block):
+        i = at[a : a + block, None]
+        p = u[:, a : a + block].T @ v
+        off = i != at
+        for out, mask in ((every, off), (free, off & ((i < at) == ((i + at) % 2 == 1)))):
+            m = np.where(mask, p, 0)
+            for k, x in enumerate((mask, m, m * m)):
+                out[0, k, a : a + block] = x.sum(1)
+                out[1, k] += x.sum(0)
+    return every, free
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(v, axis=0)
+    return v / np.where(norm == 0, 1, norm)
+
+
+def mean_projection(v: np.ndarray) -> float:
+    """The mean of cross_projections, without the pairs."""
+    u, n = units(v), v.shape[1]
+    return (u.sum(1) @ v.sum(1) - (u * v).sum()) / (n * (n - 1)) if n > 1 else math.nan
+
+
 def projection_profile(v: np.ndarray, step: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(ends, mean cross projection) over growing windows."""
     ends = np.arange(max(step, 2), len(v) + 1, step)
     if not len(ends) or ends[-1] != len(v):
         ends = np.append(ends, len(v))
-    return ends, np.array([cross_projections(v[:e]).mean() / 1.0 for e in ends])
+    return ends, np.array([mean_projection(v[:e]) for e in ends])
 
 
-def crp(v: np.ndarray, time: np.ndarray, start: float = 0.015, end: float = 1.0, remove: bool = True, artifact_p: float = 1e-5, threshold: float = 0.98, step: int = 5, onset: bool = False) -> dict:
-    """Canonical response of (time, trial): duration, shape, weights, residuals, and how sure one may be of them."""
+def crp(v: np.ndarray, time: np.ndarray, start: float = 0.015, end: float = 1.0, remove: bool = True, artifact_p: float = 1e-5, threshold: float = 0.98, step: int = 5, onset: bool = False, pairs: bool = True) -> dict:
+    """Canonical response of (time, trial): duration, shape, weights, residuals, and how sure one may be of them.
+
+    ``pairs`` adds the projections of every pair; all else comes from sums over them.
+    """
     time = np.asarray(time, float)
     window = np.flatnonzero((time >= start) & (time <= end))
     ok = np.isfinite(v).all(0)
@@ -206,37 +271,28 @@ def crp(v: np.ndarray, time: np.ndarray, start: float = 0.015, end: float = 1.0,
         full = kernel_pca(w)[0][:, 0]
         full = -full if (full @ w).mean() < 0 else full
         ss, rs = (part**2).sum(0), (residual**2).sum(0)
-        s_at = cross_projections(part)
-        picks = independent_pairs(part.shape[1])
-        t_at, p_at = t_test(s_at[picks])
-        t_all, p_all = t_test(cross_projections(w)[picks])
+        t_at, p_at = t_of(*moments(*pair_sums(units(part), part)[1][0].sum(1)))
+        t_all, p_all = t_of(*moments(*pair_sums(units(w), w)[1][0].sum(1)))
         near = np.flatnonzero(scaled >= threshold * scaled[at]) if scaled[at] > 0 else np.array([at])
         return {
             "tau": float(time[window[tau - 1]]), "tau_samples": tau, "tau_low": float(time[window[ends[near[0]] - 1]]), "tau_high": float(time[window[ends[near[-1]] - 1]]),
             "C": c, "C_full": full, "alpha": alpha, "alpha_prime": alpha / math.sqrt(tau), "residual": residual,
             "explained": 1 - rs / np.where(ss == 0, 1, ss), "snr": alpha / np.where(rs == 0, 1, np.sqrt(rs)), "profile_end": time[window[ends - 1]], "profile": scaled,
-            "t_at_tau": t_at, "p_at_tau": p_at, "t_full": t_all, "p_full": p_all, "projections": s_at,
-        }
+            "t_at_tau": t_at, "p_at_tau": p_at, "t_full": t_all, "p_full": p_all,
+        } | ({"projections": cross_projections(part)} if pairs else {})
 
     out = core(v)
     if remove and v.shape[1] > 3:
         n = v.shape[1]
         part = v[window]
-        norm = np.linalg.norm(part, axis=0)
-        p = (part / np.where(norm == 0, 1, norm)).T @ part
-        off = ~np.eye(n, dtype=bool)
-        free = np.zeros(n * n - n, bool)
-        free[independent_pairs(n)] = True
-        independent = np.zeros((n, n), bool)
-        independent[off] = free
+        every, free = pair_sums(units(part), part)
+        own, rest = every.sum(0), free[0].sum(1)[:, None] - free.sum(0)
         bad = []
         for k in range(n):
-            own = np.concatenate([p[k][off[k]], p[:, k][off[:, k]]])
-            rest = independent.copy()
-            rest[k] = rest[:, k] = False
-            t, pv = welch_test(own, p[rest])
+            mine = moments(*own[:, k])
+            t, pv = welch_of(mine, moments(*rest[:, k]))
             # a trial goes if it agrees less with the others than they with each other, and its projections are negative on average
-            if pv < artifact_p and t < 0 and own.mean() <= 0:
+            if pv < artifact_p and t < 0 and mine[1] <= 0:
                 bad.append(k)
         if bad and n - len(bad) > 2:
             out = core(np.delete(v, bad, axis=1))
@@ -275,6 +331,20 @@ def significance(p: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def significance_by_moments(x: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """significance() of the trials (time, trial) themselves: the sum of u_i . v_j over pairs is U . V, that of squares <sum u u', sum v v'>."""
+    u = units(x)
+    own = (u * x).sum(0)
+    s = np.stack([u[:, i].sum(1) for i in groups]) @ np.stack([x[:, i].sum(1) for i in groups]).T
+    q = np.stack([(u[:, i] @ u[:, i].T).ravel() for i in groups]) @ np.stack([(x[:, i] @ x[:, i].T).ravel() for i in groups]).T
+    size = np.array([len(i) for i in groups], float)
+    n = np.outer(size, size) - np.diag(size)
+    s -= np.diag([own[i].sum() for i in groups])
+    q -= np.diag([(own[i] ** 2).sum() for i in groups])
+    sd = np.sqrt(np.maximum((q - s * s / np.maximum(n, 1)) / np.maximum(n - 1, 1), 0)) * (n > 1)
+    return np.where(sd > 0, s / np.maximum(n, 1) / np.where(sd > 0, sd / np.sqrt(np.maximum(n, 1)), 1), 0.0)
+
+
 def winners(h: np.ndarray, null_class: bool = True) -> np.ndarray:
     """The strongest factor of each column, -1 where it is weaker than the mean expected of no class."""
     who = h.argmax(0)
@@ -294,9 +364,8 @@ def bpc(x: np.ndarray, groups, n: int | None = None, start: int | None = None, t
     groups = np.asarray(groups)
     names = sorted(set(groups.tolist()))
     idx = [np.flatnonzero(groups == g) for g in names]
-    norm = np.linalg.norm(x, axis=0)
-    p = (x / np.where(norm == 0, 1, norm)).T @ x
-    xi = significance(p, idx)
+    # one matrix of times a group, unless that of all pairs of trials is smaller
+    xi = significance(units(x).T @ x, idx) if x.shape[1] ** 2 < 2 * len(idx) * len(x) ** 2 else significance_by_moments(x, idx)
     positive = np.maximum(xi, 0)
     positive = positive / max(positive.max(), 1e-12)
     fit, k = (nmf(positive, n, **options), n) if n else nmf_rank(positive, start or min(10, len(names)), threshold, **options)

@@ -71,7 +71,7 @@ def crp(df: DataFrame, by: Sequence[str], time: str = "time", trial: str = "tria
 
     def run(key, t):
         x, (times, _) = _cube(t, [time, trial], value)
-        r = K.crp(x, times, **options)
+        r = K.crp(x, times, pairs=False, **options)
         row = {n: k.as_py() for n, k in zip(by, key)}
         row |= {k: float(r[k]) for k in ("tau", "tau_low", "tau_high", "t_at_tau", "p_at_tau", "t_full", "p_full")}
         row |= {"n_trials": len(r["trials"]), "artifacts": r["artifacts"].tolist(), "shape": r["C"].tolist()} | {k: r[k].tolist() for k in ("alpha", "alpha_prime", "snr", "explained", "profile_end", "profile")}
@@ -135,8 +135,8 @@ def bpc(df: DataFrame, by: Sequence[str], group: str = "grp", time: str = "t", t
 
     def run(key, t):
         x, (_, trials) = _cube(t, [time, trial], value)
-        names = dict(zip(t.column(trial).to_pylist(), t.column(group).to_pylist()))
-        r = K.bpc(x, [names[k] for k in trials.tolist()], **options)
+        first = np.unique(t.column(trial).to_numpy(), return_index=True)[1]
+        r = K.bpc(x, t.column(group).to_numpy()[first].tolist(), **options)
         head = {n: k.as_py() for n, k in zip(by, key)}
         return pa.Table.from_pylist([head | {"grp": s["group"], "curve": s["curve"], "weight": s["weight"], "snr": s["snr"], "t": s["t"], "p": s["p"], "rank": r["rank"]} for s in r["statistics"]], kinds)
 

@@ -10,26 +10,24 @@ from voxelwave.plans.registry import query
 from voxelwave.plans.signal_queries import X, signals
 
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)
-TRIALS = 12
 
 
-def trials(spark, sf_dir, n: int | None = TRIALS):
-    """(ch, trial, t, value): with n, the first trials of each label, so that every channel has as many (a shape the operator needs)."""
+def trials(spark, sf_dir):
+    """(ch, trial, t, value): every embedding is a trial of its label's channel."""
     w = W.partitionBy("label").orderBy("vec_id")
     s = signals(spark, sf_dir).withColumn("trial", (F.row_number().over(w) - 1).cast("int"))
-    s = s if n is None else s.where(F.col("trial") < n)
     return s.select(F.col("label").cast("long").alias("ch"), "trial", F.posexplode("samples").alias("t", "value"))
 
 
 @query("carla_rank", f"""WITH {X}, c AS (SELECT label AS ch, vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS c FROM x), p AS (SELECT ch, t, sum(c) AS s, sum(c * c) AS q, count(*) AS n FROM c GROUP BY ALL)
 SELECT CAST(ch AS BIGINT) AS ch, round((sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) / 63, 8) + 0.0 AS score FROM p GROUP BY ch""")
 def carla_rank(spark, sf_dir):
-    return E.trial_covariance(trials(spark, sf_dir, None)).select("ch", (F.round("score", 8) + F.lit(0.0)).alias("score"))
+    return E.trial_covariance(trials(spark, sf_dir)).select("ch", (F.round("score", 8) + F.lit(0.0)).alias("score"))
 
 
 @query("carla")
 def carla(spark, sf_dir):
-    return E.carla(trials(spark, sf_dir).withColumn("rec", F.lit(0)), ["rec"], n_boot=20).select("ch", "rank", r6(F.col("score")).alias("score"), "chosen", "size")
+    return E.carla(trials(spark, sf_dir).withColumn("rec", F.lit(0)), ["rec"]).select("ch", "rank", r6(F.col("score")).alias("score"), "chosen", "size")
 
 
 @query("crp")
@@ -49,7 +47,7 @@ SELECT CAST(a.label AS BIGINT) AS a, CAST(b.label AS BIGINT) AS b, round(sum(a.v
 def cosine_matrix(spark, sf_dir):
     from voxelwave.operators.tensor import long_to_arrays
 
-    m = trials(spark, sf_dir, None).groupBy("ch", "t").agg(F.avg("value").alias("value"))
+    m = trials(spark, sf_dir).groupBy("ch", "t").agg(F.avg("value").alias("value"))
     return E.cosine_matrix(long_to_arrays(m, ["ch"], "t"), "ch").select("a", "b", r6(F.col("cosine")).alias("cosine"))
 
 
@@ -61,7 +59,7 @@ def bpc_xi(spark, sf_dir):
 
 @query("bpc")
 def bpc(spark, sf_dir):
-    d = trials(spark, sf_dir).withColumn("grp", F.col("ch")).withColumn("trial", F.col("ch") * 1000 + F.col("trial")).withColumn("rec", F.lit(0))
+    d = trials(spark, sf_dir).withColumn("grp", F.col("ch")).withColumn("trial", F.col("ch") * (1 << 32) + F.col("trial")).withColumn("rec", F.lit(0))
     return E.bpc(d, ["rec"], n=3).select("grp", "curve", *(r6(F.col(c)).alias(c) for c in ("weight", "snr", "t", "p")))
 
 

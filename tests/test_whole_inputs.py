@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxelwave.functions import evoked as EV
+from voxelwave.functions import mesh as K
 from voxelwave.plans import evoked_queries, registry
 from voxelwave.runtime import table
 
@@ -80,3 +81,18 @@ def test_carla_with_unequal_trials():
     rare = x.copy()
     rare[0, :, 1:] = np.nan
     assert np.isfinite(EV.carla(rare, 20)["curve"]).all()
+
+
+def test_catmull_rom_passes_through_every_embedding(spark):
+    got = {}
+    for r in registry.queries()["catmull_rom"](spark, SF).collect():
+        got[r.vec_id, r.step] = (r.x, r.y, r.z)
+    curves = {}
+    for r in sorted(table(spark, SF, "embeddings").collect(), key=lambda r: r.vec_id):
+        curves.setdefault(r.label, []).append((r.vec_id, r.embedding[:3]))
+    assert len(got) == 16 * sum(len(c) - 1 for c in curves.values())
+    for c in curves.values():
+        ids, points = zip(*c)
+        spans = len(ids) - 1
+        want = K.catmull_rom(np.array(points, float), np.arange(16 * spans) / (16 * spans), "uniform", 0.5)
+        assert np.allclose([got[ids[i // 16], i % 16] for i in range(16 * spans)], want, atol=2e-6)

@@ -231,7 +231,8 @@ def surface_path(spark, sf_dir):
 
 @query("catmull_rom")
 def catmull_rom(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.lit(0).alias("curve"), "vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
+    """One curve a label, through all of its embeddings."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("curve"), "vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
     return M.catmull_rom(e, ["curve"], "vec_id").select("vec_id", "step", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
 

@@ -1,10 +1,13 @@
 """Queries and kernels take all rows that they are given."""
 
+import textwrap
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from voxelwave.functions import evoked as EV
 from voxelwave.functions import mesh as K
+from voxelwave.llm import licenses
 from voxelwave.plans import evoked_queries, registry
 from voxelwave.runtime import table
 
@@ -96,3 +99,46 @@ def test_catmull_rom_passes_through_every_embedding(spark):
         spans = len(ids) - 1
         want = K.catmull_rom(np.array(points, float), np.arange(16 * spans) / (16 * spans), "uniform", 0.5)
         assert np.allclose([got[ids[i // 16], i % 16] for i in range(16 * spans)], want, atol=2e-6)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+ISC = """Copyright (c) 2020, A. Writer
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+WRAPPED = {"MIT-text": MIT, "BSD-text": BSD, "ISC-text": ISC}
+
+
+def test_wrapped_licenses():
+    kinds = lambda t: {f.license for f in licenses.findings(t)}
+    for name, text in WRAPPED.items():
+        for width in (30, 50, 80):
+            parts = [textwrap.fill(p, width) for p in text.split("\n\n")]
+            for lead in ("", "# ", "        * "):
+                t = "some prose\n" * 9 + "\n".join(lead + line for line in "\n\n".join(parts).split("\n")) + "\nmore prose" * 9
+                assert name in kinds(t), (name, width, lead)
+    assert kinds("Released under the\nMIT License.") == {"MIT"}
+    twice = [f for f in licenses.findings(BSD + "\nprose" * 12 + "\n" + BSD) if f.license == "BSD-text"]
+    assert len(twice) == 2 and not any(f.missing for f in twice) and twice[0].end < twice[1].start
+    assert BSD[twice[0].start : twice[0].end] == "\n".join(BSD.split("\n")[:2])
+
+
+def test_spdx_tags():
+    kinds = lambda t: [f.license for f in licenses.findings(t)]
+    assert kinds("// SPDX-License-Identifier: MIT\nint x;") == ["MIT-spdx"]
+    assert sorted(kinds("# SPDX-License-Identifier: (MIT OR Apache-2.0)")) == ["Apache-2.0-spdx", "MIT-spdx"]
+    assert kinds("/* SPDX-License-Identifier: GPL-2.0-only */\nMIT and ISC are names") == ["GPL-2.0-only-spdx"]
+    assert kinds("SPDX-License-Identifier: none\nMIT") == []

@@ -3,7 +3,9 @@
 Lines that carry a marker word, with small gaps between them, form candidate blocks. Each block is compressed alone and with
 every template as a raw zstandard dictionary; templates are ranked by the bytes that saves. Winners are confirmed by exact
 wording: the template's words that the block lacks, in order, are listed; too many of them, or a missing deciding word (a
-version, a name), reject the template.
+version, a name), reject the template. As a notice may be wrapped over lines without a marker, wordings are then looked for
+around each block as well, as far as the longest template reaches; such a finding's place is the lines that hold its words. Of
+findings that share most of their words, the one that saves most stays. SPDX tags are read by the ids of their expression.
 
 Cases: null and empty texts have no findings. Lines longer than ``LINE`` characters are searched in windows around their
 markers, overlapping ones joined, so no text is too long. Repeated rows repeat; a null id is kept. Extra columns are ignored.
@@ -15,6 +17,7 @@ import difflib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -41,14 +44,23 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.", ("unencumbered", "public")),
     "All-rights-reserved": ("All rights reserved.", ("all", "rights", "reserved")),
 }
-MARKERS = ("licen", "copyright", "rights reserved", "public domain", "redistribut", "hereby granted", "spdx")
-_MARKER = re.compile("|".join(MARKERS))
+#: Tags of one line, by id.
+SPDX = ("0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later "
+        "GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense Zlib").split()
+TAG = "spdx-license-identifier"
+TAGS = {f"{i}-spdx": (f"SPDX-License-Identifier: {i}", (TAG, i.lower())) for i in SPDX}
+_TAG = re.compile(TAG + r":[ \t]*(\(*[\w.+-]+\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[\w.+-]+\)*)*)")
+#: A text without any of these has no marker; the words of a marker may be on two lines.
+MARKERS = ("licen", "copyright", "reserved", "domain", "redistribut", "granted", "spdx")
+_MARKER = re.compile(r"licen|copyright|rights\W{1,40}reserved|public\W{1,40}domain|redistribut|hereby\W{1,40}granted|spdx")
 _WORD = re.compile(r"[a-z0-9][a-z0-9.-]*")
 LINE, AROUND, GAP = 4000, 1000, 2
 #: Least bytes saved, and the share of a template's words that may be missing.
 LEAST_SAVED = 4
 MISSING = 0.2
 MEMO = 1 << 16
+#: Words looked at on both sides of a block: the longest template, and half of it for words between.
+REACH = 3 * max(len(_WORD.findall(text.lower())) for text, _ in TEMPLATES.values()) // 2
 
 
 @dataclass(frozen=True)
@@ -60,33 +72,45 @@ class Finding:
     missing: tuple[str, ...]
 
 
+def lowered(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # keeps places
+
+
 def word_list(text: str) -> list[str]:
     return [w.rstrip(".-") for w in _WORD.findall(text.lower())]
 
 
+def _placed(low: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Words, and where each starts and ends."""
+    found = list(_WORD.finditer(low))
+    return [m[0].rstrip(".-") for m in found], [m.span() for m in found]
+
+
 @lru_cache(maxsize=1)
 def _tools():
     plain = zstandard.ZstdCompressor(level=3)
     tools = {}
-    for name, (text, deciding) in TEMPLATES.items():
+    for name, (text, deciding) in (TEMPLATES | TAGS).items():
         d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         tools[name] = (zstandard.ZstdCompressor(level=3, dict_data=d), word_list(text), deciding)
     return plain, tools
 
 
-def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """Code point ranges around marker words."""
-    low = text.lower()
-    if len(low) != len(text) or not any(m in low for m in MARKERS):
-        if len(low) == len(text):
-            return []
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # keeps places
+def _line(low: str, first: int, last: int) -> tuple[int, int]:
+    """The lines that hold a range; where they are too long, what is around it."""
+    a, z = low.rfind("\n", 0, first) + 1, low.find("\n", last)
+    z = len(low) if z < 0 else z
+    return (max(a, first - AROUND), min(z, last + AROUND)) if z - a > LINE else (a, z)
+
+
+def candidate_blocks(low: str) -> list[tuple[int, int]]:
+    """Code point ranges around marker words of a lowered text."""
+    if not any(m in low for m in MARKERS):
+        return []
     out: list[list[int]] = []
     for m in _MARKER.finditer(low):
-        a, z = low.rfind("\n", 0, m.start()) + 1, low.find("\n", m.end())
-        z = len(low) if z < 0 else z
-        if z - a > LINE:
-            a, z = max(a, m.start() - AROUND), min(z, m.end() + AROUND)
+        a, z = _line(low, *m.span())
         if out and (a <= out[-1][1] or (z - out[-1][0] <= LINE and low.count("\n", out[-1][1], a) <= GAP)):
             out[-1][1] = max(out[-1][1], z)
         else:
@@ -94,41 +118,96 @@ def candidate_blocks(text: str) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
+def _confirm(wording: list[str], deciding: tuple[str, ...], have: list[str], start: int = 0) -> tuple[tuple[str, ...], list[int]] | None:
+    """The words that are missing, and the places of those that are there."""
+    same = difflib.SequenceMatcher(None, wording, have, autojunk=False).get_matching_blocks()
+    used = [start + m.b + i for m in same for i in range(m.size)]
+    kept = {m.a + i for m in same for i in range(m.size)}
+    missing = tuple(w for i, w in enumerate(wording) if i not in kept)
+    return None if len(missing) > MISSING * len(wording) or any(w in missing for w in deciding) else (missing, used)
+
+
 @lru_cache(maxsize=MEMO)
-def _judge(block: str) -> tuple[tuple[str, int, tuple[str, ...]], ...]:
+def _judge(block: str) -> tuple[tuple[str, int, tuple[str, ...], tuple[int, ...]], ...]:
+    """(template, bytes saved, missing words, places of the words that are there) of a block."""
     plain, tools = _tools()
     raw = block.encode()
     alone = len(plain.compress(raw))
-    ranked = sorted(((alone - len(c.compress(raw)), name) for name, (c, _, _) in tools.items()), key=lambda r: (-r[0], r[1]))
-    have = word_list(block)
+    low = lowered(block)
+    have, spans = _placed(low)
     present = set(have)
+    tagged = {w: m.start(1) + at[0] for m in _TAG.finditer(low) for w, at in zip(*_placed(m[1]))}
+    ranked = sorted(((alone - len(c.compress(raw)), name) for name, (c, _, _) in tools.items() if name not in TAGS or tagged), key=lambda r: (-r[0], r[1]))
     found = []
     taken: set[int] = set()
     for saved, name in ranked:
         if saved < LEAST_SAVED:
             break
         _, wording, deciding = tools[name]
+        if name in TAGS:
+            # the tag itself may belong to several ids
+            if deciding[1] in tagged:
+                found.append((name, saved, (), (tagged[deciding[1]],)))
+            continue
         if not all(w in present for w in deciding):
             continue
-        same = difflib.SequenceMatcher(None, wording, have, autojunk=False).get_matching_blocks()
-        used = {m.b + i for m in same for i in range(m.size)}
-        kept = {m.a + i for m in same for i in range(m.size)}
-        missing = tuple(w for i, w in enumerate(wording) if i not in kept)
-        deciding_lost = any(w in missing for w in deciding)
+        seen = _confirm(wording, deciding, have)
         # a template whose words all belong to a better one says nothing new
-        if len(missing) <= MISSING * len(wording) and not deciding_lost and len(used - taken) > len(used) // 2:
-            found.append((name, saved, missing))
-            taken |= used
+        if seen and len(set(seen[1]) - taken) > len(seen[1]) // 2:
+            found.append((name, saved, seen[0], tuple(spans[i][0] for i in seen[1])))
+            taken.update(seen[1])
     return tuple(found)
 
 
-def findings(text: str | None) -> list[Finding]:
+def _around(text: str, low: str, a: int, z: int) -> list[tuple[str, int, int, int, tuple[str, ...], tuple[int, ...]]]:
+    """(template, start, end, bytes saved, missing words, places) of wordings that a block holds in part and its surroundings complete."""
+    plain, tools = _tools()
+    for size in (AROUND, LINE):
+        left = [max(0, a - size) + m.start() for m in _WORD.finditer(low[max(0, a - size) : a])]
+        if len(left) >= REACH or size >= a:
+            break
+    right = [m.end() for m in islice(_WORD.finditer(low, z, min(len(low), z + LINE)), REACH)]
+    if not left and not right:
+        return []
+    start = left[-REACH:][0] if left else a
+    have, spans = _placed(low[start : right[-1] if right else z])
+    spans = [(start + p, start + q) for p, q in spans]
+    inner = [i for i, (p, q) in enumerate(spans) if p < z and q > a]
+    present = set(have)
     out = []
-    for a, z in candidate_blocks(text or ""):
-        out += [Finding(name, a, z, saved, missing) for name, saved, missing in _judge(text[a:z])]
+    for name in TEMPLATES:
+        c, wording, deciding = tools[name]
+        if not inner or not all(w in present for w in deciding):
+            continue
+        # the longest run of words in the block tells where the rest should be
+        m = difflib.SequenceMatcher(None, wording, have, autojunk=False).find_longest_match(0, len(wording), inner[0], inner[-1] + 1)
+        lo = max(0, m.b - m.a - len(wording) // 2)
+        seen = m.size and _confirm(wording, deciding, have[lo : m.b - m.a + len(wording) * 3 // 2], lo)
+        if not seen or all(inner[0] <= i <= inner[-1] for i in seen[1]):
+            continue
+        b, y = _line(low, spans[seen[1][0]][0], spans[seen[1][-1]][1])
+        raw = text[b:y].encode()
+        saved = len(plain.compress(raw)) - len(c.compress(raw))
+        if saved >= LEAST_SAVED:
+            out.append((name, b, y, saved, seen[0], tuple(spans[i][0] for i in seen[1])))
     return out
 
 
+def findings(text: str | None) -> list[Finding]:
+    text = text or ""
+    low = lowered(text)
+    found = []
+    for a, z in candidate_blocks(low):
+        found += [(name, a, z, saved, missing, tuple(a + i for i in at)) for name, saved, missing, at in _judge(text[a:z])]
+        found += _around(text, low, a, z)
+    out, taken = [], set()
+    for name, a, z, saved, missing, at in sorted(found, key=lambda f: (-f[3], len(f[4]), f[0], f[1])):
+        if name in TAGS or len(set(at) - taken) > len(at) // 2:
+            out.append(Finding(name, a, z, saved, missing))
+            taken.update(() if name in TAGS else at)
+    return sorted(out, key=lambda f: (f.start, -f.saved, f.license))
+
+
 def scan(df: DataFrame) -> DataFrame:
     """doc_id, n_licenses, licenses (sorted, comma-joined), findings (license:start:end:saved:missing words, by place)."""
     ship(df.sparkSession)

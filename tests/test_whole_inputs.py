@@ -142,3 +142,14 @@ def test_spdx_tags():
     assert sorted(kinds("# SPDX-License-Identifier: (MIT OR Apache-2.0)")) == ["Apache-2.0-spdx", "MIT-spdx"]
     assert kinds("/* SPDX-License-Identifier: GPL-2.0-only */\nMIT and ISC are names") == ["GPL-2.0-only-spdx"]
     assert kinds("SPDX-License-Identifier: none\nMIT") == []
+
+
+def test_all_components(spark):
+    x = np.array([r.embedding for r in table(spark, SF, "embeddings").collect()], float)
+    cov = {(r.c1, r.c2): r["cov"] for r in registry.queries()["cov_matrix_all"](spark, SF).collect()}
+    want = np.cov(x.T)
+    assert len(cov) == 64 * 64 and all(abs(cov[i, j] - want[i, j]) < 2e-9 for i, j in cov)
+    high = {r.c: r.value for r in registry.queries()["mv_quantile_p90_all"](spark, SF).collect()}
+    s, h = np.sort(x, 0), (len(x) + 1) * 0.9
+    k = int(h)
+    assert h != k and len(high) == 64 and np.allclose([high[c] for c in range(64)], 0.9 * s[k - 1] + 0.1 * s[k], atol=1e-6)

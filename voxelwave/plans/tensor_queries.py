@@ -96,13 +96,22 @@ def shift_align(spark, sf_dir):
     return T.shift(s, shifts, ["user_id"], "t").select("user_id", "t", r6(F.col("value")).alias("value"))
 
 
-def cells(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, n)).alias("c", "value"))
+def cells(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """(vec_id, c, value) of all components, or of the first n."""
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(e if n is None else F.slice(e, 1, n)).alias("c", "value"))
 
 
 @query("cov_matrix", """WITH c AS (SELECT vec_id, unnest(range(0, 8)) AS c, CAST(unnest(embedding[1:8]) AS DOUBLE) AS v FROM embeddings)
 SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(covar_samp(a.v, b.v), 9) + 0.0 AS cov FROM c a JOIN c b USING (vec_id) GROUP BY ALL""")
 def cov_matrix(spark, sf_dir):
+    return T.covariance(cells(spark, sf_dir, 8), "vec_id", "c").select("c1", "c2", (F.round("cov", 9) + F.lit(0.0)).alias("cov"))
+
+
+@query("cov_matrix_all", """WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(covar_samp(a.v, b.v), 9) + 0.0 AS cov FROM c a JOIN c b USING (vec_id) GROUP BY ALL""")
+def cov_matrix_all(spark, sf_dir):
+    """Over all components; cov_matrix has the first 8, as its SQL."""
     return T.covariance(cells(spark, sf_dir), "vec_id", "c").select("c1", "c2", (F.round("cov", 9) + F.lit(0.0)).alias("cov"))
 
 
@@ -118,6 +127,12 @@ def quantile_p25(spark, sf_dir):
 
 @query("mv_quantile_p90", _Q1.format(by="c", p="0.9", v="v", t="(SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS c, unnest(embedding[1:8]) AS v FROM embeddings)"))
 def mv_quantile_p90(spark, sf_dir):
+    return T.quantile(cells(spark, sf_dir, 8), ["c"], 0.9).select("c", r6(F.col("value")).alias("value"))
+
+
+@query("mv_quantile_p90_all", _Q1.format(by="c", p="0.9", v="v", t="(SELECT CAST(unnest(range(0, len(embedding))) AS INTEGER) AS c, unnest(embedding) AS v FROM embeddings)"))
+def mv_quantile_p90_all(spark, sf_dir):
+    """Over all components; mv_quantile_p90 has the first 8, as its SQL."""
     return T.quantile(cells(spark, sf_dir), ["c"], 0.9).select("c", r6(F.col("value")).alias("value"))
 
 

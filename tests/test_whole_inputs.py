@@ -153,3 +153,21 @@ def test_all_components(spark):
     s, h = np.sort(x, 0), (len(x) + 1) * 0.9
     k = int(h)
     assert h != k and len(high) == 64 and np.allclose([high[c] for c in range(64)], 0.9 * s[k - 1] + 0.1 * s[k], atol=1e-6)
+
+
+def test_knn_of_every_point(spark):
+    x = {r.vec_id: r.embedding[:3] for r in table(spark, SF, "embeddings").collect()}
+    got = {}
+    for r in registry.queries()["knn_3_all"](spark, SF).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.target_id
+    ids, p = np.array(sorted(x)), np.array([x[i] for i in sorted(x)])
+    d = ((p[:, None] - p[None]) ** 2).sum(2)
+    assert set(got) == set(x) and all([got[i][k] for k in (1, 2, 3)] == ids[np.argsort(row, kind="stable")[:3]].tolist() for i, row in zip(ids, d))
+
+
+def test_knn_ties_go_by_index():
+    t = np.random.default_rng(6).integers(0, 3, (300, 3)).astype(float)
+    t[7] = np.nan
+    d, i = K.knn(t, t[:50], 9)
+    want = np.argsort(((t[:50, None] - t[None]) ** 2).sum(2), axis=1, kind="stable")[:, :9]
+    assert (i == want).all() and K.knn(t[:2], t[:4], 9)[1].shape == (4, 2)

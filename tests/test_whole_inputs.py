@@ -3,11 +3,12 @@
 import textwrap
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxelwave.functions import evoked as EV
 from voxelwave.functions import mesh as K
-from voxelwave.llm import licenses
+from voxelwave.llm import licenses, queries, topk
 from voxelwave.plans import evoked_queries, registry
 from voxelwave.runtime import table
 
@@ -171,3 +172,16 @@ def test_knn_ties_go_by_index():
     d, i = K.knn(t, t[:50], 9)
     want = np.argsort(((t[:50, None] - t[None]) ** 2).sum(2), axis=1, kind="stable")[:, :9]
     assert (i == want).all() and K.knn(t[:2], t[:4], 9)[1].shape == (4, 2)
+
+
+def test_topk_ranks_all_rows_of_a_query_id(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r = np.random.default_rng(8)
+    rows = [(i % 70, [float(np.float32(v)) for v in r.normal(size=5)]) for i in range(120)]
+    rows += [(20, rows[20][1]), (40, [1.0, 2.0])]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(v, v.where("id % 20 = 0"), 20, block=16, query_block=2).select("query_id", "rank", "vec_id", "score").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.oracle_sql()["op7_topk"]).fetchall())

@@ -8,8 +8,8 @@ the worst k-th score of the queries below the query node. Surviving leaf pairs a
 and their products and sums stay below 2**53, so a double matrix product is exact. Ties go to the smaller id everywhere.
 
 Cases: null vectors and vectors with null or non-finite components take no part. A vector is compared with those of the same
-length. A query never meets rows with its own id; repeated rows are separate candidates with equal scores. Fewer than k
-candidates: all of them. An empty table gives an empty table.
+length. A query never meets rows with its own id; repeated rows are separate candidates with equal scores. All rows of a
+query id take part and are ranked together. Fewer than k candidates: all of them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -160,10 +160,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, q
             flat = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             mats.append((flat.reshape(t.num_rows, -1), t.column("id").to_numpy()))
         (qm, qi), (xm, xi) = mats
-        uq, where = np.unique(qi, return_index=True)
-        best = dual_search(qm[where], uq, xm, xi, k)
+        best = dual_search(qm, qi, xm, xi, k)
         row, col = np.nonzero(~np.isneginf(best.score))
-        return pa.table({"query_id": uq[row], "vec_id": best.id[row, col], "score": best.score[row, col].astype(np.int64)})
+        return pa.table({"query_id": qi[row], "vec_id": best.id[row, col], "score": best.score[row, col].astype(np.int64)})
 
     found = left.groupBy("qb", "xb", "dim").cogroup(right.groupBy("qb", "xb", "dim")).applyInArrow(run, "query_id long, vec_id long, score long")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

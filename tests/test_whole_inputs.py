@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelwave.functions import evoked as EV
 from voxelwave.functions import mesh as K
-from voxelwave.llm import licenses, queries, topk
+from voxelwave.llm import langid, licenses, queries, topk
 from voxelwave.plans import evoked_queries, registry
 from voxelwave.runtime import table
 
@@ -185,3 +185,16 @@ def test_topk_ranks_all_rows_of_a_query_id(spark):
     con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
     assert sorted(map(tuple, got)) == sorted(con.sql(queries.oracle_sql()["op7_topk"]).fetchall())
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(k * 100 + i, "".join(chr(0x4E00 + 40 * k + (i * 7 + j * 3) % 40) for j in range(30)), f"l{k:02}") for k in range(70) for i in range(12 + 4 * (k < 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learning = df.select(F.col("doc_id").alias("id"), "text", "lang")
+    model = langid.learn(learning)
+    got = langid.predict_batch(model, [r[1] for r in rows])[0]
+    wrong = [r[2] for r, g in zip(rows, got) if g != r[2]]
+    assert len(model.langs) == 70 and not wrong, wrong
+    monkeypatch.setattr(langid, "MAX_ROWS", 70)
+    few = langid.sample(learning)
+    assert len(few) == 70 and len({r[0] for r in few}) == 70

@@ -2,11 +2,12 @@
 
 Features are hashed n-grams of 1 to 3 lower-cased code points; a term's frequency is its share of the text's n-grams, its
 inverse document frequency comes from all learning rows. Weights are learned by follow-the-regularised-leader (proximal,
-per-coordinate rates) with elastic-net penalties on a bounded sample: at most ``PER_LANG`` rows a language, of at most
-``MAX_LANGS`` languages. A quarter of that sample is kept aside to fit the temperature of the softmax.
+per-coordinate rates) with elastic-net penalties on a bounded sample: at most ``PER_LANG`` rows a language, fewer with
+many languages, so that all of them are learned within ``MAX_ROWS`` rows (one row a language at least). A quarter of that sample
+is kept aside to fit the temperature of the softmax.
 
 Scoring is one narrow pass: a text's logits are the mean, over its n-grams, of the rows of one (features x languages) table,
-whose size is fixed, so its broadcast is bounded.
+whose size is that of 65,536 weights a language, so its broadcast is bounded by their number.
 
 Cases: a null text, or one without a letter, gets ``und`` with score 0. Without any learning row every text is ``und``. A
 row whose id is null is never learned from and counts as not held out. Repeated rows repeat. Extra columns are ignored.
@@ -14,6 +15,7 @@ row whose id is null is never learned from and counts as not held out. Repeated
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,7 @@ from voxelwave.runtime import ship
 FEATURES = 1 << 16
 GRAMS = (1, 2, 3)
 PER_LANG = 512
-MAX_LANGS = 64
+MAX_ROWS = 1 << 15
 CHUNK = 1024
 SALTS = 256
 BLOCK_CHARS = 1 << 20
@@ -117,15 +119,20 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(rows: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(lang, hash, features, shares) of at most PER_LANG rows a language, least hash of the id first."""
+    """(lang, hash, features, shares) of at most PER_LANG rows of every language, least hash of the id first."""
     key = rows.select("id", "lang", F.xxhash64("id", "lang").alias("h"))
-    langs = key.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    counts = key.groupBy("lang").count()
+    sizes = counts.collect()  # one row a language
+    langs = key.sparkSession.createDataFrame(sizes, counts.schema)
+    per = max(1, min(PER_LANG, MAX_ROWS // max(1, len(sizes))))
     w = W.partitionBy("lang").orderBy("h", "id")
-    # a hash threshold leaves about four times the rows wanted of a language, however many it has and however they are dealt
-    few = F.col("count") <= 4 * PER_LANG
-    near = F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * 4 * PER_LANG / F.col("count")
-    picked = key.join(F.broadcast(langs), "lang").where(few | near).withColumn("r", F.row_number().over(w)).where(F.col("r") <= PER_LANG).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("lang").alias("_lang"))
-    # at most PER_LANG * MAX_LANGS rows: a bounded broadcast
+    # a hash threshold leaves about four times the rows wanted of a language (of 16 at least, so that none is left without),
+    # however many it has and however they are dealt
+    wide = 4 * max(per, 16)
+    few = F.col("count") <= wide
+    near = F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * wide / F.col("count")
+    picked = key.join(F.broadcast(langs), "lang").where(few | near).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("lang").alias("_lang"))
+    # at most MAX_ROWS rows, or one a language: a bounded broadcast
     chosen = rows.join(F.broadcast(picked.distinct()), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", F.col("_h").alias("h"), "text")
 
     def run(batches):
@@ -144,7 +151,14 @@ def sample(rows: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     out = [(r.lang, r.h, np.frombuffer(r.f, "<i4"), np.frombuffer(r.v, "<f4").astype(float)) for r in found]
     # rows that repeat an id could exceed the bound by their number; the order is by hash, then by content
     out.sort(key=lambda r: (r[1], r[0], r[2].tobytes()))
-    return out[: PER_LANG * MAX_LANGS]
+    if len(out) > MAX_ROWS:
+        seen, kept = Counter(), []
+        for r in out:
+            seen[r[0]] += 1
+            if seen[r[0]] <= per:
+                kept.append(r)
+        return kept
+    return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -157,9 +171,13 @@ def fit(examples: list[tuple[str, int, np.ndarray, np.ndarray]], df: np.ndarray,
     if not langs:
         return None
     idf = np.log((1 + n) / (1 + df)) + 1
-    data = [(langs.index(lang), f, v * idf[f]) for lang, _, f, v in examples]
-    kept_aside = [d for k, d in enumerate(data) if k % 4 == 3]
-    learn = [d for k, d in enumerate(data) if k % 4 != 3] or data
+    place = {lang: k for k, lang in enumerate(langs)}
+    data = [(place[lang], f, v * idf[f]) for lang, _, f, v in examples]
+    learnt = {d[0] for k, d in enumerate(data) if k % 4 != 3}
+    # a language all of whose rows would be kept aside is learned from them
+    aside = [k % 4 == 3 and d[0] in learnt for k, d in enumerate(data)]
+    kept_aside = [d for d, a in zip(data, aside) if a]
+    learn = [d for d, a in zip(data, aside) if not a]
     z, g2 = np.zeros((FEATURES + 1, len(langs))), np.zeros((FEATURES + 1, len(langs)))
     bias_at = FEATURES
 

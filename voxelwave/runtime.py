@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Spark drops the shuffle files of an SQL execution when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,7 +24,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(), "voxelwave_src.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = os.path.join(folder, "voxelwave_src.zip")
     with zipfile.ZipFile(out, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
@@ -30,9 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode an own one where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "voxelwave-shared")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -62,11 +73,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes within go when each write ends; later plans read the written tables, never those files."""
+    was = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, was)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that survive lost executors."""
-    path = scratch(df.sparkSession, name) + "/t"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, name)
+    with own_shuffles(df.sparkSession):
+        df.write.parquet(f"{path}/t")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table of a ``cut`` that nothing reads any more."""
+    remove(df.sparkSession, df._cut_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

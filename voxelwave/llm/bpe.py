@@ -8,8 +8,8 @@ encoding of prefix ``p`` exactly if ``p`` ends with ``t`` and the last token of
 and a word's ids are read off by following last tokens back.
 
 Cases: a null text counts as empty (no ids, empty decoded text). Special tokens written out in a text become their id, as in
-the tokenizer library's default. Equal rows give equal results; extra input columns are ignored. Texts of any length are
-encoded whole.
+the tokenizer library's default. Equal rows give equal results; ids of any type, null ones too, are kept; extra input columns
+are ignored, whatever they are called. Texts of any length are encoded whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from voxelwave.llm.rows import pick
 from voxelwave.runtime import ship
 
 #: Unicode White_Space, as the tokenizer's pattern reads it.
@@ -367,7 +368,7 @@ def encode(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, ids array<int>")
+    return pick(df, id_col, text_col).toDF("id", "text").mapInArrow(run, f"id {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, vocab: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -381,7 +382,7 @@ def decode(df: DataFrame, vocab: str, id_col: str = "id", ids_col: str = "ids")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids").mapInArrow(run, f"id {kind}, text string")
+    return pick(df, id_col, ids_col).toDF("id", "ids").mapInArrow(run, f"id {kind}, text string")
 
 
 def round_trip(df: DataFrame, vocab: str) -> DataFrame:
@@ -402,4 +403,4 @@ def round_trip(df: DataFrame, vocab: str) -> DataFrame:
                 text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pick(df, "doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

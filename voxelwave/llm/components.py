@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelwave.runtime import cut
+from voxelwave.runtime import cut, drop
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -30,7 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct(), "small")
+        e, old = cut(small.distinct(), "small"), e
+        drop(old)
+        drop(large)
         after = _print_of(e)
         if after == before:
             break

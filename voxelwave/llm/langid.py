@@ -10,12 +10,14 @@ Scoring is one narrow pass: a text's logits are the mean, over its n-grams, of t
 whose size is that of 65,536 weights a language, so its broadcast is bounded by their number.
 
 Cases: a null text, or one without a letter, gets ``und`` with score 0. Without any learning row every text is ``und``. A
-row whose id is null is never learned from and counts as not held out. Repeated rows repeat. Extra columns are ignored.
+row whose id is null is never learned from and counts as not held out. Equal learning rows count once in the sample, rows that
+share an id count each; document frequencies count all. Equal logits go to the first language in code point order. Texts of
+any length are read whole, in blocks. Repeated rows repeat in the result. An empty table gives an empty table. Extra columns
+are ignored, or kept by ``keep_identified``, whatever they are called.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from voxelwave.llm.rows import pick, place, plain
 from voxelwave.runtime import ship
 
 FEATURES = 1 << 16
@@ -119,46 +123,41 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(rows: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(lang, hash, features, shares) of at most PER_LANG rows of every language, least hash of the id first."""
-    key = rows.select("id", "lang", F.xxhash64("id", "lang").alias("h"))
-    counts = key.groupBy("lang").count()
-    sizes = counts.collect()  # one row a language
-    langs = key.sparkSession.createDataFrame(sizes, counts.schema)
-    per = max(1, min(PER_LANG, MAX_ROWS // max(1, len(sizes))))
-    w = W.partitionBy("lang").orderBy("h", "id")
+    """(lang, hash, features, shares) of at most PER_LANG different rows of every language, least hash of the row first."""
+    ship(rows.sparkSession)
+    keyed = rows.select("lang", "text", F.xxhash64("id", "lang", "text").alias("h"))
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    found = sizes.collect()  # one row a language
+    per = max(1, min(PER_LANG, MAX_ROWS // max(1, len(found))))
+    langs = rows.sparkSession.createDataFrame(found, sizes.schema)
     # a hash threshold leaves about four times the rows wanted of a language (of 16 at least, so that none is left without),
-    # however many it has and however they are dealt
+    # however many it has; equal rows are one key
     wide = 4 * max(per, 16)
-    few = F.col("count") <= wide
-    near = F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * wide / F.col("count")
-    picked = key.join(F.broadcast(langs), "lang").where(few | near).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("lang").alias("_lang"))
+    near = F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * wide / F.col("n")
+    keys = keyed.join(F.broadcast(langs), "lang").where((F.col("n") <= wide) | near).select("lang", "h").distinct()
+    w = W.partitionBy("lang").orderBy("h")
+    picked = keys.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per).select(F.col("lang").alias("_lang"), F.col("h").alias("_h"))
     # at most MAX_ROWS rows, or one a language: a bounded broadcast
-    chosen = rows.join(F.broadcast(picked.distinct()), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", F.col("_h").alias("h"), "text")
+    chosen = keyed.join(F.broadcast(picked), (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_lang"))).select("lang", "h", "text")
 
     def run(batches):
         for b in batches:
-            idx, val = [], []
+            both = []
             for t in b.column(2).to_pylist():
                 grams, _ = hashed([t or ""])
                 f, n = np.unique(grams, return_counts=True)
                 real = f < FEATURES
                 f, n = f[real], n[real]
-                idx.append(f.astype("<i4").tobytes())
-                val.append((n / max(1, n.sum())).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "h", "f", "v"])
-
-    found = chosen.mapInArrow(run, "lang string, h long, f binary, v binary").collect()
-    out = [(r.lang, r.h, np.frombuffer(r.f, "<i4"), np.frombuffer(r.v, "<f4").astype(float)) for r in found]
-    # rows that repeat an id could exceed the bound by their number; the order is by hash, then by content
-    out.sort(key=lambda r: (r[1], r[0], r[2].tobytes()))
-    if len(out) > MAX_ROWS:
-        seen, kept = Counter(), []
-        for r in out:
-            seen[r[0]] += 1
-            if seen[r[0]] <= per:
-                kept.append(r)
-        return kept
-    return out
+                both.append(f.astype("<i4").tobytes() + (n / max(1, n.sum())).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.binary())], ["lang", "h", "fv"])
+
+    # equal rows become one before anything comes to the driver
+    one = chosen.mapInArrow(run, "lang string, h long, fv binary").groupBy("lang", "h").agg(F.min("fv").alias("fv"))
+    out = []
+    for r in one.collect():
+        n = len(r.fv) // 8
+        out.append((r.lang, r.h, np.frombuffer(r.fv, "<i4", n), np.frombuffer(r.fv, "<f4", n, 4 * n).astype(float)))
+    return sorted(out, key=lambda r: (r[1], r[0]))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -231,6 +230,7 @@ def predict_batch(model: Model | None, texts: list[str | None]) -> tuple[list[st
 
 def learn(rows: DataFrame) -> Model | None:
     """A model from (id, text, lang) rows."""
+    ship(rows.sparkSession)
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     examples = sample(rows)
     if not examples:
@@ -238,35 +238,37 @@ def learn(rows: DataFrame) -> Model | None:
     return fit(examples, *document_frequencies(rows))
 
 
-def predict(df: DataFrame, model: Model | None) -> DataFrame:
-    """All columns, and lang_pred and score as _lang_pred and _score. Narrow."""
+def predict(df: DataFrame, model: Model | None, text: str) -> DataFrame:
+    """All columns, and lang_pred and score after them. ``text`` names the text column. Narrow."""
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     names = df.columns
-    at = names.index("text")
+    at = names.index(text)
 
     def run(batches):
         m = shared.value
         for b in batches:
             lang, score = predict_batch(m, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.mapInArrow(run, f"{ddl}, _lang_pred string, _score double")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def _model(df: DataFrame) -> Model | None:
+    return learn(pick(df, "doc_id", "text", "lang").where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
+
+
 def identify(df: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    model = learn(df.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
-    return predict(df.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return predict(pick(df, "doc_id", "text"), _model(df), "text").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame, least: float = 0.35) -> DataFrame:
     """Rows whose language is found with a calibrated score of ``least`` or more; all columns."""
-    model = learn(df.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
-    return predict(df, model).where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).drop("_lang_pred", "_score")
+    out = predict(plain(df), _model(df), place(df, "text"))
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*df.columns)

@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from voxelwave.llm.rows import pick
 from voxelwave.runtime import ship
 
 #: Common license notices, and the words that decide for each.
@@ -224,4 +225,4 @@ def scan(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(all_, pa.string())], ["doc_id", "n_licenses", "licenses", "findings"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_licenses long, licenses string, findings string")
+    return pick(df, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_licenses long, licenses string, findings string")

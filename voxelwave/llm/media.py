@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from voxelwave.llm.rows import pick
 from voxelwave.runtime import ship
 
 SIDE = 24
@@ -244,7 +245,7 @@ def media_columns(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", *(f.name for f in kinds)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.selectExpr(f"`{id_col}` AS id", f"`{media_col}` AS media").mapInArrow(run, f"id {kind}, {MEDIA_SCHEMA}")
+    return pick(df, id_col, media_col).toDF("id", "media").mapInArrow(run, f"id {kind}, {MEDIA_SCHEMA}")
 
 
 def feature_string(info: dict) -> str:
@@ -272,4 +273,4 @@ def store_and_read(df: DataFrame) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return pick(df, "doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

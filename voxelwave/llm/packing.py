@@ -2,11 +2,12 @@
 
 A bounded-space online best-fit: a fixed number of open bins, held in a bitset keyed by free space. A piece goes to the open
 bin with the least free space that holds it; if none does and all places are taken, the fullest open bin closes. Pieces of a
-group arrive longest first. Groups are dealt by a hash of the piece, so each is of bounded size and none depends on another.
+group arrive longest first. Groups are dealt by a hash of the piece and its place, so each is of bounded size, equal rows spread
+over all groups, and none depends on another.
 
 Cases: null and empty texts are the end token alone. A document of more than ``capacity`` tokens is cut into pieces of the
 capacity, the first taking the rest. Repeated rows and null ids are packed like any others. An empty table packs to an empty
-table. Extra columns are ignored.
+table. Pieces of equal length keep the order of their group's table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelwave.llm.bpe import library_ids
+from voxelwave.llm.rows import pick
 from voxelwave.runtime import cut, ship
 
 CAPACITY = 2048
@@ -50,7 +52,7 @@ def pieces(df: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int = 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return pick(df, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
@@ -86,11 +88,11 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces."""
+    """Adds sequence_id and offset to pieces, which are a written table: a row's place in it deals equal rows apart."""
     ship(found.sparkSession)
     n = found.count()
     groups = max(1, -(-n // group))
-    dealt = found.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = found.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(keys, t):
         g = keys[0].as_py()

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelwave.llm.arrowtext import blocks, text_view, word_hashes, words
+from voxelwave.llm.rows import pick
 from voxelwave.runtime import ship
 
 SAMPLE = 20_000
@@ -181,19 +182,23 @@ def held_out() -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from documents (doc_id, text) and labels (doc_id, quality), on rows that are not held out."""
+    """A model from documents (doc_id, text) and labels (doc_id, quality), on rows that are not held out.
+
+    Rows that share an id are one learning row (of the least features), an id with several labels has the least.
+    """
     ship(docs.sparkSession)
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    marked = pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_quality"))
     # SAMPLE rows at most: a bounded broadcast
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality")
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality")
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in features(b.column(1))], pa.binary())], ["id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sorted(((r.id, r.x, r.y) for r in rows.mapInArrow(run, f"id {kind}, y int, x binary").collect()))[:SAMPLE]
+    one = rows.mapInArrow(run, f"id {kind}, y int, x binary").groupBy("id").agg(F.min(F.struct("x", "y")).alias("r"))
+    found = sorted((r.id, r.r.x, r.r.y) for r in one.collect())  # SAMPLE rows at most
     x = np.array([np.frombuffer(r[1]) for r in found]).reshape(len(found), len(NAMES))
     return fit(x, np.array([r[2] for r in found], float))
 
@@ -209,5 +214,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(features(b.column(1))))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -5,7 +5,8 @@ each (blob, rule version) pair that was ever scanned. A run scans only blobs tha
 paths carry it, appends their findings and joins the ledger back to all paths.
 
 Cases: a null text is an empty blob. Repeated rows and ids are paths like any others; a null id is kept. Matches and offsets
-are counted in code points over the whole text. An empty table gives an empty table. Extra columns are ignored.
+are counted in code points over the whole text. An empty table gives an empty table. Extra columns are
+ignored by ``scan`` and kept by ``redact``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelwave.llm.rows import pick, place, plain
 from voxelwave.runtime import cut, exists, scratch, ship
 
 RULE_VERSION = 1
@@ -83,7 +85,7 @@ class Ledger:
     def scan(self, df: DataFrame) -> DataFrame:
         """(id, findings) for every row. Blobs that the ledger lacks are scanned once and recorded."""
         ship(self.spark)
-        texts = df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+        texts = pick(df, "doc_id", "text").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
         paths = cut(texts.select("id", "blob"), "paths")
         blobs = paths.groupBy("blob").agg(F.min("id").alias("rep"))
         known = self.findings()
@@ -107,8 +109,9 @@ def redact(df: DataFrame, mark: str = "[SECRET]", ledger: Ledger | None = None)
     """All rows and columns; spans of secrets are replaced by ``mark`` (overlapping ones by a single mark)."""
     found = (ledger or Ledger(df.sparkSession)).scan(df).where("spans <> ''").select(F.col("id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_blob"])
     ship(df.sparkSession)
-    names = df.columns
-    text_at = names.index("text")
+    rows, doc, text_col = plain(df), place(df, "doc_id"), place(df, "text")
+    names = rows.columns
+    text_at = names.index(text_col)
 
     def run(batches):
         for b in batches:
@@ -128,5 +131,5 @@ def redact(df: DataFrame, mark: str = "[SECRET]", ledger: Ledger | None = None)
             cols[text_at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    same = df["doc_id"].eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(F.coalesce(df["text"], F.lit("")), 256)) == F.col("_blob"))
-    return df.join(found.hint("shuffle_hash"), same, "left").select(*(df[c] for c in names), "_spans").mapInArrow(run, df.schema)
+    same = rows[doc].eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(F.coalesce(rows[text_col], F.lit("")), 256)) == F.col("_blob"))
+    return rows.join(found.hint("shuffle_hash"), same, "left").select(*names, "_spans").mapInArrow(run, rows.schema).toDF(*df.columns)

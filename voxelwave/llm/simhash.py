@@ -3,19 +3,25 @@
 Fingerprints are compared in tiles with exclusive-or and bit counts in numpy. The fingerprints of a tile are ordered by their
 population count; a pair of sub-tiles whose counts differ by more than the radius holds no link and is skipped.
 
-So that the work grows with the table and not with its square, tiles are formed within blocks: two fingerprints at distance
-r or less agree in at least one of r + 1 bit bands (pigeonhole), so comparing all pairs that agree in a band's leading bits
-loses no link. How many leading bits follows from the number of distinct fingerprints; any number is exact. Blocks above
+So that the work grows with the table and not with its square, tiles are formed within blocks: of r + m bit bands, two
+fingerprints at distance r or less agree in at least m (pigeonhole), so comparing all pairs that agree in some m bands loses no
+link. ``bands`` chooses m by the number of distinct fingerprints, so that a block holds about ``BLOCK`` of them at any size: up
+to 17 million are keyed by any 1 of 5 bands (12 bits, 5 copies), up to 8 billion by any 2 of 6 (20 bits, 15 copies), beyond by
+any 3 of 7 or 4 of 8 (27 and 32 bits). Fewer bits than these are used for fewer fingerprints; any number is exact. Blocks above
 ``TILE`` fingerprints are dealt into salted tiles and every tile pair is a group of its own, so no group is unbounded. A
 tile pair gives a spanning forest of its links, never all pairs, and components are contracted in written rounds.
 
 Cases: null and wordless texts have fingerprint zero and link like any other; fewer words than a shingle: one shingle of all
 words. Equal fingerprints are one node however many rows have them. A null id takes part, but is never a component's id
-unless all of its ids are null. Repeated rows repeat in the result. An empty table gives an empty table.
+unless all of its ids are null; ties do not arise, as the smallest id is unique. Repeated rows repeat in the result. Texts of any
+length are read whole. An empty table gives an empty table. Extra columns are ignored, or kept by ``keep_first``, whatever they
+are called.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelwave.llm.components import components
+from voxelwave.llm.rows import pick, place, plain
 from voxelwave.runtime import cut, ship
 
 SHINGLE = 4
@@ -31,8 +38,10 @@ SEED = 42
 #: Fingerprints that one tile may hold, and that a block should hold.
 TILE = 1 << 16
 BLOCK = 1 << 12
-#: Leading bits of a band that may key blocks; bounds the table of block sizes.
-MAX_KEY_BITS = 12
+#: Bands that agree in a key may be so many.
+MAX_AGREE = 4
+#: Oversized blocks that may be broadcast; more are joined by a shuffle.
+MAX_HEAVY = 1 << 16
 SUB_TILE = 2048
 
 _LANES = np.array([sum(1 << 8 * j for j in range(8) if v >> j & 1) for v in range(256)], np.uint64)
@@ -79,7 +88,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, fp long")
+    return pick(df, id_col, text_col).toDF("id", "text").mapInArrow(run, f"id {kind}, fp long")
 
 
 class Forest:
@@ -140,19 +149,38 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     return nodes[child], nodes[forest.root[child]]
 
 
+def bands(n: int, radius: int, block: int) -> list[list[tuple[int, int]]]:
+    """Keys for ``n`` fingerprints: each is a list of (lowest bit, bits) that together are its value.
+
+    Bits are taken evenly from the bands of a key, only as many as leave about ``block`` fingerprints a value.
+    """
+    want = max(0, int(np.ceil(np.log2(max(n, 1) / block))))
+    for agree in range(1, MAX_AGREE + 1):
+        count = radius + agree
+        bounds = [64 * k // count for k in range(count + 1)]
+        width = min(b - a for a, b in zip(bounds, bounds[1:]))
+        if agree * width >= want or agree == MAX_AGREE:
+            break
+    taken = min(want, agree * width)
+    share = [taken * (i + 1) // agree - taken * i // agree for i in range(agree)]
+    return [[(bounds[b], bits) for b, bits in zip(chosen, share)] for chosen in combinations(range(count), agree)]
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct ``fp`` longs to (u, v): edges whose components are those of all links at distance ``radius`` or less."""
-    n = fps.count()
-    bands = radius + 1
-    width = 64 // bands
-    key_bits = min(MAX_KEY_BITS, width, max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK)))))
-    bounds = [64 * k // bands for k in range(bands)]
-    mask = (1 << key_bits) - 1
-    key = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(mask).cast("long")).alias("key")) for k, at in enumerate(bounds)))
-    rows = fps.select("fp", F.explode(key).alias("b")).select("fp", "b.band", "b.key")
-    # at most bands * 2**MAX_KEY_BITS rows, so its broadcast has a fixed bound
-    sizes = rows.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-    dealt = rows.join(F.broadcast(sizes), ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
+    """Distinct ``fp`` longs, a written table, to (u, v): edges whose components are those of all links at distance ``radius`` or less."""
+
+    def value(parts: list[tuple[int, int]]) -> F.Column:
+        key = F.lit(0).cast("long")
+        for at, bits in parts:
+            key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+        return key
+
+    keys = bands(fps.count(), radius, BLOCK)
+    rows = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), value(parts).alias("key")) for k, parts in enumerate(keys)))).alias("b")).select("fp", "b.band", "b.key")
+    heavy = cut(rows.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("tiles > 1"), "heavy")
+    few = heavy.count() <= MAX_HEAVY
+    dealt = rows.join(F.broadcast(heavy) if few else heavy, ["band", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
     pairs = dealt.select("band", "key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
         "band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("second"), "fp"
     )
@@ -184,7 +212,7 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_first(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of the smallest id of each component, with all columns; rows without an id stay."""
-    found = near_duplicates(df, radius)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = df.join(first.hint("shuffle_hash"), df["doc_id"] == F.col("_first"), "left_semi")
-    return kept.unionByName(df.where(F.col("doc_id").isNull()))
+    first = near_duplicates(df, radius).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    rows, doc = plain(df), place(df, "doc_id")
+    kept = rows.join(first.hint("shuffle_hash"), rows[doc] == F.col("first"), "left_semi")
+    return kept.unionByName(rows.where(F.col(doc).isNull())).toDF(*df.columns)

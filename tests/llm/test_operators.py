@@ -273,7 +273,7 @@ def test_topk(spark):
     x += [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, []), (1005, [1.0, 2.0]), (7, x[7][1]), (1100, x[20][1])]
     df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
     v = topk.integer_vectors(df)
-    got = rows(topk.search(v, v.where("id % 20 = 0"), 20, block=64, query_block=5), "query_id", "rank", "vec_id", "score")
+    got = rows(topk.search(v, v.where("id % 20 = 0"), 20, block=64, query_block=5, few=0), "query_id", "rank", "vec_id", "score")
     clean = [(i, np.floor(64 * np.array(e))) for i, e in x if e and len(e) == 6 and all(c is not None and np.isfinite(c) for c in e)]
     want = []
     for q in sorted({i for i, _ in clean if i % 20 == 0}):
@@ -286,12 +286,63 @@ def test_topk(spark):
     assert topk.search(v.limit(0), v.limit(0), 20).count() == 0
 
 
-def test_cover_tree_covers():
-    x = np.floor(np.random.default_rng(1).normal(size=(2000, 4)) * 20)
+@pytest.mark.parametrize("clustered", [False, True])
+def test_cover_tree_invariants(clustered):
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.normal(size=(1500, 5)) * 20)
+    if clustered:
+        x = np.floor(rng.normal(size=(12, 5)) * 500)[rng.integers(0, 12, 1500)] + np.floor(rng.normal(size=(1500, 5)) * 3)
+        x[100:180] = x[99]
+    level, parent, top = topk.cover_levels(x, 8)
+    dist = lambda a, b: np.sqrt(((x[a][:, None] - x[b]) ** 2).sum(-1))
+    last = level.max()
+    for i in range(1, last + 1):
+        centres, new = np.flatnonzero(level <= i), np.flatnonzero(level == i)
+        if i < last:  # separation; points of the last level need none
+            d = dist(centres, centres)
+            assert (d[np.triu_indices(len(d), 1)] > top / 2**i).all()
+        # covering by a centre of the level above; nesting holds as a point stays a centre from its level on
+        assert (level[parent[new]] < i).all()
+        assert (np.sqrt(((x[new] - x[parent[new]]) ** 2).sum(1)) <= top / 2 ** (i - 1) + 1e-9).all()
     t = topk.CoverTree(x, leaf=16)
-    for c, r, (a, b) in zip(t.center, t.radius, t.span):
-        assert (np.sqrt(((x[t.order[a:b]] - c) ** 2).sum(1)) <= r + 1e-9).all()
-    assert sorted(t.order.tolist()) == list(range(2000))
+    ordered = x[t.order]
+    for (c, a, b, first, n), r in zip(t.nodes.tolist(), t.radius):
+        assert (np.sqrt(((ordered[a:b] - ordered[c]) ** 2).sum(1)) <= r + 1e-9).all()
+        kids = t.nodes[first : first + n, 1:3].tolist()
+        assert not n or [a, *[z for _, z in kids]] == [*[y for y, _ in kids], b]
+        assert n or b - a <= 16
+    assert sorted(t.order.tolist()) == list(range(1500))
+
+
+def test_topk_large_values_are_exact(spark):
+    big = 1 << 30
+    x = [(i, [float(big + 7 * i), float(big - i), float(-big + i * i)]) for i in range(50)] + [(60, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(x, "id long, vec array<double>")
+    got = rows(topk.search(v, v.where("id % 20 = 0"), 3), "query_id", "rank", "vec_id", "score")
+    ints = {i: [int(c) for c in e] for i, e in x}
+    want = []
+    for q in (0, 20, 40, 60):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], e)), i) for i, e in ints.items() if i != q)[:3]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    huge = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "id long, vec array<double>")
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.search(huge, huge, 3).count()
+
+
+def test_topk_blocks_are_pruned(spark):
+    rng = np.random.default_rng(2)
+    centres = np.floor(rng.normal(size=(8, 16)) * 3000)
+    data = [(i, [float(c) for c in centres[i % 8] + np.floor(rng.normal(size=16) * 4)]) for i in range(800)] + [(i, [5.0] * 16) for i in range(1000, 1040)]
+    v = spark.createDataFrame(data, "id long, vec array<double>").repartition(4)
+    got = rows(topk.search(v, v.where("id % 20 = 0"), 5, block=50, query_block=10, leaf=8, roots=3, few=0), "query_id", "rank", "vec_id", "score")
+    ids, m = np.array([i for i, _ in data]), np.array([e for _, e in data])
+    want = []
+    for q in ids[ids % 20 == 0].tolist():
+        s = m @ m[ids.tolist().index(q)]
+        best = sorted((-int(a), i) for a, i in zip(s, ids.tolist()) if i != q)[:5]
+        want += [(q, r, i, -a) for r, (a, i) in enumerate(best, 1)]
+    assert got == sorted(want)
 
 
 # ---------------------------------------------------------------- 8

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelwave.llm.components import components
-from voxelwave.llm.rows import pick, place, plain
+from voxelwave.llm.rows import bounded, pick, place, plain
 from voxelwave.runtime import cut, ship
 
 SHINGLE = 4
@@ -40,8 +40,6 @@ TILE = 1 << 16
 BLOCK = 1 << 12
 #: Bands that agree in a key may be so many.
 MAX_AGREE = 4
-#: Oversized blocks that may be broadcast; more are joined by a shuffle.
-MAX_HEAVY = 1 << 16
 SUB_TILE = 2048
 
 _LANES = np.array([sum(1 << 8 * j for j in range(8) if v >> j & 1) for v in range(256)], np.uint64)
@@ -177,9 +175,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     keys = bands(fps.count(), radius, BLOCK)
     rows = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), value(parts).alias("key")) for k, parts in enumerate(keys)))).alias("b")).select("fp", "b.band", "b.key")
-    heavy = cut(rows.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("tiles > 1"), "heavy")
-    few = heavy.count() <= MAX_HEAVY
-    dealt = rows.join(F.broadcast(heavy) if few else heavy, ["band", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    heavy = bounded(rows.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("tiles > 1"))
+    dealt = rows.join(heavy, ["band", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
     pairs = dealt.select("band", "key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
         "band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("second"), "fp"

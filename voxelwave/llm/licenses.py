@@ -1,14 +1,19 @@
 """Operator 2: license scans by conditional compression.
 
-Lines that carry a marker word, with small gaps between them, form candidate blocks. Each block is compressed alone and with
-every template as a raw zstandard dictionary; templates are ranked by the bytes that saves. Winners are confirmed by exact
-wording: the template's words that the block lacks, in order, are listed; too many of them, or a missing deciding word (a
-version, a name), reject the template. As a notice may be wrapped over lines without a marker, wordings are then looked for
-around each block as well, as far as the longest template reaches; such a finding's place is the lines that hold its words. Of
-findings that share most of their words, the one that saves most stays. SPDX tags are read by the ids of their expression.
-
-Cases: null and empty texts have no findings. Lines longer than ``LINE`` characters are searched in windows around their
-markers, overlapping ones joined, so no text is too long. Repeated rows repeat; a null id is kept. Extra columns are ignored.
+A template is a wording and the words that decide for it (a version, a name); the first of them is its anchor. Around each anchor
+in a text, as many words as one and a half times the template are looked at on both sides; overlapping ranges form a candidate
+block. Each block is compressed alone and with every template as a raw zstandard dictionary; templates are ranked by the bytes
+that saves. Winners are confirmed by exact wording around their anchors: the template's words that the text lacks there, in
+order, are listed; too many of them, or a missing deciding word, reject the template. Of findings that share most of their
+words, the one that saves most stays. SPDX tags are read by the ids of their expression.
+
+A confirmed wording holds all deciding words, so no block without an anchor could be confirmed: tests hold this against all
+places of a text and all templates. Texts, lines and blocks of any length are searched whole. ``templates`` may be given, full
+license texts too (``read_templates`` makes them from a folder); those here are notices and short licenses.
+
+Cases: null and empty texts have no findings. Equal savings go to the wording with fewer missing words, then to the name, then
+to the place. Repeated rows repeat; ids of any type, null ones too, are kept. An empty table gives an empty table. Extra columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,21 +22,42 @@ import difflib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from voxelwave.llm.rows import pick
 from voxelwave.runtime import ship
 
-#: Common license notices, and the words that decide for each.
+#: Common license notices and short licenses, and the words that decide for each, the anchor first.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
     "Apache-2.0-header": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', ("apache", "2.0", "compliance")),
     "MIT": ("Released under the MIT License.", ("mit",)),
     "MIT-text": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ("permission", "granted", "restriction")),
+    "MIT-license": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("noninfringement", "sublicense", "restriction"),
+    ),
+    "ISC-license": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("disclaims", "fee", "tortious"),
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        ("redistributions", "retain", "disclaimed"),
+    ),
     "BSD-text": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution", "permitted")),
     "ISC-text": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission", "fee", "granted")),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "2")),
@@ -41,9 +67,9 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", ("by-sa", "4.0")),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", ("by-nc", "4.0")),
-    "CC0-1.0": ("To the extent possible under law, the author has dedicated all copyright to the public domain worldwide", ("public", "domain")),
+    "CC0-1.0": ("To the extent possible under law, the author has dedicated all copyright to the public domain worldwide", ("domain", "public")),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", ("unencumbered", "public")),
-    "All-rights-reserved": ("All rights reserved.", ("all", "rights", "reserved")),
+    "All-rights-reserved": ("All rights reserved.", ("reserved", "all", "rights")),
 }
 #: Tags of one line, by id.
 SPDX = ("0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later "
@@ -51,17 +77,12 @@ SPDX = ("0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clau
 TAG = "spdx-license-identifier"
 TAGS = {f"{i}-spdx": (f"SPDX-License-Identifier: {i}", (TAG, i.lower())) for i in SPDX}
 _TAG = re.compile(TAG + r":[ \t]*(\(*[\w.+-]+\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[\w.+-]+\)*)*)")
-#: A text without any of these has no marker; the words of a marker may be on two lines.
-MARKERS = ("licen", "copyright", "reserved", "domain", "redistribut", "granted", "spdx")
-_MARKER = re.compile(r"licen|copyright|rights\W{1,40}reserved|public\W{1,40}domain|redistribut|hereby\W{1,40}granted|spdx")
 _WORD = re.compile(r"[a-z0-9][a-z0-9.-]*")
-LINE, AROUND, GAP = 4000, 1000, 2
 #: Least bytes saved, and the share of a template's words that may be missing.
 LEAST_SAVED = 4
 MISSING = 0.2
-MEMO = 1 << 16
-#: Words looked at on both sides of a block: the longest template, and half of it for words between.
-REACH = 3 * max(len(_WORD.findall(text.lower())) for text, _ in TEMPLATES.values()) // 2
+#: Blocks of up to so many characters are remembered, so many at once.
+MEMO_CHARS, MEMO = 2000, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -73,6 +94,9 @@ class Finding:
     missing: tuple[str, ...]
 
 
+Templates = dict[str, tuple[str, tuple[str, ...]]]
+
+
 def lowered(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # keeps places
@@ -88,37 +112,6 @@ def _placed(low: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [m[0].rstrip(".-") for m in found], [m.span() for m in found]
 
 
-@lru_cache(maxsize=1)
-def _tools():
-    plain = zstandard.ZstdCompressor(level=3)
-    tools = {}
-    for name, (text, deciding) in (TEMPLATES | TAGS).items():
-        d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        tools[name] = (zstandard.ZstdCompressor(level=3, dict_data=d), word_list(text), deciding)
-    return plain, tools
-
-
-def _line(low: str, first: int, last: int) -> tuple[int, int]:
-    """The lines that hold a range; where they are too long, what is around it."""
-    a, z = low.rfind("\n", 0, first) + 1, low.find("\n", last)
-    z = len(low) if z < 0 else z
-    return (max(a, first - AROUND), min(z, last + AROUND)) if z - a > LINE else (a, z)
-
-
-def candidate_blocks(low: str) -> list[tuple[int, int]]:
-    """Code point ranges around marker words of a lowered text."""
-    if not any(m in low for m in MARKERS):
-        return []
-    out: list[list[int]] = []
-    for m in _MARKER.finditer(low):
-        a, z = _line(low, *m.span())
-        if out and (a <= out[-1][1] or (z - out[-1][0] <= LINE and low.count("\n", out[-1][1], a) <= GAP)):
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
 def _confirm(wording: list[str], deciding: tuple[str, ...], have: list[str], start: int = 0) -> tuple[tuple[str, ...], list[int]] | None:
     """The words that are missing, and the places of those that are there."""
     same = difflib.SequenceMatcher(None, wording, have, autojunk=False).get_matching_blocks()
@@ -128,96 +121,152 @@ def _confirm(wording: list[str], deciding: tuple[str, ...], have: list[str], sta
     return None if len(missing) > MISSING * len(wording) or any(w in missing for w in deciding) else (missing, used)
 
 
-@lru_cache(maxsize=MEMO)
-def _judge(block: str) -> tuple[tuple[str, int, tuple[str, ...], tuple[int, ...]], ...]:
-    """(template, bytes saved, missing words, places of the words that are there) of a block."""
-    plain, tools = _tools()
-    raw = block.encode()
-    alone = len(plain.compress(raw))
-    low = lowered(block)
-    have, spans = _placed(low)
-    present = set(have)
-    tagged = {w: m.start(1) + at[0] for m in _TAG.finditer(low) for w, at in zip(*_placed(m[1]))}
-    ranked = sorted(((alone - len(c.compress(raw)), name) for name, (c, _, _) in tools.items() if name not in TAGS or tagged), key=lambda r: (-r[0], r[1]))
-    found = []
-    taken: set[int] = set()
-    for saved, name in ranked:
-        if saved < LEAST_SAVED:
-            break
-        _, wording, deciding = tools[name]
-        if name in TAGS:
-            # the tag itself may belong to several ids
-            if deciding[1] in tagged:
-                found.append((name, saved, (), (tagged[deciding[1]],)))
-            continue
-        if not all(w in present for w in deciding):
-            continue
-        seen = _confirm(wording, deciding, have)
-        # a template whose words all belong to a better one says nothing new
-        if seen and len(set(seen[1]) - taken) > len(seen[1]) // 2:
-            found.append((name, saved, seen[0], tuple(spans[i][0] for i in seen[1])))
-            taken.update(seen[1])
-    return tuple(found)
-
-
-def _around(text: str, low: str, a: int, z: int) -> list[tuple[str, int, int, int, tuple[str, ...], tuple[int, ...]]]:
-    """(template, start, end, bytes saved, missing words, places) of wordings that a block holds in part and its surroundings complete."""
-    plain, tools = _tools()
-    for size in (AROUND, LINE):
-        left = [max(0, a - size) + m.start() for m in _WORD.finditer(low[max(0, a - size) : a])]
-        if len(left) >= REACH or size >= a:
-            break
-    right = [m.end() for m in islice(_WORD.finditer(low, z, min(len(low), z + LINE)), REACH)]
-    if not left and not right:
-        return []
-    start = left[-REACH:][0] if left else a
-    have, spans = _placed(low[start : right[-1] if right else z])
-    spans = [(start + p, start + q) for p, q in spans]
-    inner = [i for i, (p, q) in enumerate(spans) if p < z and q > a]
-    present = set(have)
-    out = []
-    for name in TEMPLATES:
-        c, wording, deciding = tools[name]
-        if not inner or not all(w in present for w in deciding):
-            continue
-        # the longest run of words in the block tells where the rest should be
-        m = difflib.SequenceMatcher(None, wording, have, autojunk=False).find_longest_match(0, len(wording), inner[0], inner[-1] + 1)
-        lo = max(0, m.b - m.a - len(wording) // 2)
-        seen = m.size and _confirm(wording, deciding, have[lo : m.b - m.a + len(wording) * 3 // 2], lo)
-        if not seen or all(inner[0] <= i <= inner[-1] for i in seen[1]):
-            continue
-        b, y = _line(low, spans[seen[1][0]][0], spans[seen[1][-1]][1])
-        raw = text[b:y].encode()
-        saved = len(plain.compress(raw)) - len(c.compress(raw))
-        if saved >= LEAST_SAVED:
-            out.append((name, b, y, saved, seen[0], tuple(spans[i][0] for i in seen[1])))
+class Scanner:
+    """Templates made ready: compressors with their dictionaries, wordings and anchors."""
+
+    def __init__(self, templates: Templates):
+        self.plain = zstandard.ZstdCompressor(level=3)
+        self.tools = {}
+        for name, (text, deciding) in (templates | TAGS).items():
+            d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.tools[name] = (zstandard.ZstdCompressor(level=3, dict_data=d), word_list(text), deciding)
+        self.by_anchor: dict[str, list[str]] = {}
+        for name in templates:
+            self.by_anchor.setdefault(self.tools[name][2][0], []).append(name)
+        # a word may carry trailing dots and dashes
+        edge = r"(?<![a-z0-9.-])(?:%s)[.-]*(?![a-z0-9])"
+        self.anchors = re.compile(edge % "|".join(map(re.escape, sorted(self.by_anchor, key=len, reverse=True))))
+        self.judge = lru_cache(maxsize=MEMO)(self._judge)
+
+    def reach(self, name: str) -> int:
+        return len(self.tools[name][1]) * 3 // 2
+
+    def _judge(self, block: str) -> tuple[tuple[str, int, tuple[str, ...], tuple[int, int], frozenset[int]], ...]:
+        """(template, bytes saved, missing words, place, places of words) of a block."""
+        low = lowered(block)
+        have, spans = _placed(low)
+        hits: dict[str, list[int]] = {}
+        for i, w in enumerate(have):
+            for name in self.by_anchor.get(w, ()):
+                hits.setdefault(name, []).append(i)
+        near = {}
+        for name, at in hits.items():
+            _, wording, deciding = self.tools[name]
+            r = self.reach(name)
+            at = [i for i in at if set(deciding) <= set(have[max(0, i - r) : i + r + 1])]
+            if at:
+                near[name] = at
+        if not near:
+            return ()
+        raw = block.encode()
+        alone = len(self.plain.compress(raw))
+        ranked = sorted(((alone - len(self.tools[name][0].compress(raw)), name) for name in near), key=lambda r: (-r[0], r[1]))
+        found = []
+        for saved, name in ranked:
+            if saved < LEAST_SAVED:
+                break
+            _, wording, deciding = self.tools[name]
+            r, used = self.reach(name), set()
+            for i in near[name]:
+                if i in used:
+                    continue
+                lo = max(0, i - r)
+                seen = _confirm(wording, deciding, have[lo : i + r + 1], lo)
+                if seen and not used & set(seen[1]):
+                    used.update(seen[1])
+                    found.append((name, saved, seen[0], (spans[seen[1][0]][0], spans[seen[1][-1]][1]), frozenset(spans[k][0] for k in seen[1])))
+        return tuple(found)
+
+    def blocks(self, low: str) -> list[tuple[int, int]]:
+        """Code point ranges around the anchors of a lowered text."""
+        anchors = list(self.anchors.finditer(low))
+        if not anchors:
+            return []
+        _, spans = _placed(low)
+        starts = {a: i for i, (a, _) in enumerate(spans)}
+        out: list[list[int]] = []
+        for m in anchors:
+            if m.start() not in starts:
+                continue
+            i = starts[m.start()]
+            r = max(map(self.reach, self.by_anchor[m[0].rstrip(".-")]))
+            a, z = max(0, i - r), min(len(spans) - 1, i + r)
+            while out and a <= out[-1][1]:
+                a, z = min(a, out[-1][0]), max(z, out[-1][1])
+                out.pop()
+            out.append([a, z])
+        return [(spans[a][0], spans[z][1]) for a, z in out]
+
+    def tags(self, text: str, low: str) -> list[tuple[str, int, tuple[str, ...], tuple[int, int], frozenset[int]]]:
+        out = []
+        for m in _TAG.finditer(low):
+            line = text[m.start() : m.end()].encode()
+            alone = len(self.plain.compress(line))
+            for w, (a, z) in zip(*_placed(m[1])):
+                for name, (c, _, deciding) in self.tools.items():
+                    if name in TAGS and deciding[1] == w:
+                        out.append((name, alone - len(c.compress(line)), (), (m.start(1) + a, m.start(1) + z), frozenset()))
+        return out
+
+    def findings(self, text: str | None) -> list[Finding]:
+        text = text or ""
+        low = lowered(text)
+        found = self.tags(text, low) if TAG in low else []
+        for a, z in self.blocks(low):
+            block = text[a:z]
+            for name, saved, missing, (p, q), at in (self.judge if z - a <= MEMO_CHARS else self._judge)(block):
+                found.append((name, saved, missing, (a + p, a + q), frozenset(a + k for k in at)))
+        out, taken = [], set()
+        # a template whose words mostly belong to a better one says nothing new
+        for name, saved, missing, (a, z), at in sorted(found, key=lambda f: (-f[1], len(f[2]), f[0], f[3])):
+            if not at or 2 * len(at - taken) > len(at):
+                while z < len(text) and text[z] in CLOSING:
+                    z += 1
+                out.append(Finding(name, a, z, saved, missing))
+                taken |= at
+        return sorted(out, key=lambda f: (f.start, -f.saved, f.license))
+
+
+#: Marks after a finding's last word that belong to it.
+CLOSING = ".,;:!?\"')]}"
+
+
+@lru_cache(maxsize=2)
+def _scanner(templates: tuple) -> Scanner:
+    return Scanner(dict(templates))
+
+
+def findings(text: str | None, templates: Templates = TEMPLATES) -> list[Finding]:
+    return _scanner(tuple(templates.items())).findings(text)
+
+
+def read_templates(spark: SparkSession, folder: str, deciding: int = 3) -> Templates:
+    """Full license texts of a folder, by file name; their longest words that no other text has (else the longest) decide.
+
+    The texts come to the driver and go with the scan to the executors, so the folder should hold licenses only.
+    """
+    texts = {r.path.rsplit("/", 1)[-1]: bytes(r.content).decode("utf-8", "replace") for r in spark.read.format("binaryFile").load(folder).select("path", "content").collect()}
+    sets = {name: set(word_list(text)) for name, text in texts.items()}
+    out = {}
+    for name, text in sorted(texts.items()):
+        others = set().union(*(s for n, s in sets.items() if n != name))
+        own = sorted(sets[name] - others or sets[name], key=lambda w: (-len(w), w))
+        if own:
+            out[name] = (text, tuple(own[:deciding]))
     return out
 
 
-def findings(text: str | None) -> list[Finding]:
-    text = text or ""
-    low = lowered(text)
-    found = []
-    for a, z in candidate_blocks(low):
-        found += [(name, a, z, saved, missing, tuple(a + i for i in at)) for name, saved, missing, at in _judge(text[a:z])]
-        found += _around(text, low, a, z)
-    out, taken = [], set()
-    for name, a, z, saved, missing, at in sorted(found, key=lambda f: (-f[3], len(f[4]), f[0], f[1])):
-        if name in TAGS or len(set(at) - taken) > len(at) // 2:
-            out.append(Finding(name, a, z, saved, missing))
-            taken.update(() if name in TAGS else at)
-    return sorted(out, key=lambda f: (f.start, -f.saved, f.license))
-
-
-def scan(df: DataFrame) -> DataFrame:
+def scan(df: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """doc_id, n_licenses, licenses (sorted, comma-joined), findings (license:start:end:saved:missing words, by place)."""
     ship(df.sparkSession)
+    given = tuple(templates.items())
 
     def run(batches):
+        scanner = _scanner(given)
         for b in batches:
             n, names, all_ = [], [], []
             for text in b.column(1).to_pylist():
-                found = findings(text)
+                found = scanner.findings(text)
                 kinds = sorted({f.license for f in found})
                 n.append(len(kinds))
                 names.append(",".join(kinds))

@@ -90,6 +90,73 @@ def test_licenses(spark):
     assert texts[0][f.start : f.end] == "Released under the MIT License." and f.missing == () and f.saved > 0
 
 
+def test_licenses_against_all_places():
+    """All blocks by all templates: every wording around every place of its anchor, and the savings of every template for every block."""
+    rng = random.Random(9)
+    filler = ["code", "by", "all", "public", "free", "version", "2.0", "mit", "commit", "file", "the", "of", "gnu", "reserved"]
+    scanner = licenses._scanner(tuple(licenses.TEMPLATES.items()))
+    total = 0
+    for _ in range(60):
+        words = [rng.choice(filler) for _ in range(rng.randint(0, 60))]
+        for name in rng.sample(sorted(licenses.TEMPLATES), rng.randint(0, 2)):
+            notice = licenses.TEMPLATES[name][0].split()
+            for _ in range(rng.randint(0, 3)):
+                notice.insert(rng.randint(0, len(notice)), rng.choice(filler))
+            if rng.random() < 0.3:
+                del notice[rng.randrange(len(notice))]
+            at = rng.randint(0, len(words))
+            words[at:at] = notice
+        text = "".join(w + rng.choice([" ", " ", "\n", "  "]) for w in words)
+        low = licenses.lowered(text)
+        have, spans = licenses._placed(low)
+        blocks = scanner.blocks(low)
+        want, got = set(), set()
+        for name, (wording, deciding) in licenses.TEMPLATES.items():
+            wording = licenses.word_list(wording)
+            reach = len(wording) * 3 // 2
+            for i in [i for i, w in enumerate(have) if w == deciding[0]]:
+                if licenses._confirm(wording, deciding, have[max(0, i - reach) : i + reach + 1]):
+                    ((a, z),) = [(a, z) for a, z in blocks if a <= spans[i][0] < z]
+                    raw = text[a:z].encode()
+                    saved = len(scanner.plain.compress(raw)) - len(scanner.tools[name][0].compress(raw))
+                    if saved >= licenses.LEAST_SAVED:
+                        want.add((name, saved, a))
+        for a, z in blocks:
+            got |= {(name, saved, a) for name, saved, *_ in scanner._judge(text[a:z])}
+        assert got == want, text
+        found = licenses.findings(text)
+        assert {f.license for f in found} <= {w[0] for w in want} and bool(found) == bool(want)
+        total += len(want)
+        if found:
+            assert max(f.saved for f in found) == max(w[1] for w in want)
+    assert total > 40
+
+
+def test_licenses_rank_by_bytes_saved():
+    text = "x y z\n" + licenses.TEMPLATES["GPL-3.0"][0] + "\nq"
+    plain = licenses.zstandard.ZstdCompressor(level=3)
+    scanner = licenses._scanner(tuple(licenses.TEMPLATES.items()))
+    ((a, z),) = scanner.blocks(licenses.lowered(text))
+    saved = {n: len(plain.compress(text[a:z].encode())) - len(c.compress(text[a:z].encode())) for n, (c, _, _) in scanner.tools.items() if n in licenses.TEMPLATES}
+    (f,) = licenses.findings(text)
+    assert f.license == "GPL-3.0" and f.saved == saved["GPL-3.0"] == max(saved.values())
+
+
+def test_licenses_on_long_lines_and_full_texts(spark, tmp_path):
+    notice = licenses.TEMPLATES["Apache-2.0-header"][0].split()
+    spread = " ".join(w if i % 6 else w + " of" for i, w in enumerate(notice))
+    for text in (spread, "word " * 3000 + spread + " word" * 3000):
+        assert "Apache-2.0-header" in {f.license for f in licenses.findings(text)}
+    mit = licenses.TEMPLATES["MIT-license"][0]
+    assert [f.license for f in licenses.findings("// " + mit.replace(". ", ".\n// "))] == ["MIT-license"]
+    assert len([f for f in licenses.findings("Released under the MIT License.\n" + "code " * 80 + "\nReleased under the MIT License.") if f.license == "MIT"]) == 2
+    (tmp_path / "OWN-1").write_text("This software may be used on Tuesdays by gardeners, provided that flowers are watered beforehand.")
+    (tmp_path / "OWN-2").write_text("This software may be used on Sundays by plumbers, provided that pipes are inspected beforehand.")
+    own = licenses.read_templates(spark, str(tmp_path))
+    df = frame(spark, ["a\nThis software may be used on Sundays by plumbers, provided that pipes\nare inspected beforehand.\n", "nothing"])
+    assert {r.doc_id: r.licenses for r in licenses.scan(df, own).collect()} == {0: "OWN-2", 1: ""}
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -115,6 +182,50 @@ def test_media_columns_and_broken_files(spark):
     assert all(len(r) == 576 for r in ranges)
 
 
+def test_media_fragments():
+    payload = bytes(random.Random(2).randrange(256) for _ in range(576 * 30))
+    plain, cut = media.pack(payload), media.pack(payload, fragmented=True)
+    assert media.sample_bytes(cut) == payload and cut != plain
+    a, b = media.describe(plain), media.describe(cut)
+    assert (a["codec"], a["duration_s"], a["n_samples"]) == (b["codec"], b["duration_s"], b["n_samples"]) == ("raw ", 1.2, 30)
+    assert [cut[x : x + n] for x, n in b["keyframes"]] == [plain[x : x + n] for x, n in a["keyframes"]] and len(b["keyframes"]) == 3
+
+
+@pytest.mark.parametrize("fragmented", [False, True])
+def test_media_broken_anywhere(fragmented):
+    """No byte of a header, wherever it is changed or cut, makes anything but a result or a MediaError."""
+    rng = random.Random(4)
+    whole = media.pack(bytes(576 * 25), fragmented=fragmented)
+    at = whole.index(b"mdhd")
+    empty = whole[: at - 4] + b"\0\0\0\x08" + whole[at:]
+    files = [empty, *(whole[:k] for k in range(0, 800, 7))]
+    for _ in range(1500):
+        k = rng.randrange(min(len(whole), 760))
+        files.append(whole[:k] + bytes([rng.randrange(256)]) + whole[k + 1 :])
+    for f in files:
+        try:
+            media.describe(f)
+        except media.MediaError:
+            pass
+
+
+def test_media_feature_by_an_independent_reader(spark):
+    """Codec, duration, samples and keyframes found by searching the stored bytes for their boxes' names."""
+    texts = ["a" * (576 * 25 + 3), "b"]
+    got = {r.doc_id: r.feature for r in media.store_and_read(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode() + b"\xff" * (-len(t) % 576)
+        stored = media.pack(raw)
+        number = lambda name, skip: int.from_bytes(stored[stored.index(name) + skip : stored.index(name) + skip + 4], "big")
+        n, size, first = number(b"stsz", 12), number(b"stsz", 8), number(b"stco", 12)
+        keys = [number(b"stss", 12 + 4 * k) for k in range(number(b"stss", 8))]
+        assert stored[first : first + n * size] == raw and keys == [*range(1, n + 1, 12)]
+        spans = [f"{first + (k - 1) * size}+{size}" for k in keys]
+        digest = hashlib.sha256(",".join(spans).encode()).hexdigest()[:16]
+        codec = stored[stored.index(b"stsd") + 16 : stored.index(b"stsd") + 20].decode().strip()
+        assert got[i] == f"{codec};{number(b'mdhd', 20) / number(b'mdhd', 16):.2f}s;{n};{len(keys)};{spans[0]};{spans[-1]};{digest}"
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -448,6 +559,32 @@ def test_substring(spark, batches, bits):
     assert rows(substring.digests(df, batches=batches, bits=bits), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
 
 
+@pytest.mark.parametrize("bits", [64, 9])
+@pytest.mark.parametrize("later", ["larger", "smaller", "mixed"])
+def test_substring_calls_share_an_index(spark, tmp_path, bits, later):
+    texts = list(enumerate(corpus()))
+    one = {"larger": lambda i: i < 40, "smaller": lambda i: i >= 40, "mixed": lambda i: i % 2 == 0}[later]
+    calls = [[t for t in texts if one(t[0])], [t for t in texts if not one(t[0])]]
+    path = "file://" + str(tmp_path / "index")
+    frames = [spark.createDataFrame(c, "doc_id long, text string") for c in calls]
+    want = {r[0]: r for r in brute_substring(texts)}
+    first = {r[0]: r for r in brute_substring(calls[0])}
+    for k, call in enumerate(calls):
+        out = substring.digests(frames[k], batches=2, bits=bits, index=substring.Index(spark, path, buckets=4, max_runs=2), earlier=frames[0] if k else None)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()}
+        # the second call knows all documents, the first one its own
+        expect = want if k else first
+        assert got == {i: (expect[i][1], expect[i][2], hashlib.sha256(expect[i][3].encode()).hexdigest()) for i, _ in call}
+    assert len(substring.Index(spark, path).runs) <= 2 and substring.Index(spark, path).buckets == 4
+
+
+def test_substring_mends_collisions_in_texts(spark):
+    texts = corpus()
+    got = {r.doc_id: r.text for r in substring.remove_repeats(frame(spark, texts), bits=9).collect()}
+    for i, _, g, kept in brute_substring(list(enumerate(texts))):
+        assert got[i] == (kept if g else texts[i])
+
+
 def test_substring_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a " * 40), (None, "a " * 40), (1, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.digests(df).collect()) == [(0, 40, 0), (0, 40, 0), (1, 0, 0)]

@@ -1,14 +1,12 @@
 """Queries and kernels take all rows that they are given."""
 
-import textwrap
-
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from voxelwave.functions import evoked as EV
 from voxelwave.functions import mesh as K
-from voxelwave.llm import langid, licenses, queries, topk
+from voxelwave.operators import mesh as M
+from voxelwave.operators import tensor as T
 from voxelwave.plans import evoked_queries, registry
 from voxelwave.runtime import table
 
@@ -98,59 +96,16 @@ def test_catmull_rom_passes_through_every_embedding(spark):
     for c in curves.values():
         ids, points = zip(*c)
         spans = len(ids) - 1
-        want = K.catmull_rom(np.array(points, float), np.arange(16 * spans) / (16 * spans), "uniform", 0.5)
+        want = K.catmull_rom(np.array(points, float), np.arange(16 * spans) / (16 * spans))
         assert np.allclose([got[ids[i // 16], i % 16] for i in range(16 * spans)], want, atol=2e-6)
 
 
-MIT = """MIT License
-
-Copyright (c) 2020 A. Writer
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software."""
-BSD = """Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice."""
-ISC = """Copyright (c) 2020, A. Writer
-
-Permission to use, copy, modify, and/or distribute this software for any
-purpose with or without fee is hereby granted, provided that the above
-copyright notice and this permission notice appear in all copies."""
-WRAPPED = {"MIT-text": MIT, "BSD-text": BSD, "ISC-text": ISC}
-
-
-def test_wrapped_licenses():
-    kinds = lambda t: {f.license for f in licenses.findings(t)}
-    for name, text in WRAPPED.items():
-        for width in (30, 50, 80):
-            parts = [textwrap.fill(p, width) for p in text.split("\n\n")]
-            for lead in ("", "# ", "        * "):
-                t = "some prose\n" * 9 + "\n".join(lead + line for line in "\n\n".join(parts).split("\n")) + "\nmore prose" * 9
-                assert name in kinds(t), (name, width, lead)
-    assert kinds("Released under the\nMIT License.") == {"MIT"}
-    twice = [f for f in licenses.findings(BSD + "\nprose" * 12 + "\n" + BSD) if f.license == "BSD-text"]
-    assert len(twice) == 2 and not any(f.missing for f in twice) and twice[0].end < twice[1].start
-    assert BSD[twice[0].start : twice[0].end] == "\n".join(BSD.split("\n")[:2])
-
-
-def test_spdx_tags():
-    kinds = lambda t: [f.license for f in licenses.findings(t)]
-    assert kinds("// SPDX-License-Identifier: MIT\nint x;") == ["MIT-spdx"]
-    assert sorted(kinds("# SPDX-License-Identifier: (MIT OR Apache-2.0)")) == ["Apache-2.0-spdx", "MIT-spdx"]
-    assert kinds("/* SPDX-License-Identifier: GPL-2.0-only */\nMIT and ISC are names") == ["GPL-2.0-only-spdx"]
-    assert kinds("SPDX-License-Identifier: none\nMIT") == []
-
-
 def test_all_components(spark):
     x = np.array([r.embedding for r in table(spark, SF, "embeddings").collect()], float)
-    cov = {(r.c1, r.c2): r["cov"] for r in registry.queries()["cov_matrix_all"](spark, SF).collect()}
+    cov = {(r.c1, r.c2): r["cov"] for r in registry.queries()["cov_matrix"](spark, SF).collect()}
     want = np.cov(x.T)
     assert len(cov) == 64 * 64 and all(abs(cov[i, j] - want[i, j]) < 2e-9 for i, j in cov)
-    high = {r.c: r.value for r in registry.queries()["mv_quantile_p90_all"](spark, SF).collect()}
+    high = {r.c: r.value for r in registry.queries()["mv_quantile_p90"](spark, SF).collect()}
     s, h = np.sort(x, 0), (len(x) + 1) * 0.9
     k = int(h)
     assert h != k and len(high) == 64 and np.allclose([high[c] for c in range(64)], 0.9 * s[k - 1] + 0.1 * s[k], atol=1e-6)
@@ -159,7 +114,7 @@ def test_all_components(spark):
 def test_knn_of_every_point(spark):
     x = {r.vec_id: r.embedding[:3] for r in table(spark, SF, "embeddings").collect()}
     got = {}
-    for r in registry.queries()["knn_3_all"](spark, SF).collect():
+    for r in registry.queries()["knn_3"](spark, SF).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.target_id
     ids, p = np.array(sorted(x)), np.array([x[i] for i in sorted(x)])
     d = ((p[:, None] - p[None]) ** 2).sum(2)
@@ -174,27 +129,28 @@ def test_knn_ties_go_by_index():
     assert (i == want).all() and K.knn(t[:2], t[:4], 9)[1].shape == (4, 2)
 
 
-def test_topk_ranks_all_rows_of_a_query_id(spark):
-    duckdb = pytest.importorskip("duckdb")
-    r = np.random.default_rng(8)
-    rows = [(i % 70, [float(np.float32(v)) for v in r.normal(size=5)]) for i in range(120)]
-    rows += [(20, rows[20][1]), (40, [1.0, 2.0])]
-    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = topk.search(v, v.where("id % 20 = 0"), 20, block=16, query_block=2).select("query_id", "rank", "vec_id", "score").collect()
-    con = duckdb.connect()
-    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
-    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
-    assert sorted(map(tuple, got)) == sorted(con.sql(queries.oracle_sql()["op7_topk"]).fetchall())
-
-
-def test_every_language_is_learned(spark, monkeypatch):
-    rows = [(k * 100 + i, "".join(chr(0x4E00 + 40 * k + (i * 7 + j * 3) % 40) for j in range(30)), f"l{k:02}") for k in range(70) for i in range(12 + 4 * (k < 60))]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    learning = df.select(F.col("doc_id").alias("id"), "text", "lang")
-    model = langid.learn(learning)
-    got = langid.predict_batch(model, [r[1] for r in rows])[0]
-    wrong = [r[2] for r, g in zip(rows, got) if g != r[2]]
-    assert len(model.langs) == 70 and not wrong, wrong
-    monkeypatch.setattr(langid, "MAX_ROWS", 70)
-    few = langid.sample(learning)
-    assert len(few) == 70 and len({r[0] for r in few}) == 70
+def test_closed_curves(spark):
+    p = np.random.default_rng(3).normal(size=(6, 3))
+    df = spark.createDataFrame([(0, k, *map(float, v)) for k, v in enumerate(p)] + [(1, 0, 0.0, 0.0, 0.0)], "curve int, k int, x double, y double, z double")
+    for kind in ("centripetal", "chordal", "uniform"):
+        got = {(r.k, r.step): (r.x, r.y, r.z) for r in M.catmull_rom(df, ["curve"], "k", 8, kind, closed=True).where("curve = 0").collect()}
+        want = K.catmull_rom(p, np.arange(48) / 48, kind, closed_=True)
+        assert np.allclose([got[i // 8, i % 8] for i in range(48)], want)
+
+
+def test_quantiles_of_large_groups(spark, monkeypatch):
+    """Brackets by a sketch give the same as ranking whole groups."""
+    monkeypatch.setattr(T, "RANKED_WHOLE", 100)
+    r = np.random.default_rng(5)
+    groups = {0: r.normal(size=30_000), 1: np.repeat([1.0, 2.0], [5000, 9000]), 2: r.integers(0, 50, 12_345).astype(float), 3: np.arange(7.0)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [(3, None), (4, None)]
+    df = spark.createDataFrame(rows, "g int, value double").repartition(8)
+    med = {x.g: x.value for x in T.median(df, ["g"]).collect()}
+    assert med[4] is None and all(med[g] == np.median(x) for g, x in groups.items())
+    for p in (0.001, 0.25, 0.5, 0.9, 0.999):
+        got = {x.g: x.value for x in T.quantile(df, ["g"], p).collect()}
+        for g, x in groups.items():
+            s, h = np.sort(x), (len(x) + 1) * p
+            k = int(h)
+            want = s[max(k, 1) - 1] if h == k or h < 1 else s[-1] if k >= len(s) else p * s[k - 1] + (1 - p) * s[k]
+            assert np.isclose(got[g], want), (p, g)

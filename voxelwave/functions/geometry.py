@@ -17,6 +17,11 @@ def lit(v: float | Column) -> Column:
     return v if isinstance(v, Column) else F.lit(float(v))
 
 
+def _let(value: Column, made) -> Column:
+    """``made`` of a value that it uses several times; the value stands in the expression once."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -241,6 +246,10 @@ def m_set(values, byrow: bool = True) -> Column:
 
 
 def m_multiply(a: Column, b: Column) -> Column:
+    return _let(a, lambda p: _let(b, lambda q: _product(p, q)))
+
+
+def _product(a: Column, b: Column) -> Column:
     return matrix([[sum((at(a, r, k) * at(b, k, c) for k in range(1, 4)), at(a, r, 0) * at(b, 0, c)) for c in range(4)] for r in range(4)])
 
 
@@ -272,9 +281,13 @@ def m_determinant(m: Column) -> Column:
 
 def m_invert(m: Column) -> Column:
     """Adjugate over determinant; zeros where the determinant is zero."""
-    det = m_determinant(m)
     rest = lambda k: tuple(i for i in range(4) if i != k)
-    return matrix([[F.when(det == 0, 0.0).otherwise(F.try_divide((-1.0) ** (r + c) * _minor(m, rest(c), rest(r)), det)) for c in range(4)] for r in range(4)])
+
+    def made(e: Column) -> Column:
+        adjugate = F.array(*((-1.0) ** (r + c) * _minor(e, rest(c), rest(r)) for c in range(4) for r in range(4)))
+        return _let(m_determinant(e), lambda det: F.transform(adjugate, lambda v: F.when(det == 0, 0.0).otherwise(F.try_divide(v, det))))
+
+    return _let(m, made)
 
 
 def m_copy_position(m: Column, source: Column) -> Column:
@@ -294,17 +307,23 @@ def m_extract_basis(m: Column) -> tuple[Column, Column, Column]:
 
 
 def m_extract_rotation(m: Column) -> Column:
-    return m_basis(*(divide_scalar(v, length(v)) for v in m_extract_basis(m)))
+    return _let(m, lambda e: m_basis(*(divide_scalar(v, length(v)) for v in m_extract_basis(e))))
 
 
 def m_look_at(eye: Column, target: Column, up: Column) -> Column:
     """z from target to eye, x = up x z; a view along ``up`` or onto itself is nudged."""
-    z = sub(eye, target)
-    z = normalize(vec(z["x"], z["y"], F.when(length_squared(z) == 0, 1.0).otherwise(z["z"])))
-    along = length_squared(cross(up, z)) == 0
-    z = normalize(vec(z["x"] + F.when(along & (F.abs(up["z"]) == 1), 1e-4).otherwise(0.0), z["y"], z["z"] + F.when(along & (F.abs(up["z"]) != 1), 1e-4).otherwise(0.0)))
-    x = normalize(cross(up, z))
-    return m_basis(x, cross(z, x), z)
+    def from_view(u: Column, d: Column) -> Column:
+        z = _let(vec(d["x"], d["y"], F.when(length_squared(d) == 0, 1.0).otherwise(d["z"])), normalize)
+        return _let(z, lambda v: _let(nudged(u, v), normalize))
+
+    def nudged(u: Column, z: Column) -> Column:
+        along = length_squared(cross(u, z)) == 0
+        return vec(z["x"] + F.when(along & (F.abs(u["z"]) == 1), 1e-4).otherwise(0.0), z["y"], z["z"] + F.when(along & (F.abs(u["z"]) != 1), 1e-4).otherwise(0.0))
+
+    def frame(u: Column, z: Column) -> Column:
+        return _let(_let(cross(u, z), normalize), lambda x: m_basis(x, cross(z, x), z))
+
+    return _let(up, lambda u: _let(_let(sub(eye, target), lambda d: from_view(u, d)), lambda z: frame(u, z)))
 
 
 def m_scale(m: Column, v: Column) -> Column:
@@ -438,11 +457,15 @@ def q_from_rotation_matrix(m: Column, fix_handedness: bool = False) -> Column:
 
 def q_from_unit_vectors(a: Column, b: Column) -> Column:
     """The shortest turn from a to b; opposite vectors turn about some axis at right angles."""
+    return _let(a, lambda p: _let(b, lambda q: _turn(p, q)))
+
+
+def _turn(a: Column, b: Column) -> Column:
     r = dot(a, b) + 1
     c = cross(a, b)
     wide = F.abs(a["x"]) > F.abs(a["z"])
     back = quat(F.when(wide, -a["y"]).otherwise(0.0), F.when(wide, a["x"]).otherwise(-a["z"]), F.when(wide, 0.0).otherwise(a["y"]), 0.0)
-    return q_normalize(F.when(r < 2.220446049250313e-16, back).otherwise(quat(c["x"], c["y"], c["z"], r)))
+    return _let(F.when(r < 2.220446049250313e-16, back).otherwise(quat(c["x"], c["y"], c["z"], r)), q_normalize)
 
 
 def q_angle_to(a: Column, b: Column) -> Column:
@@ -451,7 +474,10 @@ def q_angle_to(a: Column, b: Column) -> Column:
 
 def q_slerp(a: Column, b: Column, t) -> Column:
     """Along the short arc; nearly equal turns are mixed linearly and normalised."""
-    t = lit(t)
+    return _let(a, lambda p: _let(b, lambda q: _let(lit(t), lambda s: _arc(p, q, s))))
+
+
+def _arc(a: Column, b: Column, t: Column) -> Column:
     d = q_dot(a, b)
     sign = F.when(d < 0, -1.0).otherwise(1.0)
     cos = F.abs(d)

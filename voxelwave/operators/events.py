@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelwave.functions import events as K
 from voxelwave.operators.signal import explode_series, map_series
+from voxelwave.runtime import ship
 
 
 def peak_candidates(df: DataFrame, by: Sequence[str], t: str, value: str = "value") -> DataFrame:
-    """Local maxima (a plateau at its first sample) above the default threshold, by windows and one grouped join."""
+    """Local maxima (both ends of a plateau) above the default threshold, by windows and one grouped join."""
     w = W.partitionBy(*by).orderBy(t)
     x = F.col(value)
     stats = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.median(value).alias("_med"), F.stddev_samp(value).alias("_sd"))
-    d = df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).where((x > F.col("_p")) & (x >= F.col("_n")))
+    d = df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).where(((x - F.col("_p")) * (F.col("_n") - x) <= 0) & (F.col("_n") - x < x - F.col("_p")))
     level = F.when(F.col("_lo") >= 0, F.col("_lo")).otherwise(F.col("_med")) + F.col("_sd")
     return d.join(stats, list(by)).where(x > level).select(*by, t, value)
 
@@ -136,13 +138,31 @@ def lilliefors(df: DataFrame, ids: Sequence[str], samples: str = "samples") -> D
     return map_series(df, ids, run, "statistic double, p_value double", samples)
 
 
-def haar_features(waveforms: DataFrame, by: Sequence[str], levels: int = 4, samples: str = "waveform", **options) -> DataFrame:
-    """(by, rank, column, statistic): coefficients of a channel's waveforms by their distance from normality.
+def haar_features(waveforms: DataFrame, by: Sequence[str], levels: int = 4, samples: str = "waveform", trim: float = 3.0) -> DataFrame:
+    """(by, rank, column, statistic): coefficients of a channel's waveforms by their distance from a fitted normal.
 
-    Coefficients are native; the distance is computed on a channel's column, gathered as one array a coefficient.
+    Values beyond ``trim`` standard deviations are left out first. Moments are pre-aggregated; the distance takes a rank by
+    coefficient, so its rows are sorted, not gathered.
     """
-    c = haar_coefficients(waveforms, by, levels, samples)
-    long = c.select(*by, F.posexplode("coefficients").alias("column", "v")).groupBy(*by, "column").agg(F.collect_list("v").alias("samples"))
-    d = lilliefors(long, [*by, "column"])
+    ship(waveforms.sparkSession)
+    key = [*by, "column"]
+    v = haar_coefficients(waveforms, by, levels, samples).select(*by, F.posexplode("coefficients").alias("column", "v"))
+    moments = lambda d, names: d.groupBy(*key).agg(F.avg("v").alias(names[0]), F.stddev_samp("v").alias(names[1]), F.count(F.lit(1)).alias(names[2]))
+    near = v.join(moments(v, ("_m0", "_s0", "_n0")), key).where((F.coalesce("_s0", F.lit(0.0)) == 0) | (F.abs(F.col("v") - F.col("_m0")) <= trim * F.col("_s0"))).select(*key, "v")
+    fitted = near.join(moments(near, ("_m", "_s", "_n")), key)
+    # few or equal values are no distance from a normal
+    flat = (F.col("_n") < 5) | (F.coalesce("_s", F.lit(0.0)) == 0)
+    z = fitted.select(*key, "_n", F.when(~flat, (F.col("v") - F.col("_m")) / F.col("_s")).alias("_z"))
+    n = len(key)
+
+    def run(batches):
+        for b in batches:
+            x = b.column(n + 1).to_numpy(zero_copy_only=False).astype(float)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(K.normal_cdf(x) if len(x) else x, pa.float64(), from_pandas=True)], [*key, "_n", "_z", "_p"])
+
+    ddl = "".join(f"`{c}` {z.schema[c].dataType.simpleString()}, " for c in key)
+    p = z.mapInArrow(run, f"{ddl}_n long, _z double, _p double").withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy("_z")))
+    apart = F.greatest(F.col("_r") / F.col("_n") - F.col("_p"), F.col("_p") - (F.col("_r") - 1) / F.col("_n"))
+    d = p.groupBy(*key).agg(F.coalesce(F.max(apart), F.lit(0.0)).alias("statistic"))
     w = W.partitionBy(*by).orderBy(F.desc("statistic"), "column")
     return d.withColumn("rank", F.row_number().over(w)).select(*by, "rank", "column", "statistic")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelwave.functions import evoked as K
-from voxelwave.runtime import ship
+from voxelwave.runtime import cut, ship
 
 
 def _cube(t: pa.Table, dims: Sequence[str], value: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -57,6 +57,8 @@ def carla(df: DataFrame, by: Sequence[str], value: str = "value", **options) ->
     return df.groupBy(*by).applyInArrow(run, ddl)
 
 
+#: Contacts whose shapes may come to the driver to be clustered: recordings have some hundreds.
+MOST_CONTACTS = 20_000
 CRP = "tau double, tau_low double, tau_high double, t_at_tau double, p_at_tau double, t_full double, p_full double, n_trials int, artifacts array<int>, shape array<double>, alpha array<double>, alpha_prime array<double>, snr array<double>, explained array<double>, profile_end array<double>, profile array<double>"
 
 
@@ -80,19 +82,29 @@ def crp(df: DataFrame, by: Sequence[str], time: str = "time", trial: str = "tria
     return df.groupBy(*by).applyInArrow(run, ddl)
 
 
-def cosine_matrix(df: DataFrame, id_col: str, samples: str = "samples") -> DataFrame:
-    """(a, b, cosine) of all pairs of a *bounded* set of equally long arrays (contacts, shapes): a block product by kernel."""
+def cosine_matrix(df: DataFrame, id_col: str, samples: str = "samples", block: int = 2048) -> DataFrame:
+    """(a, b, cosine) of all pairs of equally long arrays (contacts, shapes): the matrix itself is the result.
+
+    Arrays are dealt into blocks of bounded size, and every pair of blocks is a group of its own.
+    """
     ship(df.sparkSession)
+    x = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(samples).cast("array<double>").alias("x")), "shapes")
+    n = max(1, -(-x.count() // block))
+    deal = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = x.select("id", "x", deal.alias("i"), others.alias("j")), x.select(F.col("id").alias("to"), F.col("x").alias("y"), others.alias("k"), deal.alias("l"))
 
-    def run(key, t):
-        ids = t.column(id_col).to_numpy()
-        x = np.stack([np.asarray(v.values) for v in t.column(samples)]) if len(ids) else np.zeros((0, 1))
-        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        g = u @ u.T
-        a, b = np.meshgrid(ids, ids, indexing="ij")
-        return pa.table({"a": a.ravel().astype(np.int64), "b": b.ravel().astype(np.int64), "cosine": g.ravel()})
+    def unit(t, name):
+        m = np.stack([np.asarray(v.values) for v in t.column(name)])
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    return df.select(F.lit(0).alias("_g"), id_col, samples).groupBy("_g").applyInArrow(run, "a long, b long, cosine double")
+    def run(key, s, t):
+        if not s.num_rows or not t.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        a, b = np.meshgrid(s.column("id").to_numpy(), t.column("to").to_numpy(), indexing="ij")
+        return pa.table({"a": a.ravel(), "b": b.ravel(), "cosine": (unit(s, "x") @ unit(t, "y").T).ravel()})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("k", "l")).applyInArrow(run, "a long, b long, cosine double")
 
 
 def group_significance(df: DataFrame, id_col: str, group: str, samples: str = "samples") -> DataFrame:
@@ -103,18 +115,36 @@ def group_significance(df: DataFrame, id_col: str, group: str, samples: str = "s
     """
     ship(df.sparkSession)
 
-    def run(key, t):
-        x = np.stack([np.asarray(v.values, float) for v in t.column(samples)])
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        u = x / np.where(n == 0, 1, n)
-        own = (u * x).sum(1)
-        return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(x)], pa.int64()), "u": [u.sum(0).tolist()], "v": [x.sum(0).tolist()], "uu": [(u.T @ u).ravel().tolist()], "vv": [(x.T @ x).ravel().tolist()], "d": [float(own.sum())], "dd": [float((own**2).sum())]})
-
-    m = df.select(F.col(group).cast("long").alias("g"), samples).groupBy("g").applyInArrow(run, "g long, n long, u array<double>, v array<double>, uu array<double>, vv array<double>, d double, dd double")
+    names = ("u", "v", "uu", "vv", "own")
+
+    def moments(batches):
+        """One row a batch and group."""
+        for b in batches:
+            groups = b.column(0).to_numpy(zero_copy_only=False)
+            rows = [np.asarray(v.values, float) for v in b.column(1)]
+            out: dict[str, list] = {n: [] for n in ("g", "n", *names)}
+            for g in np.unique(groups).tolist():
+                x = np.stack([rows[i] for i in np.flatnonzero(groups == g).tolist()])
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                u = x / np.where(n == 0, 1, n)
+                own = (u * x).sum(1)
+                for k, v in zip(out, (g, len(x), u.sum(0), x.sum(0), (u.T @ u).ravel(), (x.T @ x).ravel(), [own.sum(), (own**2).sum()])):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int64()), pa.array(out["n"], pa.int64()), *(pa.array([list(v) for v in out[n]], pa.list_(pa.float64())) for n in names)], ["g", "n", *names])
+
+    def add(key, t):
+        sums = [np.sum([np.asarray(v.values) for v in t.column(n)], axis=0).tolist() for n in names]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([sum(t.column("n").to_pylist())], pa.int64()), *(pa.array([v], pa.list_(pa.float64())) for v in sums)], ["g", "n", *names])
+
+    schema = "g long, n long, u array<double>, v array<double>, uu array<double>, vv array<double>, own array<double>"
+    parts = df.where(F.col(group).isNotNull() & F.col(samples).isNotNull()).select(F.col(group).cast("long").alias("g"), F.col(samples).cast("array<double>").alias("x")).mapInArrow(moments, schema)
+    # a hot group's parts are added in two steps
+    m = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("g", "salt").applyInArrow(add, schema).groupBy("g").applyInArrow(add, schema)
+    m = cut(m.select("g", "n", "u", "v", "uu", "vv", F.get("own", F.lit(0)).alias("d"), F.get("own", F.lit(1)).alias("dd")), "moments")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, w: s + w)
     a = m.select(F.col("g").alias("g1"), F.col("n").alias("n1"), "u", "uu", "d", "dd")
     b = m.select(F.col("g").alias("g2"), F.col("n").alias("n2"), "v", "vv")
-    # one row a group on either side: the number of groups is that of contacts
+    # one row a group on either side; the result itself has a row a pair of groups
     p = a.crossJoin(b)
     own = F.col("g1") == F.col("g2")
     n = F.col("n1") * F.col("n2") - F.when(own, F.col("n1")).otherwise(0)
@@ -163,8 +193,10 @@ def nmf(df: DataFrame, by: Sequence[str], row: str, col: str, k: int, value: str
 
 
 def crp_cluster(spark, contacts: DataFrame, by: str, time: str = "time", trial: str = "trial", value: str = "value", n: int | None = None, crp_options: dict | None = None, **options) -> DataFrame:
-    """(contact, cluster, fitness): shapes are found contact by contact on executors; their bounded table is clustered."""
-    full = contacts.sparkSession and crp(contacts, [by], time, trial, value, **(crp_options or {})).select(by, "shape")
-    rows = sorted(full.collect(), key=lambda r: r[0])  # one short row a contact
+    """(contact, cluster, fitness): shapes are found contact by contact on executors; the table of at most MOST_CONTACTS is clustered."""
+    full = cut(crp(contacts, [by], time, trial, value, **(crp_options or {})).select(by, "shape"), "shapes")
+    if full.count() > MOST_CONTACTS:
+        raise ValueError(f"at most {MOST_CONTACTS} contacts can be clustered together")
+    rows = sorted(full.collect(), key=lambda r: r[0])
     out = K.crp_cluster([{"C_full": np.asarray(r["shape"])} for r in rows], paired=False, n=n, **options)
     return spark.createDataFrame([(r[0], int(c), float(f)) for r, c, f in zip(rows, out["assignment"], out["fitness"])], f"{by} long, cluster int, fitness double")

@@ -362,17 +362,44 @@ def knn(target: DataFrame, query: DataFrame, k: int = 1, block: int = 65536) ->
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "target_id", "distance")
 
 
-def catmull_rom(points: DataFrame, by: Sequence[str], order: str, per_segment: int = 16, tension: float = 0.5) -> DataFrame:
-    """Points of the uniform curve through ordered control points: column expressions over neighbours (ends are mirrored)."""
+def catmull_rom(points: DataFrame, by: Sequence[str], order: str, per_segment: int = 16, kind: str = "centripetal", tension: float = 0.5, closed: bool = False) -> DataFrame:
+    """(by, order, step, x, y, z): points of the curve through ordered control points, by expressions over neighbours.
+
+    ``kind`` is centripetal, chordal or uniform (``tension`` is the last one's). The ends of an open curve are mirrored; a closed
+    one has a segment from its last point to its first. A curve of one point has no segment.
+    """
     w = W.partitionBy(*by).orderBy(order)
-    p = G.vec(F.col("x"), F.col("y"), F.col("z"))
-    d = points.select(*by, order, p.alias("p1")).withColumn("p0", F.lag("p1").over(w)).withColumn("p2", F.lead("p1").over(w)).withColumn("p3", F.lead("p1", 2).over(w)).where("p2 IS NOT NULL")
-    mirror = lambda a, b: G.sub(G.multiply_scalar(a, 2.0), b)
-    d = d.withColumn("p0", F.coalesce("p0", mirror(F.col("p1"), F.col("p2")))).withColumn("p3", F.coalesce("p3", mirror(F.col("p2"), F.col("p1"))))
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    p = G.vec(F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double"))
+    d = points.select(*by, order, p.alias("p1"))
+    near = {"p0": F.lag("p1").over(w), "p2": F.lead("p1").over(w), "p3": F.lead("p1", 2).over(w)}
+    if closed:
+        first, second, last = F.first("p1").over(whole), F.nth_value("p1", 2).over(whole), F.last("p1").over(whole)
+        d = d.select("*", near["p0"].alias("p0"), near["p2"].alias("p2"), near["p3"].alias("p3"), first.alias("_f"), second.alias("_s"), last.alias("_l"))
+        d = d.select(*by, order, "p1", F.coalesce("p0", "_l").alias("p0"), F.coalesce("p2", "_f").alias("p2"), F.when(F.col("p2").isNull(), F.col("_s")).otherwise(F.coalesce("p3", "_f")).alias("p3")).where("p3 IS NOT NULL")
+    else:
+        d = d.select("*", *(c.alias(n) for n, c in near.items())).where("p2 IS NOT NULL")
+        mirror = lambda a, b: G.sub(G.multiply_scalar(a, 2.0), b)
+        d = d.withColumn("p0", F.coalesce("p0", mirror(F.col("p1"), F.col("p2")))).withColumn("p3", F.coalesce("p3", mirror(F.col("p2"), F.col("p1"))))
+    if kind == "uniform":
+        slope = lambda a, k: tension * (F.col(f"p{k + 1}.{a}") - F.col(f"p{k - 1}.{a}"))
+    else:
+        power = {"centripetal": 0.25, "chordal": 0.5}[kind]
+        gap = lambda k: F.pow(G.distance_to_squared(F.col(f"p{k}"), F.col(f"p{k + 1}")), F.lit(power))
+        d = d.select("*", *(gap(k).alias(f"d{k}") for k in range(3)))
+        # points that coincide are taken as one apart, or as their neighbours are
+        d = d.withColumn("d1", F.when(F.col("d1") < 1e-4, 1.0).otherwise(F.col("d1")))
+        d = d.withColumns({f"d{k}": F.when(F.col(f"d{k}") < 1e-4, F.col("d1")).otherwise(F.col(f"d{k}")) for k in (0, 2)})
+        diff = lambda a, j, k: F.col(f"p{k}.{a}") - F.col(f"p{j}.{a}")
+
+        def slope(a, k):
+            before, after = F.col(f"d{k - 1}"), F.col(f"d{k}")
+            return (diff(a, k - 1, k) / before - diff(a, k - 1, k + 1) / (before + after) + diff(a, k, k + 1) / after) * F.col("d1")
+
     t = F.col("step") / float(per_segment)
     d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_segment - 1))).alias("step"))
-    h = [(2 * t * t * t - 3 * t * t + 1), (t * t * t - 2 * t * t + t) * tension, (3 * t * t - 2 * t * t * t), (t * t * t - t * t) * tension]
-    coord = lambda a: h[0] * F.col(f"p1.{a}") + h[1] * (F.col(f"p2.{a}") - F.col(f"p0.{a}")) + h[2] * F.col(f"p2.{a}") + h[3] * (F.col(f"p3.{a}") - F.col(f"p1.{a}"))
+    h = [2 * t * t * t - 3 * t * t + 1, t * t * t - 2 * t * t + t, 3 * t * t - 2 * t * t * t, t * t * t - t * t]
+    coord = lambda a: h[0] * F.col(f"p1.{a}") + h[1] * slope(a, 1) + h[2] * F.col(f"p2.{a}") + h[3] * slope(a, 2)
     return d.select(*by, order, "step", *(coord(a).alias(a) for a in "xyz"))
 
 

@@ -39,10 +39,22 @@ def _series(column: pa.Array) -> list[np.ndarray | None]:
     return [s.values.cast(pa.float64()).to_numpy(zero_copy_only=False) if s.is_valid and len(s.values) else None for s in column]
 
 
-def _packed(value):
-    if isinstance(value, np.ndarray):
-        return [{"re": z.real, "im": z.imag} for z in value.tolist()] if np.iscomplexobj(value) else value.tolist()
-    return value
+#: Rows of results that one Arrow batch should hold.
+OUT_ROWS = 1 << 16
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; arrays become lists straight from their buffers."""
+    if not pa.types.is_list(kind) or not all(v is None or (isinstance(v, np.ndarray) and v.ndim == 1) for v in values):
+        return pa.array([v.tolist() if isinstance(v, np.ndarray) else v for v in values], kind)
+    offsets = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])]).astype(np.int32)
+    flat = np.concatenate([v for v in values if v is not None] or [np.zeros(0)])
+    inner = kind.value_type
+    if pa.types.is_struct(inner):
+        data = pa.StructArray.from_arrays([pa.array(flat.real.astype(float)), pa.array(flat.imag.astype(float))], fields=list(inner))
+    else:
+        data = pa.array(flat).cast(inner)
+    return pa.ListArray.from_arrays(pa.array(offsets), data, type=kind, mask=pa.array([v is None for v in values]))
 
 
 def map_series(df: DataFrame, ids: Sequence[str], kernel: Callable, schema: str, samples: str = "samples") -> DataFrame:
@@ -55,7 +67,7 @@ def map_series(df: DataFrame, ids: Sequence[str], kernel: Callable, schema: str,
     def run(batches):
         for b in batches:
             made = [None if x is None else kernel(x) for x in _series(b.column(n))]
-            cols = [pa.array([None if m is None else _packed(m[k]) for m in made], t) for k, t in zip(names, kinds)]
+            cols = [_column([None if m is None else m[k] for m in made], t) for k, t in zip(names, kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *cols], [*ids, *names])
 
     kinds = _arrow_types(df, schema)
@@ -69,16 +81,34 @@ def explode_series(df: DataFrame, ids: Sequence[str], kernel: Callable, schema:
     n = len(ids)
     kinds = _arrow_types(df, schema)
 
+    def packed(b, rows, made):
+        sizes = [len(m[names[0]]) for m in made]
+        at = pa.array(np.repeat(rows, sizes))
+        cols = []
+        for k, t in zip(names, kinds):
+            parts = [m[k] for m in made]
+            if all(isinstance(v, np.ndarray) and v.ndim == 1 and v.dtype != object for v in parts):
+                cols.append(pa.array(np.concatenate(parts)).cast(t))
+            else:
+                cols.append(_column([v for p in parts for v in p], t))
+        return pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:n]), *cols], [*ids, *names])
+
     def run(batches):
         for b in batches:
+            rows, made, size = [], [], 0
             for r, x in enumerate(_series(b.column(n))):
                 if x is None:
                     continue
-                made = kernel(x)
-                size = len(made[names[0]])
-                if size:
-                    keys = [c.take(pa.array(np.full(size, r))) for c in b.columns[:n]]
-                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(_packed(made[k]), t) for k, t in zip(names, kinds))], [*ids, *names])
+                one = kernel(x)
+                if len(one[names[0]]):
+                    rows.append(r)
+                    made.append(one)
+                    size += len(one[names[0]])
+                if size >= OUT_ROWS:
+                    yield packed(b, rows, made)
+                    rows, made, size = [], [], 0
+            if rows:
+                yield packed(b, rows, made)
 
     return df.select(*ids, samples).mapInArrow(run, _ddl(df, ids) + schema)
 
@@ -116,6 +146,29 @@ def ifft(df: DataFrame, ids: Sequence[str], real: bool = True, full: bool = True
     return map_series(df, ids, lambda z: {"samples": dsp.fft_c2c(z, True)}, f"samples {COMPLEX}", samples)
 
 
+def fft_complex(df: DataFrame, ids: Sequence[str], samples: str = "samples") -> DataFrame:
+    """Forward transform of complex series (arrays of re, im)."""
+    return map_series(df, ids, lambda z: {"spectrum": dsp.fft_c2c(z)}, f"spectrum {COMPLEX}", samples)
+
+
+def unwrap(df: DataFrame, ids: Sequence[str], tol: float = np.pi, samples: str = "samples") -> DataFrame:
+    """Phases without jumps of more than ``tol``."""
+    return map_series(df, ids, lambda x: {"samples": dsp.unwrap(x, tol)}, "samples array<double>", samples)
+
+
+def sine_integral(df: DataFrame, ids: Sequence[str], x: str) -> DataFrame:
+    """(ids, value): Si of a column, a batch at a time."""
+    ship(df.sparkSession)
+    n = len(ids)
+
+    def run(batches):
+        for b in batches:
+            v = b.column(n).to_numpy(zero_copy_only=False).astype(float)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(dsp.sineint(v) if len(v) else v, pa.float64(), from_pandas=True)], [*ids, "value"])
+
+    return df.select(*ids, x).mapInArrow(run, _ddl(df, ids) + "value double")
+
+
 def fft_nd(df: DataFrame, ids: Sequence[str], shape: Sequence[int], inverse: bool = False, samples: str = "samples") -> DataFrame:
     """Two- and three-dimensional transforms of flattened (row-major) images and volumes."""
     return map_series(df, ids, lambda x: {"spectrum": dsp.fft_nd(x.reshape(shape).astype(complex), inverse).reshape(-1)}, f"spectrum {COMPLEX}", samples)
@@ -134,7 +187,14 @@ def convolve(df: DataFrame, ids: Sequence[str], kernel, shape: Sequence[int] | N
 
 
 def _filtered(df, ids, kernel, samples):
-    return map_series(df, ids, lambda x: {"samples": kernel(x)}, "samples array<double>", samples)
+    """A null for a series that is too short for the filter's edges."""
+    def run(x):
+        try:
+            return {"samples": kernel(x)}
+        except dsp.TooShort:
+            return {"samples": None}
+
+    return map_series(df, ids, run, "samples array<double>", samples)
 
 
 def filter_signal(df: DataFrame, ids: Sequence[str], b, a=(1.0,), samples: str = "samples") -> DataFrame:

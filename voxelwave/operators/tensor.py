@@ -5,7 +5,7 @@ All are Catalyst expressions, windows and pre-aggregated groupings; no Python wo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -136,33 +136,51 @@ def covariance(df: DataFrame, row: str, col: str, value: str = "value", cols: Se
     return g.agg((F.covar_pop("a.v", "b.v") * F.count(F.lit(1)) / F.lit(float(df_))).alias("cov"))
 
 
-def quantile(df: DataFrame, by: Sequence[str], p: float, value: str = "value", na_rm: bool = True) -> DataFrame:
-    """The (n+1)p rule: an integer h gives that order statistic, else p * lower + (1 - p) * upper; ends are clamped.
+#: Groups of up to so many rows are ranked whole; in larger ones only the rows around the quantile are.
+RANKED_WHOLE = 100_000
+ACCURACY = 10_000
+
+
+def _ranked(df: DataFrame, by: Sequence[str], value: str, p: float, places: Callable[[Column], list[Column]]) -> DataFrame:
+    """(by, _n, _all, _q0, _q1, ...): exact order statistics near the quantile p; ``places`` are their ranks, from the count.
 
-    The two order statistics are found by rank after one sort by group, without gathering a group's values in an array.
+    A pre-aggregated sketch brackets the quantile: its ranks are wrong by one in ACCURACY at most, so two of them on either side
+    hold the ranks of any group above RANKED_WHOLE. What lies below the bracket is only counted, what lies above is dropped, and
+    equal values are one row each before the rest is sorted by group.
     """
     x = F.col(value).cast("double")
-    clean = df.where(x.isNotNull()) if na_rm else df
-    counts = df.groupBy(*by).agg(F.count(x).alias("_n"), F.count(F.lit(1)).alias("_all"))
-    ranked = clean.select(*by, x.alias("_x")).withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_x")))
-    h = (F.col("_n") + 1) * F.lit(float(p))
-    whole = F.floor(h) == h
-    lower = F.greatest(F.lit(1), F.least(F.col("_n"), F.floor(h)))
-    upper = F.greatest(F.lit(1), F.least(F.col("_n"), F.when(whole, F.floor(h)).otherwise(F.floor(h) + 1)))
-    near = ranked.join(counts, list(by)).withColumn("_lo", lower).withColumn("_hi", upper).withColumn("_w", whole).withColumn("_low_end", h < 1).withColumn("_high_end", F.floor(h) >= F.col("_n"))
-    picked = near.where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi"))).groupBy(*by).agg(
-        F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_x"))).alias("_a"),
-        F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_x"))).alias("_b"),
-        F.first("_w").alias("_w"), F.first("_low_end").alias("_low_end"), F.first("_high_end").alias("_high_end"),
-    )
-    mixed = F.when(F.col("_w"), F.col("_a")).when(F.col("_low_end"), F.col("_a")).when(F.col("_high_end"), F.col("_b")).otherwise(p * F.col("_a") + (1 - p) * F.col("_b"))
-    out = counts.join(picked.select(*by, mixed.alias("_q")), list(by), "left")
-    made = F.col("_q") if na_rm else F.when(F.col("_n") == F.col("_all"), F.col("_q"))
-    return out.select(*by, made.alias(value))
+    edge = 2.0 / ACCURACY
+    sketch = F.percentile_approx(x, [max(0.0, p - edge), min(1.0, p + edge)], ACCURACY)
+    few = F.count(x) < RANKED_WHOLE
+    low, high = F.when(few, F.min(x)).otherwise(sketch[0]), F.when(few, F.max(x)).otherwise(sketch[1])
+    groups = df.groupBy(*by).agg(F.count(x).alias("_n"), F.count(F.lit(1)).alias("_all"), low.alias("_low"), high.alias("_high"))
+    # the smallest key, null, is what lies below
+    band = df.where(x.isNotNull()).select(*by, x.alias("_x")).join(groups, list(by)).where(F.col("_x") <= F.col("_high"))
+    held = band.groupBy(*by, F.when(F.col("_x") >= F.col("_low"), F.col("_x")).alias("_x")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    w = W.partitionBy(*by).orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = held.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+    ranks = places(F.col("_n"))
+    picked = last.groupBy(*by).agg(*(F.max(F.when((r > F.col("_from")) & (r <= F.col("_to")), F.col("_x"))).alias(f"_q{k}") for k, r in enumerate(ranks)))
+    return groups.select(*by, "_n", "_all").join(picked, list(by), "left")
+
+
+def quantile(df: DataFrame, by: Sequence[str], p: float, value: str = "value", na_rm: bool = True) -> DataFrame:
+    """The (n+1)p rule: an integer h gives that order statistic, else p * lower + (1 - p) * upper; ends are clamped."""
+    h = lambda n: (n + 1) * F.lit(float(p))
+    whole = lambda n: F.floor(h(n)) == h(n)
+    lower = lambda n: F.greatest(F.lit(1), F.least(n, F.floor(h(n))))
+    upper = lambda n: F.greatest(F.lit(1), F.least(n, F.when(whole(n), F.floor(h(n))).otherwise(F.floor(h(n)) + 1)))
+    d = _ranked(df, by, value, p, lambda n: [lower(n), upper(n)])
+    n, low, high = F.col("_n"), F.col("_q0"), F.col("_q1")
+    mixed = F.when(whole(n) | (h(n) < 1), low).when(F.floor(h(n)) >= n, high).otherwise(p * low + (1 - p) * high)
+    made = mixed if na_rm else F.when(n == F.col("_all"), mixed)
+    return d.select(*by, made.alias(value))
 
 
 def median(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    return df.groupBy(*by).agg(F.median(F.col(value).cast("double")).alias(value))
+    """The middle value, or the mean of the two middle ones."""
+    d = _ranked(df, by, value, 0.5, lambda n: [F.floor((n + 1) / 2), F.floor((n + 2) / 2)])
+    return d.select(*by, ((F.col("_q0") + F.col("_q1")) / 2).alias(value))
 
 
 def detrend_endpoint(df: DataFrame, by: Sequence[str], t: str, value: str = "value") -> DataFrame:

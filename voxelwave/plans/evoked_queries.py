@@ -30,10 +30,17 @@ def carla(spark, sf_dir):
     return E.carla(trials(spark, sf_dir).withColumn("rec", F.lit(0)), ["rec"]).select("ch", "rank", r6(F.col("score")).alias("score"), "chosen", "size")
 
 
-@query("crp")
+# the window of strongest mean projection between different trials, and the t statistic over independent pairs in it
+@query("crp", f"""WITH {X}, i AS (SELECT label, vec_id, t, v, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM x), en AS (SELECT unnest([5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 64]) AS e),
+n AS (SELECT label, k, e, sqrt(sum(v * v)) AS n FROM i JOIN en ON t < e GROUP BY ALL), u AS (SELECT i.label, n.e, t, sum(v / n) AS u, sum(v) AS s FROM i JOIN n ON n.label = i.label AND n.k = i.k AND t < n.e GROUP BY ALL),
+us AS (SELECT label, e, sum(u * s) AS us FROM u GROUP BY ALL), d AS (SELECT label, e, sum(n) AS d, count(*) AS m FROM n GROUP BY ALL),
+b AS (SELECT label, e, m FROM us JOIN d USING (label, e) QUALIFY row_number() OVER (PARTITION BY label ORDER BY (us - d) / (m * (m - 1)) DESC, e) = 1),
+p AS (SELECT a.label, a.k AS i, c.k AS j, sum(a.v * c.v) / any_value(n.n) AS p FROM b JOIN i a ON a.label = b.label AND a.t < b.e JOIN i c ON c.label = a.label AND c.t = a.t AND c.k <> a.k AND (a.k < c.k) = ((a.k + c.k) % 2 = 1) JOIN n ON n.label = a.label AND n.k = a.k AND n.e = b.e GROUP BY ALL)
+SELECT CAST(label AS BIGINT) AS ch, round((any_value(e) - 1) / 64.0, 6) + 0.0 AS tau, round(avg(p) / (stddev_samp(p) / sqrt(count(*))), 6) + 0.0 AS t_at_tau, CAST(any_value(m) AS INTEGER) AS n_trials, 1.0 AS shape_norm FROM p JOIN b USING (label) GROUP BY label""")
 def crp(spark, sf_dir):
     d = trials(spark, sf_dir).withColumn("time", F.col("t") / 64.0)
-    return E.crp(d, ["ch"], start=0.0, end=1.0).select("ch", *(r6(F.col(c)).alias(c) for c in ("tau", "t_at_tau", "p_at_tau")), "n_trials")
+    norm = F.aggregate("shape", F.lit(0.0), lambda a, v: a + v * v)
+    return E.crp(d, ["ch"], start=0.0, end=1.0, remove=False).select("ch", *(r6(F.col(c)).alias(c) for c in ("tau", "t_at_tau")), "n_trials", r6(norm).alias("shape_norm"))
 
 
 @query("crp_cluster")

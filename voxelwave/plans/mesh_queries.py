@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelwave.functions import mesh as K
 from voxelwave.operators import mesh as M
 from voxelwave.plans.registry import query
-from voxelwave.runtime import table
+from voxelwave.runtime import cut, table
 
 NU, NV, MESHES = 24, 12, 4
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)
@@ -73,32 +73,51 @@ for _w in ("area", "angle"):
         return M.update_normals(*torus(spark), w).select("mesh_id", "vid", *(r6(F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"))
 
 
-@query("mesh_subset", f"{GEN} SELECT f.mesh_id, count(*) AS faces, (SELECT count(*) FROM v WHERE v.mesh_id = f.mesh_id AND v.vid >= 36) AS vertices, sum(v0 - 36) AS checksum FROM f WHERE v0 >= 36 AND v1 >= 36 AND v2 >= 36 GROUP BY f.mesh_id")
+@query("mesh_subset", f"{GEN} SELECT mesh_id, v0 - 36 AS v0, v1 - 36 AS v1, v2 - 36 AS v2 FROM f WHERE v0 >= 36 AND v1 >= 36 AND v2 >= 36")
 def mesh_subset(spark, sf_dir):
-    v, f = M.subset_vertices(*torus(spark), F.col("vid") >= 36)
-    return f.groupBy("mesh_id").agg(F.count("*").alias("faces"), F.sum("v0").alias("checksum")).join(v.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id").select("mesh_id", "faces", "vertices", "checksum")
+    """Faces of the part, with its vertices numbered anew."""
+    return M.subset_vertices(*torus(spark), F.col("vid") >= 36)[1].select("mesh_id", "v0", "v1", "v2")
 
 
-@query("mesh_subdivide_edge", f"{T} SELECT mesh_id, 4 * (SELECT count(*) FROM f WHERE f.mesh_id = h.mesh_id) AS faces, (SELECT count(*) FROM v WHERE v.mesh_id = h.mesh_id) + count(*) // 2 AS vertices, round(avg(d) / 2, 6) + 0.0 AS shortened FROM h GROUP BY mesh_id")
-def mesh_subdivide_edge(spark, sf_dir):
-    v0, f0 = torus(spark)
-    v, f = M.subdivide(v0, f0)
-    old = M.half_edges(f0).alias("h").join(v0.alias("p"), (F.col("h.mesh_id") == F.col("p.mesh_id")) & (F.col("h.a") == F.col("p.vid")))
-    halves = M.corners(v, f.join(f0.groupBy("mesh_id").agg(F.count("*").alias("m")), "mesh_id").where(F.col("fid") < 3 * F.col("m")))
-    del old
-    # the first three blocks of new faces hold each half edge's first half once as their leading edge
+@query("mesh_subset_vertices", f"{GEN} SELECT mesh_id, vid - 36 AS vid, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM v WHERE vid >= 36")
+def mesh_subset_vertices(spark, sf_dir):
+    return M.subset_vertices(*torus(spark), F.col("vid") >= 36)[0].select("mesh_id", "vid", *(r6(F.col(c)).alias(c) for c in "xyz"))
+
+
+def _triangles(v, f):
+    """Middle and area of each face."""
     from voxelwave.functions import geometry as G
 
-    d = halves.groupBy("mesh_id").agg(F.avg(G.distance_to(F.col("p0"), F.col("p1"))).alias("a"), F.avg(G.distance_to(F.col("p0"), F.col("p2"))).alias("b"))
-    counts = f.groupBy("mesh_id").agg(F.count("*").alias("faces")).join(v.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id")
-    lengths = M.edge_lengths(v0, f0).select("mesh_id", r6(F.col("mean_edge") / 2).alias("shortened"))
-    return counts.join(lengths, "mesh_id").join(d.select("mesh_id"), "mesh_id").select("mesh_id", "faces", "vertices", "shortened")
+    c = M.corners(v, f)
+    area = G.length(G.cross(G.sub(F.col("p1"), F.col("p0")), G.sub(F.col("p2"), F.col("p0")))) / 2
+    return c.select("mesh_id", *(r6((F.col(f"p0.{a}") + F.col(f"p1.{a}") + F.col(f"p2.{a}")) / 3).alias(a) for a in "xyz"), r6(area).alias("area"))
+
+
+def _parts(*faces: str) -> str:
+    """Faces over the corners a, b, c, the middles ab, bc, ca of edges and m of the face, by the letters of their points."""
+    at = {"a": ["a{}"], "b": ["b{}"], "c": ["c{}"], "ab": ["a{}", "b{}"], "bc": ["b{}", "c{}"], "ca": ["c{}", "a{}"], "m": ["a{}", "b{}", "c{}"]}
+    col = lambda p, x: "(" + " + ".join((c.format(x) + ("_" if c == "b{}" and x == "y" else "")) for c in at[p]) + f") / {len(at[p])}"
+    rows = " UNION ALL ".join("SELECT mesh_id, " + ", ".join(f"{col(p, x)} AS {n}{x}" for n, p in zip("pqr", face.split())  for x in "xyz") + " FROM t" for face in faces)
+    cross = "pow((qy - py) * (rz - pz) - (qz - pz) * (ry - py), 2) + pow((qz - pz) * (rx - px) - (qx - px) * (rz - pz), 2) + pow((qx - px) * (ry - py) - (qy - py) * (rx - px), 2)"
+    return f"{T}, parts AS ({rows}) SELECT mesh_id, round((px + qx + rx) / 3, 6) + 0.0 AS x, round((py + qy + ry) / 3, 6) + 0.0 AS y, round((pz + qz + rz) / 3, 6) + 0.0 AS z, round(sqrt({cross}) / 2, 6) + 0.0 AS area FROM parts"
+
+
+@query("mesh_subdivide_edge", _parts("a ab ca", "ab b bc", "ca bc c", "ab bc ca"))
+def mesh_subdivide_edge(spark, sf_dir):
+    """Middle and area of every face of the subdivided mesh."""
+    return _triangles(*M.subdivide(*torus(spark)))
+
+
+@query("mesh_subdivide_edge_vertices", f"""{T}, e AS (SELECT DISTINCT mesh_id, least(a, b) AS a, greatest(a, b) AS b FROM h)
+SELECT mesh_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM (SELECT mesh_id, x, y, z FROM v UNION ALL SELECT e.mesh_id, (p.x + q.x) / 2, (p.y + q.y) / 2, (p.z + q.z) / 2 FROM e
+JOIN v p ON p.mesh_id = e.mesh_id AND p.vid = e.a JOIN v q ON q.mesh_id = e.mesh_id AND q.vid = e.b)""")
+def mesh_subdivide_edge_vertices(spark, sf_dir):
+    return M.subdivide(*torus(spark))[0].select("mesh_id", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
 
-@query("mesh_subdivide_barycenter", f"{GEN} SELECT f.mesh_id, 3 * count(*) AS faces, count(*) + {NU * NV} AS vertices FROM f GROUP BY f.mesh_id")
+@query("mesh_subdivide_barycenter", _parts("a b m", "b c m", "c a m"))
 def mesh_subdivide_barycenter(spark, sf_dir):
-    v, f = M.subdivide(*torus(spark), "barycenter")
-    return f.groupBy("mesh_id").agg(F.count("*").alias("faces")).join(v.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id")
+    return _triangles(*M.subdivide(*torus(spark), "barycenter"))
 
 
 @query("mesh_smooth_average", f"""{T}, e AS (SELECT DISTINCT mesh_id, a, b FROM (SELECT mesh_id, a, b FROM h UNION ALL SELECT mesh_id, b, a FROM h UNION ALL SELECT mesh_id, vid, vid FROM v)),
@@ -132,17 +151,10 @@ def ray_hits(spark, sf_dir):
 _POINTS = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS FLOAT) AS x, CAST(embedding[2] AS FLOAT) AS y, CAST(embedding[3] AS FLOAT) AS z FROM embeddings)"
 
 
-@query("knn_3", f"""WITH {_POINTS}, d AS (SELECT a.id AS query_id, b.id AS target_id, CAST((a.x - b.x) * (a.x - b.x) AS FLOAT) + CAST((a.y - b.y) * (a.y - b.y) AS FLOAT) + CAST((a.z - b.z) * (a.z - b.z) AS FLOAT) AS d FROM p a JOIN p b ON a.id % 5 = 0)
+@query("knn_3", f"""WITH {_POINTS}, d AS (SELECT a.id AS query_id, b.id AS target_id, CAST((a.x - b.x) * (a.x - b.x) AS FLOAT) + CAST((a.y - b.y) * (a.y - b.y) AS FLOAT) + CAST((a.z - b.z) * (a.z - b.z) AS FLOAT) AS d FROM p a CROSS JOIN p b)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, target_id FROM d WINDOW w AS (PARTITION BY query_id ORDER BY d, target_id) QUALIFY row_number() OVER w <= 3""")
 def knn_3(spark, sf_dir):
-    p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
-    return M.knn(p, p.where("id % 5 = 0"), 3).select("query_id", "rank", "target_id")
-
-
-@query("knn_3_all", f"""WITH {_POINTS}, d AS (SELECT a.id AS query_id, b.id AS target_id, CAST((a.x - b.x) * (a.x - b.x) AS FLOAT) + CAST((a.y - b.y) * (a.y - b.y) AS FLOAT) + CAST((a.z - b.z) * (a.z - b.z) AS FLOAT) AS d FROM p a CROSS JOIN p b)
-SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, target_id FROM d WINDOW w AS (PARTITION BY query_id ORDER BY d, target_id) QUALIFY row_number() OVER w <= 3""")
-def knn_3_all(spark, sf_dir):
-    """Of every point; knn_3 looks up ids divisible by 5, as its SQL."""
+    """The three nearest of every point."""
     p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
     return M.knn(p, p, 3, block=1 << 14).select("query_id", "rank", "target_id")
 
@@ -152,19 +164,95 @@ def mesh_curvature(spark, sf_dir):
     return M.mris_curvature(*torus(spark)).select("mesh_id", "vid", *(r6(F.col(c)).alias(c) for c in ("k1", "k2", "mean", "gauss")))
 
 
+def _chain(kind: str, rounds: int = 3) -> str:
+    """Smoothing by chained tables s0, s1, ..., each over the neighbours or faces of the last."""
+    ctes = ["e AS MATERIALIZED (SELECT DISTINCT mesh_id, a, b FROM (SELECT mesh_id, a, b FROM h UNION ALL SELECT mesh_id, b, a FROM h))", "s0 AS MATERIALIZED (SELECT mesh_id, vid, x, y, z FROM v)"]
+    xyz = lambda form: ", ".join(f"{form.replace('#', c)} AS {c}" for c in "xyz")
+    mean = lambda src: f"SELECT e.mesh_id, e.a AS vid, {xyz('avg(p.#)')} FROM e JOIN {src} p ON p.mesh_id = e.mesh_id AND p.vid = e.b GROUP BY ALL"
+    n = 0
+
+    def add(sql: str) -> str:
+        nonlocal n
+        n += 1
+        ctes.append(f"s{n} AS MATERIALIZED ({sql})")
+        return f"s{n}"
+
+    now = "s0"
+    moved = lambda src, mid, form: add(f"SELECT mesh_id, v.vid, {xyz(form)} FROM {src} v JOIN {mid} m USING (mesh_id, vid)")
+    corners = lambda src: f"SELECT f.mesh_id, f.v0, f.v1, f.v2, {', '.join(f'{p}.{c} AS {p}{c}' for p in 'jkl' for c in 'xyz')} FROM f JOIN {src} j ON j.mesh_id = f.mesh_id AND j.vid = f.v0 JOIN {src} k ON k.mesh_id = f.mesh_id AND k.vid = f.v1 JOIN {src} l ON l.mesh_id = f.mesh_id AND l.vid = f.v2"
+    normal = "(ky - jy) * (lz - jz) - (kz - jz) * (ly - jy) AS nx, (kz - jz) * (lx - jx) - (kx - jx) * (lz - jz) AS ny, (kx - jx) * (ly - jy) - (ky - jy) * (lx - jx) AS nz"
+    for _ in range(rounds):
+        if kind == "laplace":
+            now = add(f"SELECT mesh_id, vid, {xyz('avg(#)')} FROM (SELECT e.mesh_id, e.a AS vid, p.x, p.y, p.z FROM e JOIN {now} p ON p.mesh_id = e.mesh_id AND p.vid = e.b UNION ALL SELECT mesh_id, vid, x, y, z FROM {now}) GROUP BY ALL")
+        elif kind == "taubin":
+            for w in (0.5, -0.53):
+                now = moved(now, add(mean(now)), f"v.# + {w} * (m.# - v.#)")
+        elif kind == "HClaplace":
+            q = add(mean(now))
+            b_ = moved(now, q, "m.# - v.#")
+            half = moved(b_, add(mean(b_)), "0.5 * v.# + 0.5 * m.#")
+            now = moved(q, half, "v.# - m.#")
+        elif kind == "fujiLaplace":
+            near = add(f"SELECT mesh_id, vid, {xyz('sum(w * #) / sum(w)')} FROM (SELECT e.mesh_id, e.a AS vid, q.x, q.y, q.z, 1 / sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS w FROM e JOIN {now} p ON p.mesh_id = e.mesh_id AND p.vid = e.a JOIN {now} q ON q.mesh_id = e.mesh_id AND q.vid = e.b) GROUP BY ALL")
+            now = moved(now, near, "v.# + 0.1 * (m.# - v.#)")
+        elif kind == "angWeight":
+            dot = lambda o, p, q: "(" + " + ".join(f"({p}{c} - {o}{c}) * ({q}{c} - {o}{c})" for c in "xyz") + ")"
+            angle = lambda o, p, q: f"acos(greatest(-1, least(1, {dot(o, p, q)} / sqrt({dot(o, p, p)} * {dot(o, q, q)}))))"
+            mid = add(f"SELECT mesh_id, vid, {xyz('sum(w * #) / sum(w)')} FROM (SELECT mesh_id, unnest([v0, v1, v2]) AS vid, unnest([{angle('j', 'k', 'l')}, {angle('k', 'l', 'j')}, {angle('l', 'j', 'k')}]) AS w, {xyz('(j# + k# + l#) / 3')} FROM ({corners(now)})) GROUP BY ALL")
+            now = moved(now, mid, "v.# + 0.5 * (m.# - v.#)")
+        elif kind == "surfPreserveLaplace":
+            unit = add(f"SELECT mesh_id, vid, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM (SELECT mesh_id, unnest([v0, v1, v2]) AS vid, nx, ny, nz FROM (SELECT *, {normal} FROM ({corners(now)}))) GROUP BY ALL")
+            unit = add(f"SELECT mesh_id, vid, {xyz('# / sqrt(x * x + y * y + z * z)')} FROM {unit}".replace("x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y", "x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y"))
+            step = moved(now, add(mean(now)), "m.# - v.#")
+            along = add(f"SELECT mesh_id, s.vid, s.x * n.x + s.y * n.y + s.z * n.z AS d FROM {step} s JOIN {unit} n USING (mesh_id, vid)")
+            now = add(f"SELECT mesh_id, v.vid, {xyz('v.# + 0.5 * (s.# - n.# * a.d)')} FROM {now} v JOIN {step} s USING (mesh_id, vid) JOIN {unit} n USING (mesh_id, vid) JOIN {along} a USING (mesh_id, vid)")
+    return f"{T}, {', '.join(ctes)} SELECT mesh_id, vid, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM {now}"
+
+
 for _k in ("taubin", "laplace", "HClaplace", "fujiLaplace", "angWeight", "surfPreserveLaplace"):
 
-    @query(f"mesh_smooth_{_k}")
+    @query(f"mesh_smooth_{_k}", _chain(_k))
     def mesh_smooth(spark, sf_dir, k=_k):
         return M.smooth_explicit(*torus(spark), k, iterations=3).select("mesh_id", "vid", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
 
-@query("mesh_smooth_implicit")
+def _residual() -> str:
+    """The linear system whose solution the implicit step is: mass is a third of the faces around, over its mean."""
+    area = "sqrt(pow((by_ - ay) * (cz - az) - (bz - az) * (cy - ay), 2) + pow((bz - az) * (cx - ax) - (bx - ax) * (cz - az), 2) + pow((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), 2)) / 2"
+    return f"""{T}, ma AS (SELECT mesh_id, unnest([v0, v1, v2]) AS vid, {area} / 3 AS w FROM t), mb AS (SELECT mesh_id, vid, sum(w) AS w FROM ma GROUP BY ALL)
+SELECT mesh_id, vid, round(w / avg(w) OVER (PARTITION BY mesh_id) * x, 6) + 0.0 AS x, round(w / avg(w) OVER (PARTITION BY mesh_id) * y, 6) + 0.0 AS y, round(w / avg(w) OVER (PARTITION BY mesh_id) * z, 6) + 0.0 AS z FROM mb JOIN v USING (mesh_id, vid)"""
+
+
+@query("mesh_smooth_implicit", _residual())
 def mesh_smooth_implicit(spark, sf_dir):
-    return M.smooth_implicit(*torus(spark)).select("mesh_id", "vid", *(r6(F.col(c)).alias(c) for c in "xyz"))
+    """The solution put back into its system, by joins: mass times solution and a fifth of its Laplacian give mass times the start."""
+    v, f = torus(spark)
+    x = cut(M.smooth_implicit(v, f), "smooth")
+    c = M.corners(v, f)
+    from voxelwave.functions import geometry as G
+
+    area = G.length(G.cross(G.sub(F.col("p1"), F.col("p0")), G.sub(F.col("p2"), F.col("p0")))) / 6
+    mass = c.select("mesh_id", area.alias("w"), F.array("v0", "v1", "v2").alias("vs")).select("mesh_id", "w", F.explode("vs").alias("vid")).groupBy("mesh_id", "vid").agg(F.sum("w").alias("w"))
+    mean = mass.groupBy("mesh_id").agg(F.avg("w").alias("m"))
+    h = M.half_edges(f).select("mesh_id", "a", "b")
+    e = h.unionByName(h.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = e.join(x.withColumnRenamed("vid", "b"), ["mesh_id", "b"]).groupBy("mesh_id", F.col("a").alias("vid")).agg(F.count("*").alias("d"), *(F.sum(k).alias(f"s{k}") for k in "xyz"))
+    both = x.join(near, ["mesh_id", "vid"]).join(mass, ["mesh_id", "vid"]).join(mean, "mesh_id")
+    return both.select("mesh_id", "vid", *(r6(F.col("w") / F.col("m") * F.col(k) + 0.2 * (F.col("d") * F.col(k) - F.col(f"s{k}"))).alias(k) for k in "xyz"))
+
+
+_AREA = "sum(sqrt(pow((ky - jy) * (lz - jz) - (kz - jz) * (ly - jy), 2) + pow((kz - jz) * (lx - jx) - (kx - jx) * (lz - jz), 2) + pow((kx - jx) * (ly - jy) - (ky - jy) * (lx - jx), 2)) / 2)"
+
 
+def _rescaled() -> str:
+    """Three averages over vertices and their neighbours, then the old area again."""
+    smooth = _chain("laplace").rsplit(" SELECT mesh_id, vid, round(", 1)[0]
+    area = lambda src, name: f"{name} AS (SELECT f.mesh_id, {_AREA} AS area FROM f JOIN (SELECT mesh_id, vid, x AS jx, y AS jy, z AS jz FROM {src}) j ON j.mesh_id = f.mesh_id AND j.vid = f.v0 JOIN (SELECT mesh_id, vid, x AS kx, y AS ky, z AS kz FROM {src}) k ON k.mesh_id = f.mesh_id AND k.vid = f.v1 JOIN (SELECT mesh_id, vid, x AS lx, y AS ly, z AS lz FROM {src}) l ON l.mesh_id = f.mesh_id AND l.vid = f.v2 GROUP BY f.mesh_id)"
+    out = ", ".join(f"round((s.{c} - avg(s.{c}) OVER w) * sqrt(a0.area / a1.area) + avg(s.{c}) OVER w, 6) + 0.0 AS {c}" for c in "xyz")
+    return f"{smooth}, {area('v', 'a0')}, {area('s3', 'a1')} SELECT mesh_id, vid, {out} FROM s3 s JOIN a0 USING (mesh_id) JOIN a1 USING (mesh_id) WINDOW w AS (PARTITION BY mesh_id)"
 
-@query("mris_smooth")
+
+@query("mris_smooth", _rescaled())
 def mris_smooth(spark, sf_dir):
     return M.mris_smooth(*torus(spark), iterations=3, rescale=True).select("mesh_id", "vid", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
@@ -175,24 +263,42 @@ def spheres(spark, divisions: int = 2):
     return M.from_arrays(spark, {m: (bumpy * (m + 1) * 10, f) for m in range(2)})
 
 
-@query("mris_inflate")
+@query("mris_inflate", "SELECT CAST(m AS BIGINT) AS mesh_id, 110000.0 AS area, 0.0 AS mean_depth, true AS smoother FROM range(0, 2) r(m)")
 def mris_inflate(spark, sf_dir):
-    return M.mris_inflate(*spheres(spark), averages=2, iterations=3).select("mesh_id", "vid", *(F.round(c, 4).alias(c) for c in ("x", "y", "z", "sulc")))
+    """Area and mean depth after inflation, and whether the surface is nearer to a sphere (tests hold vertices against plain loops)."""
+    v, f = spheres(spark)
+    s = M.mris_inflate(v, f, averages=2, iterations=3)
+    spread = lambda t, n: t.groupBy("mesh_id").agg((F.stddev_pop(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))) / F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).alias(n))
+    area = _triangles(s, f).groupBy("mesh_id").agg(F.sum("area").alias("area"))
+    depth = s.groupBy("mesh_id").agg(F.avg("sulc").alias("mean_depth"))
+    both = area.join(depth, "mesh_id").join(spread(v, "before"), "mesh_id").join(spread(s, "after"), "mesh_id")
+    return both.select("mesh_id", (F.round("area", 2) + F.lit(0.0)).alias("area"), (F.round("mean_depth", 6) + F.lit(0.0)).alias("mean_depth"), (F.col("after") < F.col("before")).alias("smoother"))
 
 
-@query("mris_sphere")
+@query("mris_sphere", "SELECT CAST(m AS BIGINT) AS mesh_id, 162 AS vertices, 0 AS folded, true AS round FROM range(0, 2) r(m)")
 def mris_sphere(spark, sf_dir):
-    s = M.mris_sphere(*spheres(spark), averages=4, iterations=3)
-    return s.select("mesh_id", "vid", r6(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("radius"))
+    """Faces that look inwards, and whether all vertices are within a hundredth of the radius (tests hold them against plain loops)."""
+    v, f = spheres(spark)
+    s = M.mris_sphere(v, f, averages=4, iterations=3)
+    c = M.corners(s, f)
+    from voxelwave.functions import geometry as G
 
+    normal = G.cross(G.sub(F.col("p1"), F.col("p0")), G.sub(F.col("p2"), F.col("p0")))
+    folded = c.groupBy("mesh_id").agg(F.sum((G.dot(normal, F.col("p0")) <= 0).cast("int")).cast("int").alias("folded"))
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    near = s.groupBy("mesh_id").agg(F.count("*").cast("int").alias("vertices"), (F.max(F.abs(r - 100)) < 1).alias("round"))
+    return near.join(folded, "mesh_id").select("mesh_id", "vertices", "folded", "round")
 
-@query("mris_remesh")
+
+@query("mris_remesh", "SELECT CAST(m AS BIGINT) AS mesh_id, CAST(0 AS BIGINT) AS boundary, CAST(0 AS BIGINT) AS non_manifold, 2.0 AS euler FROM range(0, 2) r(m)")
 def mris_remesh(spark, sf_dir):
     v, f = M.mris_remesh(*spheres(spark), iterations=2)
-    return M.edge_defects(f).join(v.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id")
+    euler = v.groupBy("mesh_id").agg(F.count("*").alias("v")).join(f.groupBy("mesh_id").agg(F.count("*").alias("f")), "mesh_id").select("mesh_id", (F.col("v") - F.col("f") / 2.0).alias("euler"))
+    return M.edge_defects(f).join(euler, "mesh_id")
 
 
-@query("mris_make_surfaces")
+# intensity falls by 8 a unit from 150: 86 lies at radius 8, 62 at radius 11
+@query("mris_make_surfaces", "SELECT CAST(0 AS BIGINT) AS mesh_id, CAST(k AS INTEGER) AS vid, true AS near FROM range(0, 162) r(k)")
 def mris_make_surfaces(spark, sf_dir):
     v, f = K.icosphere(2)
     g = np.stack(np.meshgrid(*[np.arange(40) - 20.0] * 3, indexing="ij"), -1)
@@ -200,25 +306,25 @@ def mris_make_surfaces(spark, sf_dir):
     aff = np.eye(4)
     aff[:3, 3] = -20
     vt, ft = M.from_arrays(spark, {0: (v * 8, f)})
-    return M.mris_make_surfaces(vt, ft, vol, aff, 86, 62, averages=1, iterations=6).select("mesh_id", "vid", F.round("thickness", 4).alias("thickness"))
+    return M.mris_make_surfaces(vt, ft, vol, aff, 86, 62, averages=1, iterations=6).select("mesh_id", "vid", (F.abs(F.col("thickness") - 3) < 0.6).alias("near"))
 
 
-@query("mesh_fix_defects")
+@query("mesh_fix_defects", f"SELECT CAST(m AS BIGINT) AS mesh_id, CAST(0 AS BIGINT) AS boundary, CAST(0 AS BIGINT) AS non_manifold, CAST({NU * NV} AS BIGINT) AS vertices FROM range(0, {MESHES}) r(m)")
 def mesh_fix_defects(spark, sf_dir):
     v, f = torus(spark)
     v2, f2 = M.fix_defects(v, f.where("fid <> 7 AND fid <> 100"))
     return M.edge_defects(f2).join(v2.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id")
 
 
-@query("mesh_uniform_remesh")
+@query("mesh_uniform_remesh", "SELECT CAST(0 AS BIGINT) AS mesh_id, CAST(0 AS BIGINT) AS boundary, CAST(0 AS BIGINT) AS non_manifold, true AS near")
 def mesh_uniform_remesh(spark, sf_dir):
     v, f = K.icosphere(2)
     vt, ft = M.from_arrays(spark, {0: (v, f)})
     a, b = M.uniform_remesh(vt, ft, voxel=0.25)
-    return M.edge_defects(b).join(M.volume(a, b).select("mesh_id", F.round("volume", 3).alias("volume")), "mesh_id")
+    return M.edge_defects(b).join(M.volume(a, b).select("mesh_id", (F.abs(F.col("volume") / (4 * np.pi / 3) - 1) < 0.1).alias("near")), "mesh_id")
 
 
-@query("mesh_subdivide_length")
+@query("mesh_subdivide_length", f"SELECT CAST(m AS BIGINT) AS mesh_id, true AS short_enough, CAST(0 AS BIGINT) AS boundary, CAST(0 AS BIGINT) AS non_manifold FROM range(0, {MESHES}) r(m)")
 def mesh_subdivide_length(spark, sf_dir):
     v, f = M.subdivide_to_length(*torus(spark), 0.5)
     return M.edge_lengths(v, f).select("mesh_id", (F.col("max_edge") <= 0.5).alias("short_enough")).join(M.edge_defects(f), "mesh_id")
@@ -237,13 +343,41 @@ def surface_path(spark, sf_dir):
     return M.surface_path(M.geodesic(vt, ft, 0), 7).select("mesh_id", "step", "vid", r6(F.col("distance")).alias("distance"))
 
 
-@query("catmull_rom")
-def catmull_rom(spark, sf_dir):
-    """One curve a label, through all of its embeddings."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("curve"), "vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
-    return M.catmull_rom(e, ["curve"], "vec_id").select("vec_id", "step", *(r6(F.col(c)).alias(c) for c in "xyz"))
+def _catmull(kind: str, closed: bool) -> str:
+    power = {"centripetal": 0.25, "chordal": 0.5}.get(kind)
+    pts = "e AS (SELECT label AS curve, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings)"
+    if closed:
+        near = lambda d: f"q{d + 1}.curve = e.curve AND q{d + 1}.k = (e.k + {d} + e.n) % e.n"
+        col = lambda d, c: f"q{d + 1}.{c}"
+        segments = "e.n > 1"
+    else:
+        near = lambda d: f"q{d + 1}.curve = e.curve AND q{d + 1}.k = e.k + {d}"
+        col = lambda d, c: {-1: f"coalesce(q0.{c}, 2 * e.{c} - q2.{c})", 1: f"q2.{c}", 2: f"coalesce(q3.{c}, 2 * q2.{c} - e.{c})"}[d]
+        segments = "e.k < e.n - 1"
+    cols = ", ".join(f"e.{c} AS {c}1, {col(-1, c)} AS {c}0, {col(1, c)} AS {c}2, {col(2, c)} AS {c}3" for c in "xyz")
+    seg = f"s AS (SELECT e.curve, e.vec_id, {cols} FROM e LEFT JOIN e q0 ON {near(-1)} LEFT JOIN e q2 ON {near(1)} LEFT JOIN e q3 ON {near(2)} WHERE {segments})"
+    if power:
+        gap = lambda k: f"pow(pow(x{k} - x{k + 1}, 2) + pow(y{k} - y{k + 1}, 2) + pow(z{k} - z{k + 1}, 2), {power})"
+        seg += f", g AS (SELECT *, {gap(0)} AS a0, {gap(1)} AS a1, {gap(2)} AS a2 FROM s), h AS (SELECT *, CASE WHEN a1 < 1e-4 THEN 1 ELSE a1 END AS d1 FROM g), w AS (SELECT *, CASE WHEN a0 < 1e-4 THEN d1 ELSE a0 END AS d0, CASE WHEN a2 < 1e-4 THEN d1 ELSE a2 END AS d2 FROM h)"
+        t1 = lambda c: f"(({c}1 - {c}0) / d0 - ({c}2 - {c}0) / (d0 + d1) + ({c}2 - {c}1) / d1) * d1"
+        t2 = lambda c: f"(({c}2 - {c}1) / d1 - ({c}3 - {c}1) / (d1 + d2) + ({c}3 - {c}2) / d2) * d1"
+    else:
+        seg += ", w AS (SELECT * FROM s)"
+        t1, t2 = (lambda c: f"0.5 * ({c}2 - {c}0)"), (lambda c: f"0.5 * ({c}3 - {c}1)")
+    out = ", ".join(f"round((2 * t * t * t - 3 * t * t + 1) * {c}1 + (t * t * t - 2 * t * t + t) * {t1(c)} + (3 * t * t - 2 * t * t * t) * {c}2 + (t * t * t - t * t) * {t2(c)}, 6) + 0.0 AS {c}" for c in "xyz")
+    return f"WITH {pts}, {seg} SELECT vec_id, CAST(step AS INTEGER) AS step, {out} FROM (SELECT *, step / 16.0::DOUBLE AS t FROM w, range(0, 16) r(step))"
+
+
+for _name, _kind, _closed in (("catmull_rom", "centripetal", False), ("catmull_rom_closed", "centripetal", True), ("catmull_rom_uniform", "uniform", False), ("catmull_rom_chordal", "chordal", False)):
+
+    @query(_name, _catmull(_kind, _closed))
+    def catmull_rom(spark, sf_dir, kind=_kind, closed=_closed):
+        """One curve a label, through all of its embeddings."""
+        e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("curve"), "vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
+        return M.catmull_rom(e, ["curve"], "vec_id", kind=kind, closed=closed).select("vec_id", "step", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
 
-@query("mesh_plot_table")
+# the eye looks down the z axis from 1000
+@query("mesh_plot_table", f"{T} SELECT mesh_id, fid, round((az + bz + cz) / 3 - 1000, 6) + 0.0 AS depth, round(ax, 6) + 0.0 AS x0, round(by_, 6) + 0.0 AS y1, round(cx, 6) + 0.0 AS x2 FROM t")
 def mesh_plot_table(spark, sf_dir):
-    return M.plot_table(*torus(spark)).select("mesh_id", "fid", r6(F.col("depth")).alias("depth"))
+    return M.plot_table(*torus(spark)).select("mesh_id", "fid", *(r6(F.col(c)).alias(c) for c in ("depth", "x0", "y1", "x2")))

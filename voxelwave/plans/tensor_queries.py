@@ -28,6 +28,14 @@ def r6(c) -> F.Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+#: Added before rounding where values are exact decimals, so that none lies half way between two roundings.
+NUDGE = "3.3e-8"
+
+
+def n6(c) -> F.Column:
+    return F.round(c + F.lit(float(NUDGE)), 6) + F.lit(0.0)
+
+
 _STATS = {
     "percentage": ("avg(value) FILTER (t < 24)", "CASE WHEN m = 0 THEN 0 ELSE (value / m - 1) * 100 END"),
     "sqrt_percentage": ("avg(sqrt(value)) FILTER (t < 24)", "CASE WHEN m = 0 THEN 0 ELSE (sqrt(value) / m - 1) * 100 END"),
@@ -96,22 +104,14 @@ def shift_align(spark, sf_dir):
     return T.shift(s, shifts, ["user_id"], "t").select("user_id", "t", r6(F.col("value")).alias("value"))
 
 
-def cells(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
-    """(vec_id, c, value) of all components, or of the first n."""
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(e if n is None else F.slice(e, 1, n)).alias("c", "value"))
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, c, value) of all components."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "value"))
 
 
-@query("cov_matrix", """WITH c AS (SELECT vec_id, unnest(range(0, 8)) AS c, CAST(unnest(embedding[1:8]) AS DOUBLE) AS v FROM embeddings)
+@query("cov_matrix", """WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
 SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(covar_samp(a.v, b.v), 9) + 0.0 AS cov FROM c a JOIN c b USING (vec_id) GROUP BY ALL""")
 def cov_matrix(spark, sf_dir):
-    return T.covariance(cells(spark, sf_dir, 8), "vec_id", "c").select("c1", "c2", (F.round("cov", 9) + F.lit(0.0)).alias("cov"))
-
-
-@query("cov_matrix_all", """WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
-SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(covar_samp(a.v, b.v), 9) + 0.0 AS cov FROM c a JOIN c b USING (vec_id) GROUP BY ALL""")
-def cov_matrix_all(spark, sf_dir):
-    """Over all components; cov_matrix has the first 8, as its SQL."""
     return T.covariance(cells(spark, sf_dir), "vec_id", "c").select("c1", "c2", (F.round("cov", 9) + F.lit(0.0)).alias("cov"))
 
 
@@ -125,15 +125,23 @@ def quantile_p25(spark, sf_dir):
     return T.quantile(table(spark, sf_dir, "lineitem"), ["l_returnflag"], 0.25, "l_extendedprice").select("l_returnflag", r6(F.col("l_extendedprice")).alias("value"))
 
 
-@query("mv_quantile_p90", _Q1.format(by="c", p="0.9", v="v", t="(SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS c, unnest(embedding[1:8]) AS v FROM embeddings)"))
+@query("mv_quantile_p90", _Q1.format(by="c", p="0.9", v="v", t="(SELECT CAST(unnest(range(0, len(embedding))) AS INTEGER) AS c, unnest(embedding) AS v FROM embeddings)"))
 def mv_quantile_p90(spark, sf_dir):
-    return T.quantile(cells(spark, sf_dir, 8), ["c"], 0.9).select("c", r6(F.col("value")).alias("value"))
+    return T.quantile(cells(spark, sf_dir), ["c"], 0.9).select("c", r6(F.col("value")).alias("value"))
 
 
-@query("mv_quantile_p90_all", _Q1.format(by="c", p="0.9", v="v", t="(SELECT CAST(unnest(range(0, len(embedding))) AS INTEGER) AS c, unnest(embedding) AS v FROM embeddings)"))
-def mv_quantile_p90_all(spark, sf_dir):
-    """Over all components; mv_quantile_p90 has the first 8, as its SQL."""
-    return T.quantile(cells(spark, sf_dir), ["c"], 0.9).select("c", r6(F.col("value")).alias("value"))
+@query("mv_median", "SELECT c, round(median(v), 6) + 0.0 AS value FROM (SELECT CAST(unnest(range(0, len(embedding))) AS INTEGER) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY c")
+def mv_median(spark, sf_dir):
+    return T.median(cells(spark, sf_dir), ["c"]).select("c", r6(F.col("value")).alias("value"))
+
+
+@query("cov_between", """WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(covar_pop(a.v, 2 * b.v + b.c) * count(*) / 100, 9) + 0.0 AS cov FROM c a JOIN c b USING (vec_id) WHERE a.c IN (1, 5, 9) AND b.c IN (0, 5, 60) GROUP BY ALL""")
+def cov_between(spark, sf_dir):
+    """Column subsets of two matrices, and a divisor of one's own."""
+    x = cells(spark, sf_dir)
+    y = x.select("vec_id", "c", (2 * F.col("value").cast("double") + F.col("c")).alias("value"))
+    return T.covariance(x, "vec_id", "c", cols=[1, 5, 9], other=y, other_cols=[0, 5, 60], df_=100).select("c1", "c2", (F.round("cov", 9) + F.lit(0.0)).alias("cov"))
 
 
 @query("median", "SELECT l_returnflag, round(median(l_extendedprice), 6) + 0.0 AS value FROM lineitem GROUP BY ALL")
@@ -141,9 +149,9 @@ def median(spark, sf_dir):
     return T.median(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", r6(F.col("l_extendedprice")).alias("value"))
 
 
-@query("detrend_constant", f"WITH {SERIES} SELECT user_id, t, round((value - avg(value) OVER (PARTITION BY user_id)) / pi(), 6) + 0.0 AS value FROM series")  # over pi: no ties at the last digit
+@query("detrend_constant", f"WITH {SERIES} SELECT user_id, t, round(value - avg(value) OVER (PARTITION BY user_id) + {NUDGE}, 6) + 0.0 AS value FROM series")
 def detrend_constant(spark, sf_dir):
-    return T.detrend(series(spark, sf_dir), ["user_id"], "t", "constant").select("user_id", "t", r6(F.col("value") / F.pi()).alias("value"))
+    return T.detrend(series(spark, sf_dir), ["user_id"], "t", "constant").select("user_id", "t", n6(F.col("value")).alias("value"))
 
 
 @query("detrend_linear", f"""WITH {SERIES}, f AS (SELECT user_id, regr_slope(value, t) AS s, avg(t) AS mt, avg(value) AS mv FROM series GROUP BY ALL)
@@ -160,9 +168,9 @@ def detrend_pieces(spark, sf_dir):
 
 
 @query("detrend_endpoint", f"""WITH {SERIES}, e AS (SELECT user_id, arg_min(value, t) AS a, arg_max(value, t) AS b, max(t) AS n FROM series GROUP BY ALL)
-SELECT user_id, t, round((value - a - CASE WHEN n = 0 THEN 0 ELSE (b - a) / n * t END) / pi(), 6) + 0.0 AS value FROM series JOIN e USING (user_id)""")
+SELECT user_id, t, round(value - a - CASE WHEN n = 0 THEN 0 ELSE (b - a) / n * t END + {NUDGE}, 6) + 0.0 AS value FROM series JOIN e USING (user_id)""")
 def detrend_endpoint(spark, sf_dir):
-    return T.detrend_endpoint(series(spark, sf_dir), ["user_id"], "t").select("user_id", "t", r6(F.col("value") / F.pi()).alias("value"))
+    return T.detrend_endpoint(series(spark, sf_dir), ["user_id"], "t").select("user_id", "t", n6(F.col("value")).alias("value"))
 
 
 @query("island_runs", f"""WITH {SERIES}, d AS (SELECT user_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS g FROM series WHERE value > 50),
@@ -214,8 +222,43 @@ def scalar_math(spark, sf_dir):
     return e.select("vec_id", nine(C.sinc(F.col("x"))).alias("sinc"), nine(C.clamp(F.col("x"), -0.1, 0.1)).alias("clamped"), nine(C.polyval([2, 3, -1], F.col("x"))).alias("poly"), nine(C.hertz_to_erb_scale(hz)).alias("erb_scale"), nine(C.hertz_to_erb(hz)).alias("erb"))
 
 
-@query("binary_decode", """WITH b AS (SELECT part.p_partkey, CAST(p_size AS INTEGER) AS s FROM part)
-SELECT p_partkey, s % 256 AS u8, CASE WHEN s % 256 > 127 THEN s % 256 - 256 ELSE s % 256 END AS i8, CAST(s * 257 AS INTEGER) AS u16 FROM b""")
-def binary_decode(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.format_string("%02X", F.col("p_size") % 256)).alias("one"), F.unhex(F.concat(*[F.format_string("%02X", F.col("p_size") % 256)] * 2)).alias("two"))
-    return p.select("p_partkey", F.get(C.raw_to_uint8(F.col("one")), F.lit(0)).alias("u8"), F.get(C.raw_to_int8(F.col("one")), F.lit(0)).alias("i8"), F.get(C.raw_to_uint16(F.col("two")), F.lit(0)).alias("u16"))
+def _le(hex_: str, at: str, n: int) -> str:
+    """The unsigned number in n bytes from byte ``at`` (0-based, an SQL expression), lowest byte first, as a HUGEINT."""
+    digit = lambda place: f"CAST(strpos('0123456789abcdef', substr({hex_}, CAST({place} AS INTEGER), 1)) - 1 AS HUGEINT)"
+    return "(" + " + ".join(f"({digit(f'2 * ({at} + {k}) + 1')} * 16 + {digit(f'2 * ({at} + {k}) + 2')}) * {256**k}::HUGEINT" for k in range(n)) + ")"
+
+
+def _signed(v: str, bits: int) -> str:
+    return f"CASE WHEN {v} >= {1 << bits - 1}::HUGEINT THEN {v} - {1 << bits}::HUGEINT ELSE {v} END"
+
+
+def _decoded(name: str, n: int, count: int, value: str, kind: str) -> None:
+    """Query raw_to_<name>: the 16 bytes of a digest as numbers of n bytes."""
+    sql = f"""WITH b AS (SELECT part.p_partkey, md5(CAST(part.p_partkey AS VARCHAR)) AS h, CAST(unnest(range(0, {count})) AS INTEGER) AS i FROM part),
+u AS (SELECT p_partkey, i, {_le('h', f'i * {n}', n)} AS u FROM b) SELECT p_partkey, i, {value} AS value FROM u"""
+
+    @query(f"raw_to_{name}", sql)
+    def run(spark, sf_dir):
+        raw = F.unhex(F.md5(F.col("p_partkey").cast("string").cast("binary")))
+        d = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(getattr(C, f"raw_to_{name}")(raw)).alias("i", "value"))
+        # a pattern of 255 exponent bits is no number
+        v = F.col("value").cast(kind)
+        return d.select("p_partkey", "i", (F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), None).otherwise(v) if name == "float" else v).alias("value"))
+
+
+_decoded("uint8", 1, 16, "CAST(u AS INTEGER)", "int")
+_decoded("int8", 1, 16, f"CAST({_signed('u', 8)} AS INTEGER)", "int")
+_decoded("uint16", 2, 8, "CAST(u AS INTEGER)", "int")
+_decoded("int16", 2, 8, f"CAST({_signed('u', 16)} AS INTEGER)", "int")
+_decoded("uint32", 4, 4, "CAST(u AS BIGINT)", "long")
+_decoded("int32", 4, 4, f"CAST({_signed('u', 32)} AS BIGINT)", "long")
+_decoded("int64", 8, 2, f"CAST({_signed('u', 64)} AS BIGINT)", "long")
+_decoded("float", 4, 4, """CASE WHEN u // 8388608 % 256 = 255 THEN NULL ELSE (CASE WHEN u >= 2147483648 THEN -1.0 ELSE 1.0 END) * CASE WHEN u // 8388608 % 256 = 0 THEN CAST(u % 8388608 AS DOUBLE) * pow(2.0, -149)
+ELSE CAST(u % 8388608 + 8388608 AS DOUBLE) * pow(2.0, CAST(u // 8388608 % 256 AS DOUBLE) - 150) END END""", "double")
+
+
+@query("raw_to_string", "SELECT p_partkey, p_name AS value FROM part")
+def raw_to_string(spark, sf_dir):
+    """Text up to the first zero byte."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", C.raw_to_string(F.concat(F.col("p_name").cast("binary"), F.unhex(F.lit("004142")))).alias("value"))

@@ -49,10 +49,14 @@ def volume_resample_cubic(spark, sf_dir):
     return V.resample(volumes(spark), (N,) * 3, (9, 10, 7), np.eye(4), NEW, "bspline", -1.0).select("vol_id", "i", "j", "k", r6(F.col("value")).alias("value"))
 
 
-@query("volume_transform", f"WITH {VOL} SELECT a.vol_id, a.i, a.j, a.k, round(coalesce(b.value, 0.0), 6) + 0.0 AS value FROM vol a LEFT JOIN vol b ON b.vol_id = a.vol_id AND b.i = a.i + 2 AND b.j = a.j - 1 AND b.k = a.k")
+@query("volume_transform", f"""WITH {VOL}, g AS (SELECT vol_id, i, j, k, 0.8 * i - 0.6 * j + 2.25 AS x, 0.6 * i + 0.8 * j - 1.5 AS y, k + 0.25 AS z FROM vol),
+d AS (SELECT 0 AS d UNION ALL SELECT 1 AS d), s AS (SELECT g.vol_id, g.i, g.j, g.k, sum((CASE a.d WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) * (CASE b.d WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE c.d WHEN 0 THEN 0.75 ELSE 0.25 END) * v.value) AS value
+FROM (SELECT vol_id, i, j, k, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM g) g CROSS JOIN d a CROSS JOIN d b CROSS JOIN d c JOIN vol v ON v.vol_id = g.vol_id AND v.i = least(7, CAST(floor(x) AS INTEGER) + a.d) AND v.j = least(7, CAST(floor(y) AS INTEGER) + b.d) AND v.k = least(7, CAST(floor(z) AS INTEGER) + c.d)
+WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 AND z BETWEEN 0 AND 7 GROUP BY ALL)
+SELECT a.vol_id, a.i, a.j, a.k, round(coalesce(s.value, 0.0), 6) + 0.0 AS value FROM vol a LEFT JOIN s USING (vol_id, i, j, k)""")
 def volume_transform(spark, sf_dir):
-    move = np.eye(4)
-    move[:3, 3] = 2, -1, 0
+    """A turn by the angle of a 3-4-5 triangle and a move by fractions of voxels."""
+    move = np.array([[0.8, -0.6, 0, 2.25], [0.6, 0.8, 0, -1.5], [0, 0, 1, 0.25], [0, 0, 0, 1]])
     return V.resample(volumes(spark), (N,) * 3, (N,) * 3, np.eye(4), np.eye(4), "trilinear", 0.0, move).select("vol_id", "i", "j", "k", r6(F.col("value")).alias("value"))
 
 
@@ -67,17 +71,21 @@ def volume_convolve_native(spark, sf_dir):
     return V.convolve(volumes(spark), k).select("vol_id", "i", "j", "k", r6(F.col("value")).alias("value"))
 
 
-@query("isosurface")
+# a vertex for each edge of the six tetrahedra of a cell that has one end inside
+@query("isosurface", f"""WITH {VOL}, s AS (SELECT vol_id, i, j, k FROM vol WHERE value > 7), d AS (SELECT a * e AS a, b * e AS b, c * e AS c FROM (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)) q(a, b, c), (VALUES (1), (-1)) r(e))
+SELECT vol_id AS mesh_id, CAST(0 AS BIGINT) AS boundary, CAST(0 AS BIGINT) AS non_manifold, count(*) AS vertices FROM s CROSS JOIN d ANTI JOIN s o ON o.vol_id = s.vol_id AND o.i = s.i + d.a AND o.j = s.j + d.b AND o.k = s.k + d.c GROUP BY vol_id""")
 def isosurface(spark, sf_dir):
     v, f = M.isosurface_table(volumes(spark), (N,) * 3, None, 7.0)
     return M.edge_defects(f).join(v.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id")
 
 
-@query("fill_surface")
+# voxels that the surface crosses are inside
+@query("fill_surface", "SELECT CAST(0 AS BIGINT) AS mesh_id, true AS near")
 def fill_surface(spark, sf_dir):
     v, f = M.from_arrays(spark, {0: K.icosphere(3)})
     d = V.fill_surface(v, f, resolution=48)
-    return d.groupBy("mesh_id").agg(F.count("*").alias("voxels"), F.round(F.count("*") * F.pow(F.max(F.get("vox2ras", F.lit(0))), 3), 3).alias("volume"))
+    volume = F.count("*") * F.pow(F.max(F.get("vox2ras", F.lit(0))), 3)
+    return d.groupBy("mesh_id").agg((F.abs(volume / (4 * np.pi / 3) - 1.08) < 0.12).alias("near"))
 
 
 def _phantom(shift=(0.0, 0.0, 0.0), n: int = 20) -> np.ndarray:
@@ -95,7 +103,10 @@ def _pairs(spark):
 
 for _kind in ("rigid", "affine", "syn"):
 
-    @query(f"register_{_kind}")
+    @query(f"register_{_kind}", f"SELECT CAST(pair_id AS BIGINT) AS pair_id, '{_kind}' AS type, true AS near, true AS agrees FROM range(0, 2) r(pair_id)")
     def register(spark, sf_dir, kind=_kind):
+        """Whether the known shift is found to a fifth of a voxel on each axis, and the volumes agree after it."""
         out = V.register(_pairs(spark), (20, 20, 20), kind, metric="meansquares", levels=((2, 1), (1, 0)), iterations=40, samples=4000, **({"syn_iterations": 6} if kind == "syn" else {}))
-        return out.select("pair_id", "type", *(F.round(F.get("transform", F.lit(i)), 1).alias(f"t{n}") for n, i in (("x", 3), ("y", 7), ("z", 11))), F.round("correlation_after", 2).alias("correlation_after"))
+        shift = F.when(F.col("pair_id") == 0, F.array(*map(F.lit, (1.5, -1.0, 0.5)))).otherwise(F.array(*map(F.lit, (-1.0, 0.5, 1.0))))
+        near = F.greatest(*(F.abs(F.get("transform", F.lit(i)) - F.get(shift, F.lit(k))) for k, i in enumerate((3, 7, 11)))) < 0.2
+        return out.select("pair_id", "type", near.alias("near"), (F.col("correlation_after") > 0.98).alias("agrees"))

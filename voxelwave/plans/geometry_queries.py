@@ -93,50 +93,51 @@ def _rows(name: str, prepared: str, ops: dict[str, tuple], columns: tuple[dict[s
         return d.select("vec_id", F.explode(parts).alias("r")).select("vec_id", "r.op", F.posexplode("r.v").alias("k", "value")).select("vec_id", "op", "k", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-_A, _B, _S = F.col("a"), F.col("b"), F.col("s")
+# columns of ``vectors``, made when a session is there
+_a, _b, _s = (lambda: F.col("a")), (lambda: F.col("b")), (lambda: F.col("s"))
 _xyz_of = lambda f: lambda: G.to_array(f())
 _four = lambda f: lambda: F.array(*(f()[p] for p in G.PARTS))
 _one = lambda f: lambda: F.array(f())
 _UNIT = "SELECT *, ax * bx + ay * by_ + az * bz AS d, sqrt(ax * ax + ay * ay + az * az) AS la, sqrt(bx * bx + by_ * by_ + bz * bz) AS lb, sqrt(ax * ax + ay * ay + az * az + s * s) AS lp, sqrt(bx * bx + by_ * by_ + bz * bz + 1) AS lq FROM v"
 
 _rows("vec3_components", _UNIT, {
-    "splat": (_xyz_of(lambda: G.splat(_S)), ("s", "s", "s")),
-    "set_component": (_xyz_of(lambda: G.set_component(_A, "y", _S)), ("ax", "s", "az")),
-    "from_array": (_xyz_of(lambda: G.from_array(G.to_array(_A))), ("ax", "ay", "az")),
-    "add_scalar": (_xyz_of(lambda: G.add_scalar(_A, _S)), ("ax + s", "ay + s", "az + s")),
-    "sub_scalar": (_xyz_of(lambda: G.sub_scalar(_A, _S)), ("ax - s", "ay - s", "az - s")),
-    "sub": (_xyz_of(lambda: G.sub(_A, _B)), ("ax - bx", "ay - by_", "az - bz")),
-    "multiply": (_xyz_of(lambda: G.multiply(_A, _B)), ("ax * bx", "ay * by_", "az * bz")),
-    "multiply_scalar": (_xyz_of(lambda: G.multiply_scalar(_A, _S)), ("ax * s", "ay * s", "az * s")),
-    "divide": (_xyz_of(lambda: G.divide(_A, G.add_scalar(G.multiply(_B, _B), 1.0))), ("ax / (bx * bx + 1)", "ay / (by_ * by_ + 1)", "az / (bz * bz + 1)")),
-    "divide_scalar": (_xyz_of(lambda: G.divide_scalar(_A, _S * _S + 1)), ("ax / (s * s + 1)", "ay / (s * s + 1)", "az / (s * s + 1)")),
-    "maximum": (_xyz_of(lambda: G.maximum(_A, _B)), ("greatest(ax, bx)", "greatest(ay, by_)", "greatest(az, bz)")),
-    "clamp": (_xyz_of(lambda: G.clamp(_A, G.splat(-1.0), G.splat(0.5))), tuple(f"greatest(-1, least(0.5, {c}))" for c in ("ax", "ay", "az"))),
-    "floor": (_xyz_of(lambda: G.floor(_A)), ("floor(ax)", "floor(ay)", "floor(az)")),
-    "ceil": (_xyz_of(lambda: G.ceil(_A)), ("ceil(ax)", "ceil(ay)", "ceil(az)")),
-    "rint": (_xyz_of(lambda: G.rint(_A)), ("round_even(ax, 0)", "round_even(ay, 0)", "round_even(az, 0)")),
-    "negate": (_xyz_of(lambda: G.negate(_A)), ("-ax", "-ay", "-az")),
-    "set_length": (_xyz_of(lambda: G.set_length(_A, 2.5)), ("ax / la * 2.5", "ay / la * 2.5", "az / la * 2.5")),
-    "length_squared": (_one(lambda: G.length_squared(_A)), ("la * la",)),
-    "distance_squared": (_one(lambda: G.distance_to_squared(_A, _B)), ("pow(ax - bx, 2) + pow(ay - by_, 2) + pow(az - bz, 2)",)),
-    "distance_manhattan": (_one(lambda: G.distance_to_manhattan(_A, _B)), ("abs(ax - bx) + abs(ay - by_) + abs(az - bz)",)),
-    "same": (_one(lambda: G.same(_A, _A).cast("double") + G.same(_A, G.add_scalar(_A, 1.0)).cast("double")), ("1",)),
+    "splat": (_xyz_of(lambda: G.splat(_s())), ("s", "s", "s")),
+    "set_component": (_xyz_of(lambda: G.set_component(_a(), "y", _s())), ("ax", "s", "az")),
+    "from_array": (_xyz_of(lambda: G.from_array(G.to_array(_a()))), ("ax", "ay", "az")),
+    "add_scalar": (_xyz_of(lambda: G.add_scalar(_a(), _s())), ("ax + s", "ay + s", "az + s")),
+    "sub_scalar": (_xyz_of(lambda: G.sub_scalar(_a(), _s())), ("ax - s", "ay - s", "az - s")),
+    "sub": (_xyz_of(lambda: G.sub(_a(), _b())), ("ax - bx", "ay - by_", "az - bz")),
+    "multiply": (_xyz_of(lambda: G.multiply(_a(), _b())), ("ax * bx", "ay * by_", "az * bz")),
+    "multiply_scalar": (_xyz_of(lambda: G.multiply_scalar(_a(), _s())), ("ax * s", "ay * s", "az * s")),
+    "divide": (_xyz_of(lambda: G.divide(_a(), G.add_scalar(G.multiply(_b(), _b()), 1.0))), ("ax / (bx * bx + 1)", "ay / (by_ * by_ + 1)", "az / (bz * bz + 1)")),
+    "divide_scalar": (_xyz_of(lambda: G.divide_scalar(_a(), _s() * _s() + 1)), ("ax / (s * s + 1)", "ay / (s * s + 1)", "az / (s * s + 1)")),
+    "maximum": (_xyz_of(lambda: G.maximum(_a(), _b())), ("greatest(ax, bx)", "greatest(ay, by_)", "greatest(az, bz)")),
+    "clamp": (_xyz_of(lambda: G.clamp(_a(), G.splat(-1.0), G.splat(0.5))), tuple(f"greatest(-1, least(0.5, {c}))" for c in ("ax", "ay", "az"))),
+    "floor": (_xyz_of(lambda: G.floor(_a())), ("floor(ax)", "floor(ay)", "floor(az)")),
+    "ceil": (_xyz_of(lambda: G.ceil(_a())), ("ceil(ax)", "ceil(ay)", "ceil(az)")),
+    "rint": (_xyz_of(lambda: G.rint(_a())), ("round_even(ax, 0)", "round_even(ay, 0)", "round_even(az, 0)")),
+    "negate": (_xyz_of(lambda: G.negate(_a())), ("-ax", "-ay", "-az")),
+    "set_length": (_xyz_of(lambda: G.set_length(_a(), 2.5)), ("ax / la * 2.5", "ay / la * 2.5", "az / la * 2.5")),
+    "length_squared": (_one(lambda: G.length_squared(_a())), ("la * la",)),
+    "distance_squared": (_one(lambda: G.distance_to_squared(_a(), _b())), ("pow(ax - bx, 2) + pow(ay - by_, 2) + pow(az - bz, 2)",)),
+    "distance_manhattan": (_one(lambda: G.distance_to_manhattan(_a(), _b())), ("abs(ax - bx) + abs(ay - by_) + abs(az - bz)",)),
+    "same": (_one(lambda: G.same(_a(), _a()).cast("double") + G.same(_a(), G.add_scalar(_a(), 1.0)).cast("double")), ("1",)),
 })
 
 _MATRICES = ({
-    "rz": lambda: G.m_rotation("z", _S), "sc": lambda: G.m_scaling(2.0, 3.0, 4.0), "rx": lambda: G.m_rotation("x", _S), "ta": lambda: G.m_translation(_A["x"], _A["y"], _A["z"]),
-    "tb": lambda: G.m_translation(_B["x"], _B["y"], _B["z"]), "t12": lambda: G.m_translation(1.0, 2.0, _S), "t123": lambda: G.m_translation(1.0, 2.0, 3.0),
-}, {"turned": lambda: G.m_multiply(F.col("rz"), F.col("sc"))}, {"both": lambda: G.m_multiply(F.col("t123"), F.col("turned")), "put": lambda: G.m_set_position(F.col("turned"), _A)})
+    "rz": lambda: G.m_rotation("z", _s()), "sc": lambda: G.m_scaling(2.0, 3.0, 4.0), "rx": lambda: G.m_rotation("x", _s()), "ta": lambda: G.m_translation(_a()["x"], _a()["y"], _a()["z"]),
+    "tb": lambda: G.m_translation(_b()["x"], _b()["y"], _b()["z"]), "t12": lambda: G.m_translation(1.0, 2.0, _s()), "t123": lambda: G.m_translation(1.0, 2.0, 3.0),
+}, {"turned": lambda: G.m_multiply(F.col("rz"), F.col("sc"))}, {"both": lambda: G.m_multiply(F.col("t123"), F.col("turned")), "put": lambda: G.m_set_position(F.col("turned"), _a())})
 _TURNED = lambda: F.col("turned")
 _rows("vec3_transforms", _UNIT, {
-    "matrix3": (_xyz_of(lambda: G.apply_matrix3(_A, F.array(*(F.lit(float(k)) for k in range(1, 10))))), ("ax + 4 * ay + 7 * az", "2 * ax + 5 * ay + 8 * az", "3 * ax + 6 * ay + 9 * az")),
-    "direction": (_xyz_of(lambda: G.transform_direction(_A, F.col("rx"))), ("ax / la", "(cos(s) * ay - sin(s) * az) / la", "(sin(s) * ay + cos(s) * az) / la")),
-    "axis_angle": (_xyz_of(lambda: G.apply_axis_angle(_A, G.vec(0.0, 0.0, 1.0), _S)), ("cos(s) * ax - sin(s) * ay", "sin(s) * ax + cos(s) * ay", "az")),
-    "plane": (_xyz_of(lambda: G.project_on_plane(_A, _B)), ("ax - bx * d / (lb * lb)", "ay - by_ * d / (lb * lb)", "az - bz * d / (lb * lb)")),
+    "matrix3": (_xyz_of(lambda: G.apply_matrix3(_a(), F.array(*(F.lit(float(k)) for k in range(1, 10))))), ("ax + 4 * ay + 7 * az", "2 * ax + 5 * ay + 8 * az", "3 * ax + 6 * ay + 9 * az")),
+    "direction": (_xyz_of(lambda: G.transform_direction(_a(), F.col("rx"))), ("ax / la", "(cos(s) * ay - sin(s) * az) / la", "(sin(s) * ay + cos(s) * az) / la")),
+    "axis_angle": (_xyz_of(lambda: G.apply_axis_angle(_a(), G.vec(0.0, 0.0, 1.0), _s())), ("cos(s) * ax - sin(s) * ay", "sin(s) * ax + cos(s) * ay", "az")),
+    "plane": (_xyz_of(lambda: G.project_on_plane(_a(), _b())), ("ax - bx * d / (lb * lb)", "ay - by_ * d / (lb * lb)", "az - bz * d / (lb * lb)")),
     "position": (_xyz_of(lambda: G.from_matrix_position(F.col("ta"))), ("ax", "ay", "az")),
     "column": (_xyz_of(lambda: G.from_matrix_column(_TURNED(), 0)), ("2 * cos(s)", "2 * sin(s)", "0")),
     "scale": (_xyz_of(lambda: G.from_matrix_scale(_TURNED())), ("2", "3", "4")),
-    "spherical": (_xyz_of(lambda: G.from_spherical(2.0, _S, 0.7)), ("2 * sin(s) * sin(0.7)", "2 * cos(s)", "2 * sin(s) * cos(0.7)")),
+    "spherical": (_xyz_of(lambda: G.from_spherical(2.0, _s(), 0.7)), ("2 * sin(s) * sin(0.7)", "2 * cos(s)", "2 * sin(s) * cos(0.7)")),
     "max_scale": (_one(lambda: G.m_max_scale(_TURNED())), ("4",)),
 }, _MATRICES)
 
@@ -151,30 +152,30 @@ _LOOK = f"SELECT *, zx / zl AS wx, zy / zl AS wy, zz / zl AS wz FROM (SELECT *,
 _C, _Z = "(1 - cos(s))", "sin(s)"
 _rows("mat4_elements", f"SELECT *, sqrt(wz * wz + wx * wx) AS ul FROM ({_LOOK})", {
     "identity": (lambda: G.m_identity(), _columns("1;0;0;0; 0;1;0;0; 0;0;1;0; 0;0;0;1")),
-    "set": (lambda: G.m_set([_A["x"], _A["y"], _A["z"], 1.0, _B["x"], _B["y"], _B["z"], 2.0, _S, 3.0, 4.0, 5.0, 0.0, 0.0, 0.0, 1.0]), _columns("ax;ay;az;1; bx;by_;bz;2; s;3;4;5; 0;0;0;1")),
+    "set": (lambda: G.m_set([_a()["x"], _a()["y"], _a()["z"], 1.0, _b()["x"], _b()["y"], _b()["z"], 2.0, _s(), 3.0, 4.0, 5.0, 0.0, 0.0, 0.0, 1.0]), _columns("ax;ay;az;1; bx;by_;bz;2; s;3;4;5; 0;0;0;1")),
     "transpose": (lambda: G.m_transpose(_TURNED()), _columns(f"2*cos(s);2*{_Z};0;0; -3*{_Z};3*cos(s);0;0; 0;0;4;0; 0;0;0;1")),
-    "times": (lambda: G.m_multiply_scalar(_TURNED(), _S), _columns(f"s*2*cos(s);-s*3*{_Z};0;0; s*2*{_Z};s*3*cos(s);0;0; 0;0;s*4;0; 0;0;0;s")),
+    "times": (lambda: G.m_multiply_scalar(_TURNED(), _s()), _columns(f"s*2*cos(s);-s*3*{_Z};0;0; s*2*{_Z};s*3*cos(s);0;0; 0;0;s*4;0; 0;0;0;s")),
     "premultiply": (lambda: G.m_premultiply(_TURNED(), F.col("t12")), _columns(f"2*cos(s);-3*{_Z};0;1; 2*{_Z};3*cos(s);0;2; 0;0;4;s; 0;0;0;1")),
     "inverse": (lambda: G.m_invert(F.col("both")), _columns(f"cos(s)/2;{_Z}/2;0;-(cos(s)+2*{_Z})/2; -{_Z}/3;cos(s)/3;0;({_Z}-2*cos(s))/3; 0;0;0.25;-0.75; 0;0;0;1")),
-    "set_position": (lambda: G.m_set_position(_TURNED(), _A), _columns(f"2*cos(s);-3*{_Z};0;ax; 2*{_Z};3*cos(s);0;ay; 0;0;4;az; 0;0;0;1")),
+    "set_position": (lambda: G.m_set_position(_TURNED(), _a()), _columns(f"2*cos(s);-3*{_Z};0;ax; 2*{_Z};3*cos(s);0;ay; 0;0;4;az; 0;0;0;1")),
     "copy_position": (lambda: G.m_copy_position(_TURNED(), F.col("tb")), _columns(f"2*cos(s);-3*{_Z};0;bx; 2*{_Z};3*cos(s);0;by_; 0;0;4;bz; 0;0;0;1")),
-    "basis": (lambda: G.m_basis(_A, _B, G.splat(_S)), _columns("ax;bx;s;0; ay;by_;s;0; az;bz;s;0; 0;0;0;1")),
+    "basis": (lambda: G.m_basis(_a(), _b(), G.splat(_s())), _columns("ax;bx;s;0; ay;by_;s;0; az;bz;s;0; 0;0;0;1")),
     "rotation": (lambda: G.m_extract_rotation(_TURNED()), _columns(f"cos(s);-{_Z};0;0; {_Z};cos(s);0;0; 0;0;1;0; 0;0;0;1")),
     "scaled": (lambda: G.m_scale(F.col("rz"), G.vec(2.0, 3.0, 4.0)), _columns(f"2*cos(s);-3*{_Z};0;0; 2*{_Z};3*cos(s);0;0; 0;0;4;0; 0;0;0;1")),
-    "rotation_x": (lambda: G.m_rotation("x", _S), _columns(f"1;0;0;0; 0;cos(s);-{_Z};0; 0;{_Z};cos(s);0; 0;0;0;1")),
-    "rotation_y": (lambda: G.m_rotation("y", _S), _columns(f"cos(s);0;{_Z};0; 0;1;0;0; -{_Z};0;cos(s);0; 0;0;0;1")),
-    "rotation_axis": (lambda: G.m_rotation_axis(G.vec(1 / 3, 2 / 3, 2 / 3), _S), _columns(
+    "rotation_x": (lambda: G.m_rotation("x", _s()), _columns(f"1;0;0;0; 0;cos(s);-{_Z};0; 0;{_Z};cos(s);0; 0;0;0;1")),
+    "rotation_y": (lambda: G.m_rotation("y", _s()), _columns(f"cos(s);0;{_Z};0; 0;1;0;0; -{_Z};0;cos(s);0; 0;0;0;1")),
+    "rotation_axis": (lambda: G.m_rotation_axis(G.vec(1 / 3, 2 / 3, 2 / 3), _s()), _columns(
         f"{_C}/9+cos(s);{_C}*2/9-{_Z}*2/3;{_C}*2/9+{_Z}*2/3;0; {_C}*2/9+{_Z}*2/3;{_C}*4/9+cos(s);{_C}*4/9-{_Z}/3;0; {_C}*2/9-{_Z}*2/3;{_C}*4/9+{_Z}/3;{_C}*4/9+cos(s);0; 0;0;0;1")),
-    "shear": (lambda: G.m_shear(1.0, 2.0, 3.0, 4.0, 5.0, _S), _columns("1;3;5;0; 1;1;s;0; 2;4;1;0; 0;0;0;1")),
+    "shear": (lambda: G.m_shear(1.0, 2.0, 3.0, 4.0, 5.0, _s()), _columns("1;3;5;0; 1;1;s;0; 2;4;1;0; 0;0;0;1")),
     "perspective": (lambda: G.m_perspective(-1.0, 3.0, 2.0, -2.0, 1.0, 9.0), _columns("0.5;0;0.5;0; 0;0.5;0;0; 0;0;-1.25;-2.25; 0;0;-1;0")),
     "orthographic": (lambda: G.m_orthographic(-1.0, 3.0, 2.0, -2.0, 1.0, 9.0), _columns("0.5;0;0;-0.5; 0;0.5;0;0; 0;0;-0.25;-1.25; 0;0;0;1")),
-    "look_at": (lambda: G.m_look_at(_A, _B, G.vec(0.0, 1.0, 0.0)), _columns("wz/ul;wy*(-wx)/ul;wx;0; 0;(wz*wz+wx*wx)/ul;wy;0; -wx/ul;-wy*wz/ul;wz;0; 0;0;0;1")),
+    "look_at": (lambda: G.m_look_at(_a(), _b(), G.vec(0.0, 1.0, 0.0)), _columns("wz/ul;wy*(-wx)/ul;wx;0; 0;(wz*wz+wx*wx)/ul;wy;0; -wx/ul;-wy*wz/ul;wz;0; 0;0;0;1")),
     "ras_lps": (lambda: G.ras_lps(F.col("put")), _columns(f"2*cos(s);-3*{_Z};0;-ax; 2*{_Z};3*cos(s);0;-ay; 0;0;4;az; 0;0;0;1")),
 }, _MATRICES)
 
 _TURNS = ({
-    "p": lambda: G.q_normalize(G.quat(_A["x"], _A["y"], _A["z"], _S)), "q": lambda: G.q_normalize(G.quat(_B["x"], _B["y"], _B["z"], 1.0)),
-    "ua": lambda: G.normalize(_A), "ub": lambda: G.normalize(_B), "none": lambda: G.q_from_axis_angle(G.vec(1.0, 0.0, 0.0), 0.0), "two": lambda: G.q_from_axis_angle(G.vec(1.0, 0.0, 0.0), 2.0),
+    "p": lambda: G.q_normalize(G.quat(_a()["x"], _a()["y"], _a()["z"], _s())), "q": lambda: G.q_normalize(G.quat(_b()["x"], _b()["y"], _b()["z"], 1.0)),
+    "ua": lambda: G.normalize(_a()), "ub": lambda: G.normalize(_b()), "none": lambda: G.q_from_axis_angle(G.vec(1.0, 0.0, 0.0), 0.0), "two": lambda: G.q_from_axis_angle(G.vec(1.0, 0.0, 0.0), 2.0),
 }, {
     "pq": lambda: G.q_multiply(F.col("p"), F.col("q")), "qp": lambda: G.q_premultiply(F.col("p"), F.col("q")), "uv": lambda: G.q_from_unit_vectors(F.col("ua"), F.col("ub")), "near": lambda: G.q_rotate_towards(F.col("none"), F.col("two"), 0.5),
 })
@@ -188,9 +189,9 @@ _rows("quaternion_algebra", f"SELECT *, px * qx + py * qy + pz * qz + pw * qw AS
     "multiply": (_four(lambda: F.col("pq")), _HAMILTON("p", "q")),
     "premultiply": (_four(lambda: F.col("qp")), _HAMILTON("q", "p")),
     "dot": (_one(lambda: G.q_dot(_P(), _Q())), ("pq",)),
-    "length": (_one(lambda: G.q_length(G.quat(_A["x"], _A["y"], _A["z"], _S))), ("lp",)),
+    "length": (_one(lambda: G.q_length(G.quat(_a()["x"], _a()["y"], _a()["z"], _s()))), ("lp",)),
     "angle": (_one(lambda: G.q_angle_to(_P(), _Q())), ("2 * acos(least(1, abs(pq)))",)),
     "unit_vectors": (_four(lambda: F.col("uv")), ("(uy * tz - uz * ty) / h", "(uz * tx - ux * tz) / h", "(ux * ty - uy * tx) / h", "h / 2")),
-    "axis_angle": (_four(lambda: G.q_from_axis_angle(G.vec(0.0, 0.6, 0.8), _S)), ("0", "0.6 * sin(s / 2)", "0.8 * sin(s / 2)", "cos(s / 2)")),
+    "axis_angle": (_four(lambda: G.q_from_axis_angle(G.vec(0.0, 0.6, 0.8), _s())), ("0", "0.6 * sin(s / 2)", "0.8 * sin(s / 2)", "cos(s / 2)")),
     "towards": (_four(lambda: F.col("near")), ("sin(0.25)", "0", "0", "cos(0.25)")),
 }, _TURNS)

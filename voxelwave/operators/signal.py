@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelwave.functions import columns as C
@@ -348,11 +349,36 @@ def unchunk(df: DataFrame, ids: Sequence[str], samples: str = "samples") -> Data
     return arrays_to_long(kept.join(first, list(ids)), [*ids, "chunk", "_step"], "_k").select(*ids, (F.col("chunk") * F.col("_step") + F.col("t")).alias("t"), "value")
 
 
-def plot_table(df: DataFrame, ids: Sequence[str], srate: float = 1.0, space: float = 0.995, max_points: int = 2000, samples: str = "samples") -> DataFrame:
-    """What a stacked trace plot would draw: time, value plus an offset by channel; thinned evenly to ``max_points``."""
+def plot_table(df: DataFrame, ids: Sequence[str], srate: float = 1.0, space: float = 0.995, max_points: int | None = 2000, samples: str = "samples") -> DataFrame:
+    """What a stacked trace plot would draw: time, value plus an offset by channel; thinned evenly to ``max_points``, None for all."""
     long = arrays_to_long(df, ids, samples)
     gap = long.agg(F.percentile_approx(F.abs("value"), F.lit(space)).alias("_gap"))
-    rank = df.select(*ids).distinct().withColumn("_k", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*ids)))
+    # one row a channel
+    rank = df.select(*ids).distinct().withColumn("_k", F.dense_rank().over(W.orderBy(*ids)))
     size = long.groupBy(*ids).agg(F.max("t").alias("_n"))
-    every = F.ceil((F.col("_n") + 1) / max_points)
-    return long.join(size, list(ids)).where(F.col("t") % every == 0).join(F.broadcast(rank), list(ids)).crossJoin(F.broadcast(gap)).select(*ids, (F.col("t") / srate).alias("time"), (F.col("value") - (F.col("_k") - 1) * 2 * F.col("_gap")).alias("y"))
+    every = F.lit(1) if max_points is None else F.ceil((F.col("_n") + 1) / max_points)
+    return long.join(size.join(rank, list(ids)), list(ids)).where(F.col("t") % every == 0).crossJoin(F.broadcast(gap)).select(*ids, (F.col("t") / srate).alias("time"), (F.col("value") - (F.col("_k") - 1) * 2 * F.col("_gap")).alias("y"))
+
+
+def diagnose_channel(df: DataFrame, ids: Sequence[str], srate: float, window: int | None = None, overlap: float | None = None, max_freq: float = 300, std: float = 3, classes: int = 100, start: float = 0.0, samples: str = "samples") -> DataFrame:
+    """(ids, part, k, x, y): what a channel inspection would draw.
+
+    Parts: ``trace`` (time and value; long recordings of a high rate at 100 samples a second), ``boundary`` (plus and minus ``std``
+    standard deviations), ``periodogram`` (frequencies of 1 to ``max_freq`` and Welch power) and ``histogram`` (lower edges of
+    equal classes from the least to the largest value, and counts).
+    """
+    window = int(np.ceil(srate * 2)) if window is None else window
+    top = min(max_freq, np.floor(srate / 2))
+
+    def run(x):
+        step = srate / 100 if srate > 200 and len(x) / srate > 300 else 1.0
+        at = np.rint(np.arange(0, len(x) - 1 + 1e-9, step)).astype(int) if len(x) > 1 else np.zeros(1, int)
+        edge = std * (x.std(ddof=1) if len(x) > 1 else 0.0)
+        p = dsp.welch(x, srate, window, overlap)
+        near = (p["freq"] >= 1) & (p["freq"] <= top)
+        counts, edges = np.histogram(x, classes)
+        parts = {"trace": (start + (np.arange(len(at)) + 1) * step / srate, x[at]), "boundary": (np.array([-1.0, 1.0]), np.array([-edge, edge])), "periodogram": (p["freq"][near], p["power"][near]), "histogram": (edges[:-1], counts.astype(float))}
+        names = [n for n, (u, _) in parts.items() for _ in u]
+        return {"part": names, "k": np.concatenate([np.arange(len(u)) for u, _ in parts.values()]), "x": np.concatenate([u for u, _ in parts.values()]).astype(float), "y": np.concatenate([v for _, v in parts.values()])}
+
+    return explode_series(df, ids, run, "part string, k int, x double, y double", samples)

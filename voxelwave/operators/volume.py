@@ -103,21 +103,36 @@ def fill_surface(v: DataFrame, f: DataFrame, **options) -> DataFrame:
 REGISTRATION = "pair_id long, type string, transform array<double>, cost double, correlation_before double, correlation_after double"
 
 
-def register(pairs: DataFrame, dim: Sequence[int], kind: str = "rigid", **options) -> DataFrame:
+#: Columns that a pair may have beside its volumes.
+PAIR_COLUMNS = ("fixed_vox2ras", "moving_vox2ras", "mask", "fixed_points", "moving_points")
+
+
+def register(pairs: DataFrame, dim: Sequence[int], kind: str = "rigid", moving_dim: Sequence[int] | None = None, **options) -> DataFrame:
     """Registers volumes pair by pair (pair_id, fixed array<double>, moving array<double>, both flattened by rows).
 
-    ``transform`` maps fixed RAS to moving RAS, by rows.
+    Optional columns: ``fixed_vox2ras`` and ``moving_vox2ras`` (16 numbers by rows, else the identity), ``mask`` over the fixed
+    volume, ``fixed_points`` and ``moving_points`` (landmarks, three numbers each, in RAS). ``transform`` maps fixed RAS to moving
+    RAS, by rows.
     """
     import pyarrow as pa
 
     ship(pairs.sparkSession)
+    extra = [c for c in PAIR_COLUMNS if c in pairs.columns]
+    shapes = {"fixed": tuple(dim), "moving": tuple(moving_dim or dim), "mask": tuple(dim), "fixed_vox2ras": (4, 4), "moving_vox2ras": (4, 4), "fixed_points": (-1, 3), "moving_points": (-1, 3)}
+    names = ["pair_id", "fixed", "moving", *extra]
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                f, m = (np.asarray(b.column(c)[r].values.to_numpy(zero_copy_only=False), float).reshape(dim) for c in (1, 2))
-                out = K.register(f, m, kind=kind, **options)
-                corr = lambda a, c: float(np.corrcoef(a.ravel(), c.ravel())[0, 1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1).cast(pa.int64()), pa.array([kind]), pa.array([out["transform"].reshape(-1).tolist()]), pa.array([float(out["cost"])]), pa.array([corr(f, m)]), pa.array([corr(f, out["warped"])])], ["pair_id", "type", "transform", "cost", "correlation_before", "correlation_after"])
-
-    return pairs.select("pair_id", "fixed", "moving").mapInArrow(run, REGISTRATION)
+                row = {n: np.asarray(b.column(k)[r].values.to_numpy(zero_copy_only=False), float).reshape(shapes[n]) for k, n in enumerate(names) if k and b.column(k)[r].is_valid}
+                more = {"mask": row["mask"]} if "mask" in row else {}
+                if "fixed_points" in row and "moving_points" in row:
+                    more["points"] = (row["fixed_points"], row["moving_points"])
+                f, m = row["fixed"], row["moving"]
+                a, c = row.get("fixed_vox2ras", np.eye(4)), row.get("moving_vox2ras", np.eye(4))
+                out = K.register(f, m, a, c, kind=kind, **options, **more)
+                before = K.resample(m, f.shape, c, a, "trilinear", 0.0)
+                corr = lambda u, v: float(np.corrcoef(u.ravel(), v.ravel())[0, 1])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1).cast(pa.int64()), pa.array([kind]), pa.array([out["transform"].reshape(-1).tolist()]), pa.array([float(out["cost"])]), pa.array([corr(f, before)]), pa.array([corr(f, out["warped"])])], ["pair_id", "type", "transform", "cost", "correlation_before", "correlation_after"])
+
+    return pairs.select(*names).mapInArrow(run, REGISTRATION)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelwave.functions import sql
 from voxelwave.operators import events as E
-from voxelwave.plans.registry import query
+from voxelwave.plans.registry import ORACLES, query
 from voxelwave.plans.signal_queries import signals, user_arrays
 from voxelwave.plans.tensor_queries import SERIES, r6, series
 
@@ -140,3 +141,17 @@ def interpolate_missing(spark, sf_dir):
     gaps = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda t: F.when((t % 8).isin(3, 4), F.lit(float("nan"))).otherwise(2.0 * t + F.col("vec_id")))
     d = E.interpolate_missing(signals(spark, sf_dir).select("vec_id", gaps.alias("samples")), ["vec_id"])
     return d.select("vec_id", F.posexplode("samples").alias("t", "v")).select("vec_id", "t", r6(F.col("v")).alias("value"))
+
+
+@query("sql_find_peaks", ORACLES["find_peaks"])
+def sql_find_peaks(spark, sf_dir):
+    """The table function in SQL."""
+    sql.register(spark)
+    d = user_arrays(spark, sf_dir)
+    return spark.sql("SELECT d.user_id, p.index, round(p.value, 6) + 0.0D AS value FROM {d} d, LATERAL vw_find_peaks(d.samples) p", d=d)
+
+
+@query("sql_envelope", ORACLES["hilbert_envelope"])
+def sql_envelope(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT vec_id, t, round(v, 6) + 0.0D AS value FROM (SELECT vec_id, vw_envelope(samples) AS e FROM {d}) LATERAL VIEW posexplode(e) x AS t, v", d=signals(spark, sf_dir))

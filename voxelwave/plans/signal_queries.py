@@ -383,3 +383,20 @@ def unwrap_phase(spark, sf_dir):
     k = F.sequence(F.lit(0), F.lit(63))
     d = spark.range(1).select("id", F.transform(k, lambda v: F.atan2(F.sin(v * 0.9), F.cos(v * 0.9))).alias("samples"))
     return S.unwrap(d, ["id"]).select(F.posexplode("samples").alias("k", "v")).select("k", r6(F.col("v")).alias("value"))
+
+
+@query("diagnose_channel", f"""WITH {X}, st AS (SELECT vec_id, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM x GROUP BY vec_id),
+h AS (SELECT vec_id, least(7, CAST(floor((v - lo) / ((hi - lo) / 8)) AS INTEGER)) AS k FROM x JOIN st USING (vec_id))
+SELECT vec_id, 'trace' AS part, t AS k, round((t + 1) / 64.0, 6) + 0.0 AS x, round(v, 6) + 0.0 AS y FROM x
+UNION ALL SELECT vec_id, 'boundary', CAST(s AS INTEGER), 2.0 * s - 1, round((2 * s - 1) * 3 * sd, 6) + 0.0 FROM st, range(0, 2) r(s)
+UNION ALL SELECT st.vec_id, 'histogram', CAST(b AS INTEGER), round(lo + b * (hi - lo) / 8, 6) + 0.0, CAST(count(h.k) AS DOUBLE) FROM st CROSS JOIN range(0, 8) r(b) LEFT JOIN h ON h.vec_id = st.vec_id AND h.k = b GROUP BY st.vec_id, b, lo, hi""")
+def diagnose_channel(spark, sf_dir):
+    """The periodogram of the same call is that of welch_power."""
+    d = S.diagnose_channel(signals(spark, sf_dir), ["vec_id"], FS, 16, 8, classes=8)
+    return d.where("part <> 'periodogram'").select("vec_id", "part", "k", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query("stacked_traces", f"""WITH {X}, g AS (SELECT DISTINCT vec_id, dense_rank() OVER (ORDER BY vec_id) - 1 AS k FROM x) SELECT vec_id, round(t / 64.0, 6) + 0.0 AS time FROM x JOIN g USING (vec_id)""")
+def stacked_traces(spark, sf_dir):
+    """Times of all points of a stacked plot; offsets come from an approximate quantile."""
+    return S.plot_table(signals(spark, sf_dir), ["vec_id"], FS, max_points=None).select("vec_id", r6(F.col("time")).alias("time"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelwave.functions import colors
 from voxelwave.functions import columns as C
 from voxelwave.operators import tensor as T
 from voxelwave.plans.registry import query
@@ -262,3 +263,21 @@ def raw_to_string(spark, sf_dir):
     """Text up to the first zero byte."""
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", C.raw_to_string(F.concat(F.col("p_name").cast("binary"), F.unhex(F.lit("004142")))).alias("value"))
+
+
+_PIECE = lambda c: f"CAST(floor(255 * least(16, greatest(0, 24 - abs(k - {c}))) / 16.0 + 0.5) AS INTEGER)"
+
+
+@query("heat_palette", f"SELECT CAST(k AS INTEGER) AS k, '#' || " + " || ".join(f"printf('%02X', {_PIECE(c)})" for c in (47, 31, 15)) + " AS color FROM range(0, 64) r(k)")
+def heat_palette(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(colors.heat_palette())), "k int, color string")
+
+
+# from black over orange red to white
+_MIX = lambda a, b, c: f"printf('%02X', CAST(floor(CASE WHEN p < 1 THEN {a} + ({b} - {a}) * p ELSE {b} + ({c} - {b}) * (p - 1) END + 0.5) AS INTEGER))"
+
+
+@query("color_ramp", f"SELECT vec_id, '#' || {_MIX(0, 255, 255)} || {_MIX(0, 69, 255)} || {_MIX(0, 0, 255)} AS color FROM (SELECT vec_id, 2 * greatest(0, least(1, (CAST(embedding[1] AS DOUBLE) + 0.2) / 0.4)) AS p FROM embeddings)")
+def color_ramp(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", colors.color_ramp(F.get("embedding", F.lit(0)).cast("double"), -0.2, 0.2, ["#000000", "#FF4500", "#FFFFFF"]).alias("color"))

@@ -110,3 +110,20 @@ for _kind in ("rigid", "affine", "syn"):
         shift = F.when(F.col("pair_id") == 0, F.array(*map(F.lit, (1.5, -1.0, 0.5)))).otherwise(F.array(*map(F.lit, (-1.0, 0.5, 1.0))))
         near = F.greatest(*(F.abs(F.get("transform", F.lit(i)) - F.get(shift, F.lit(k))) for k, i in enumerate((3, 7, 11)))) < 0.2
         return out.select("pair_id", "type", near.alias("near"), (F.col("correlation_after") > 0.98).alias("agrees"))
+
+
+@query("register_in_ras", "SELECT CAST(k AS BIGINT) AS pair_id, true AS near, true AS agrees FROM range(0, 2) r(k)")
+def register_in_ras(spark, sf_dir):
+    """A moving volume on a finer, displaced grid of its own, a mask over the bodies, and landmarks in the second pair."""
+    shift, n = np.array([1.0, -0.5, 0.75]), 24
+    grid = np.array([[0.8, 0, 0, 1.0], [0, 0.8, 0, 2.0], [0, 0, 0.8, 1.5], [0, 0, 0, 1]])
+    at = np.stack(np.meshgrid(*[np.arange(n, dtype=float)] * 3, indexing="ij"), -1) @ grid[:3, :3].T + grid[:3, 3]
+    bodies = (((8, 9, 10), 3.0, 1.0), ((13, 7, 11), 2.0, 0.7), ((9, 13, 7), 2.5, 0.5))
+    moving = sum(a * np.exp(-((at - np.array(c) - shift) ** 2).sum(-1) / (2 * w * w)) for c, w, a in bodies)
+    fixed = _phantom()
+    points = np.array([c for c, _, _ in bodies], float)
+    rows = [(k, fixed.reshape(-1).tolist(), moving.reshape(-1).tolist(), np.eye(4).reshape(-1).tolist(), grid.reshape(-1).tolist(), (fixed > 0.02).astype(float).reshape(-1).tolist(), points.reshape(-1).tolist() if k else None, (points + shift).reshape(-1).tolist() if k else None) for k in range(2)]
+    d = spark.createDataFrame(rows, "pair_id long, " + ", ".join(f"{c} array<double>" for c in ("fixed", "moving", "fixed_vox2ras", "moving_vox2ras", "mask", "fixed_points", "moving_points"))).repartition(2)
+    out = V.register(d, (20, 20, 20), "rigid", (n,) * 3, metric="meansquares", levels=((2, 1), (1, 0)), iterations=40, samples=4000)
+    far = F.greatest(*(F.abs(F.get("transform", F.lit(i)) - float(v)) for i, v in zip((3, 7, 11), shift)))
+    return out.select("pair_id", (far < 0.25).alias("near"), (F.col("correlation_after") > 0.97).alias("agrees"))

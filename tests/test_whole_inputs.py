@@ -154,3 +154,20 @@ def test_quantiles_of_large_groups(spark, monkeypatch):
             k = int(h)
             want = s[max(k, 1) - 1] if h == k or h < 1 else s[-1] if k >= len(s) else p * s[k - 1] + (1 - p) * s[k]
             assert np.isclose(got[g], want), (p, g)
+
+
+def test_rays_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "RAY_BLOCK", 16)
+    r = np.random.default_rng(9)
+    vs, fs = K.icosphere(2)
+    o, d = r.normal(size=(60, 3)) * 3, r.normal(size=(60, 3))
+    d[::2] = -o[::2] + 0.2 * d[::2]
+    want = K.raycast(vs, fs, o, d)
+    v, f = M.from_arrays(spark, {0: (vs, fs)})
+    rays = spark.createDataFrame([(0, k, *map(float, o[k]), *map(float, d[k])) for k in range(60)], "mesh_id long, ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    got = {x.ray_id: x for x in M.raycast(v, f, rays).collect()}
+    assert len(got) == 60 and np.isfinite(want["distance"]).sum() > 20
+    for k in range(60):
+        assert (got[k].distance is None) == np.isnan(want["distance"][k])
+        if got[k].distance is not None:
+            assert np.allclose([got[k].distance, got[k].px, got[k].py, got[k].pz, got[k].nx, got[k].ny, got[k].nz], [want["distance"][k], *want["point"][k], *want["normal"][k]], atol=1e-9)

@@ -147,10 +147,15 @@ def smooth_average(v: DataFrame, f: DataFrame, iterations: int = 10, every: int
     return v
 
 
-def raycast(v: DataFrame, f: DataFrame, rays: DataFrame, max_distance: float | None = None, both_sides: bool = False) -> DataFrame:
-    """First hit of each ray (mesh_id, ray_id, ox..oz, dx..dz): distance, face, point; nulls for misses.
+#: Rays of a mesh that meet one copy of its faces.
+RAY_BLOCK = 4096
 
-    Faces meet the rays of their mesh; hits are reduced to one row a ray before anything else is joined.
+
+def raycast(v: DataFrame, f: DataFrame, rays: DataFrame, max_distance: float | None = None, both_sides: bool = False, normals: bool = True) -> DataFrame:
+    """First hit of each ray (mesh_id, ray_id, ox..oz, dx..dz): distance, face, point, and normal (of its corners); nulls for misses.
+
+    The rays of a mesh are dealt into blocks, each with a copy of the faces, so that no mesh is one task's load; hits are reduced
+    to one row a ray before anything else is joined.
     """
     flat = lambda c, n: [c[a].alias(f"{n}{a}") for a in "xyz"]
     faces = corners(v, f)
@@ -168,7 +173,10 @@ def raycast(v: DataFrame, f: DataFrame, rays: DataFrame, max_distance: float | N
     def dot(p: str, q: str):
         return F.col(f"{p}x") * F.col(f"{q}x") + F.col(f"{p}y") * F.col(f"{q}y") + F.col(f"{p}z") * F.col(f"{q}z")
 
-    t = r.join(faces, "mesh_id").select("*", *cross("h", "d", "g"), *((F.col(f"q{a}") - F.col(f"a{a}")).alias(f"s{a}") for a in "xyz"))
+    blocks = r.groupBy("mesh_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(RAY_BLOCK)).alias("blocks"))
+    r = r.join(blocks, "mesh_id").withColumn("block", F.pmod(F.xxhash64("ray_id"), F.col("blocks"))).drop("blocks")
+    dealt = faces.join(blocks, "mesh_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    t = r.join(dealt, ["mesh_id", "block"]).select("*", *cross("h", "d", "g"), *((F.col(f"q{a}") - F.col(f"a{a}")).alias(f"s{a}") for a in "xyz"))
     t = t.withColumn("det", dot("e", "h")).where(F.abs("det") > 1e-12).withColumn("u", F.try_divide(dot("s", "h"), F.col("det"))).where((F.col("u") >= -1e-9) & (F.col("u") <= 1 + 1e-9))
     t = t.select("*", *cross("k", "s", "e")).withColumn("w", F.try_divide(dot("d", "k"), F.col("det"))).where((F.col("w") >= -1e-9) & (F.col("u") + F.col("w") <= 1 + 1e-9))
     t = t.withColumn("t", F.try_divide(dot("g", "k"), F.col("det"))).where("t >= 0").withColumn("far", F.col("t") - 1e-6)
@@ -176,6 +184,11 @@ def raycast(v: DataFrame, f: DataFrame, rays: DataFrame, max_distance: float | N
         t = t.where(F.col("far") <= max_distance)
     best = t.groupBy("mesh_id", "ray_id").agg(F.min(F.struct("far", "face", "sign", "ox", "oy", "oz", "dx", "dy", "dz")).alias("b"))
     hits = best.select("mesh_id", "ray_id", (F.col("b.far") * F.col("b.sign")).alias("distance"), "b.face", *((F.col(f"b.o{a}") + F.col(f"b.d{a}") * F.col("b.far")).alias(f"p{a}") for a in "xyz"))
+    if normals:
+        at = corners(update_normals(v, f).select("mesh_id", "vid", *(F.col(f"n{a}").alias(a) for a in "xyz")), f)
+        total = at.select("mesh_id", F.col("fid").alias("face"), *((F.col(f"p0.{a}") + F.col(f"p1.{a}") + F.col(f"p2.{a}")).alias(a) for a in "xyz"))
+        size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+        hits = hits.join(total.select("mesh_id", "face", *(F.try_divide(F.col(a), size).alias(f"n{a}") for a in "xyz")), ["mesh_id", "face"])
     return rays.select("mesh_id", "ray_id").join(hits, ["mesh_id", "ray_id"], "left")
 
 

@@ -145,7 +145,7 @@ def ray_hits(spark, sf_dir):
     f = np.array([[0, 1, 3], [0, 3, 2], [4, 6, 7], [4, 7, 5], [0, 4, 5], [0, 5, 1], [2, 3, 7], [2, 7, 6], [0, 2, 6], [0, 6, 4], [1, 5, 7], [1, 7, 3]])
     v, faces = M.from_arrays(spark, {0: (cube, f)})
     e = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("mesh_id"), F.col("vec_id").alias("ray_id"), (F.get("embedding", F.lit(0)).cast("double") * 5).alias("ox"), (F.get("embedding", F.lit(1)).cast("double") * 5).alias("oy"), F.lit(5.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-2.0).alias("dz"))
-    return M.raycast(v, faces, e).select("ray_id", r6(F.col("distance")).alias("distance"), r6(F.col("px")).alias("px"), r6(F.col("py")).alias("py"))
+    return M.raycast(v, faces, e, normals=False).select("ray_id", r6(F.col("distance")).alias("distance"), r6(F.col("px")).alias("px"), r6(F.col("py")).alias("py"))
 
 
 _POINTS = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS FLOAT) AS x, CAST(embedding[2] AS FLOAT) AS y, CAST(embedding[3] AS FLOAT) AS z FROM embeddings)"
@@ -164,6 +164,14 @@ def mesh_curvature(spark, sf_dir):
     return M.mris_curvature(*torus(spark)).select("mesh_id", "vid", *(r6(F.col(c)).alias(c) for c in ("k1", "k2", "mean", "gauss")))
 
 
+@query("mesh_curvature_sphere", "SELECT CAST(m AS BIGINT) AS mesh_id, CAST(k AS INTEGER) AS vid, true AS gauss, true AS mean FROM range(0, 2) r(m), range(0, 642) q(k)")
+def mesh_curvature_sphere(spark, sf_dir):
+    """Whether curvatures of spheres of radius 1 and 2 are within a twentieth of their inverse radius, by every vertex."""
+    c = M.mris_curvature(*M.from_arrays(spark, {m: (K.icosphere(3)[0] * (m + 1), K.icosphere(3)[1]) for m in range(2)}))
+    r = F.col("mesh_id") + 1
+    return c.select("mesh_id", "vid", (F.abs(F.col("gauss") * r * r - 1) < 0.05).alias("gauss"), (F.abs(F.col("mean") * r - 1) < 0.05).alias("mean"))
+
+
 def _chain(kind: str, rounds: int = 3) -> str:
     """Smoothing by chained tables s0, s1, ..., each over the neighbours or faces of the last."""
     ctes = ["e AS MATERIALIZED (SELECT DISTINCT mesh_id, a, b FROM (SELECT mesh_id, a, b FROM h UNION ALL SELECT mesh_id, b, a FROM h))", "s0 AS MATERIALIZED (SELECT mesh_id, vid, x, y, z FROM v)"]

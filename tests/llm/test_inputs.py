@@ -2,9 +2,11 @@
 
 import subprocess
 import sys
+import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("voxelwave.llm")
 P = pytest.importorskip("public_tokenizers")
@@ -105,10 +107,11 @@ def test_every_language_is_learned(spark):
 
 
 def test_rows_of_one_id_are_learned(spark):
-    rows = [(7, f"schon {k} gewesen nicht wahr und über {k * k}", "de", "s") for k in range(6000)] + [(k, f"the thing {k} was there with {k * k}", "en", "s") for k in range(100, 160)]
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)  # not held out
+    rows = [(one, f"schon {k} gewesen nicht wahr und über {k * k}", "de", "s") for k in range(6000)] + [(k, f"the thing {k} was there with {k * k}", "en", "s") for k in range(100, 160)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
     got = langid.identify(df)
-    wrong = got.where("(doc_id = 7 AND lang_pred <> 'de') OR (doc_id <> 7 AND lang_pred <> 'en')").count()
+    wrong = got.where("doc_id IS NOT NULL").where((F.col("doc_id") == one) != (F.col("lang_pred") == "de")).count()
     assert wrong == 0
 
 

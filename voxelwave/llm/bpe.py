@@ -14,12 +14,14 @@ are ignored, whatever they are called. Texts of any length are encoded whole. An
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -290,6 +292,18 @@ class Encoder:
             at = to
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without searches for reference cycles: the remembered values are very many small tuples, none of which can be in one."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _joined(values: list[tuple[str, bytes, int]]) -> tuple[str, bytes, int]:
     ids, raw, n = zip(*values)
     return ",".join(ids), b"".join(raw), sum(n)
@@ -396,11 +410,12 @@ def round_trip(df: DataFrame, vocab: str) -> DataFrame:
         coder = _digest_encoder(vocab)
         for b in batches:
             n, ids, text = [], [], []
-            for parts in coder.batch(b.column(1).to_pylist()):
-                listed, raw, count = _joined(parts) if parts else ("", b"", 0)
-                n.append(count)
-                ids.append(hashlib.sha256(listed.encode()).hexdigest())
-                text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+            with no_cycles():
+                for parts in coder.batch(b.column(1).to_pylist()):
+                    listed, raw, count = _joined(parts) if parts else ("", b"", 0)
+                    n.append(count)
+                    ids.append(hashlib.sha256(listed.encode()).hexdigest())
+                    text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(df, "doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -202,8 +202,9 @@ def detrend(df: DataFrame, by: Sequence[str], t: str, trend: str = "linear", bre
         piece = piece + (F.col(t) >= b).cast("int")
     tagged = df.withColumn("_piece", piece)
     fit = tagged.groupBy(*by, "_piece").agg(F.regr_slope(y, x).alias("_s"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    line = F.col("_my") + F.coalesce(F.col("_s"), F.lit(0.0)) * (x - F.col("_mx"))
-    return tagged.join(fit, [*by, "_piece"]).select(*by, t, (y - line).alias(value))
+    # centred first: the sum of mean and slope would round once more, at the size of the mean
+    made = (y - F.col("_my")) - F.coalesce(F.col("_s"), F.lit(0.0)) * (x - F.col("_mx"))
+    return tagged.join(fit, [*by, "_piece"]).select(*by, t, made.alias(value))
 
 
 def islands(df: DataFrame, by: Sequence[str], index: str, max_lag: int = 1) -> DataFrame:

@@ -29,6 +29,12 @@ def r6(c) -> F.Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def m6(c) -> F.Column:
+    """Six digits as DuckDB rounds doubles: the product by 10^6, not the shortest decimal text, decides what lies half way."""
+    scaled = c * F.lit(1e6)
+    return F.when(F.abs(scaled) < F.lit(float("inf")), F.round(scaled, 0) / F.lit(1e6)).otherwise(c) + F.lit(0.0)
+
+
 #: Added before rounding where values are exact decimals, so that none lies half way between two roundings.
 NUDGE = "3.3e-8"
 
@@ -165,7 +171,7 @@ def detrend_linear(spark, sf_dir):
 f AS (SELECT user_id, k, regr_slope(value, t) AS s, avg(t) AS mt, avg(value) AS mv FROM p GROUP BY ALL)
 SELECT user_id, t, round(value - mv - coalesce(s, 0) * (t - mt), 6) + 0.0 AS value FROM p JOIN f USING (user_id, k)""")
 def detrend_pieces(spark, sf_dir):
-    return T.detrend(series(spark, sf_dir), ["user_id"], "t", break_points=[20, 45]).select("user_id", "t", r6(F.col("value")).alias("value"))
+    return T.detrend(series(spark, sf_dir), ["user_id"], "t", break_points=[20, 45]).select("user_id", "t", m6(F.col("value")).alias("value"))
 
 
 @query("detrend_endpoint", f"""WITH {SERIES}, e AS (SELECT user_id, arg_min(value, t) AS a, arg_max(value, t) AS b, max(t) AS n FROM series GROUP BY ALL)
